@@ -47,22 +47,48 @@ class Rules:
 
 
 def _earlier(keys: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For entries in page order: seen before in its text; seen at all elsewhere in it; how often in it."""
+    """For entries in text order: seen before in its text; seen at least twice in it; how often in it."""
     mixed = T.mix(keys ^ T.mix(text.astype(np.uint64)))
-    order = np.argsort(mixed, kind="stable")
+    s = np.sort(mixed)
+    twice = s[1:][s[1:] == s[:-1]]
+    few = np.flatnonzero(_member(mixed, twice))
+    order = few[np.argsort(mixed[few], kind="stable")]
     s = mixed[order]
     new = np.ones(len(s), dtype=bool)
     new[1:] = s[1:] != s[:-1]
-    at = np.flatnonzero(new)
-    counts = np.diff(np.append(at, len(s)))
-    times = np.repeat(counts, counts)
-    before = np.empty(len(s), dtype=bool)
+    counts = np.diff(np.append(np.flatnonzero(new), len(s)))
+    before = np.zeros(len(keys), dtype=bool)
     before[order] = ~new
-    often = np.empty(len(s), dtype=np.int64)
-    often[order] = times
+    often = np.ones(len(keys), dtype=np.int64)
+    often[order] = np.repeat(counts, counts)
     return before, often > 1, often
 
 
+def _member(values: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Which values are among ``found`` (sorted): a table of their low bits first, then a search for those that pass."""
+    if not len(found):
+        return np.zeros(len(values), dtype=bool)
+    bits = np.uint64(max(10, int(4 * len(found)).bit_length()))
+    table = np.zeros(1 << int(bits), dtype=bool)
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    table[found & low] = True
+    out = table[values & low]
+    at = np.flatnonzero(out)
+    place = np.minimum(np.searchsorted(found, values[at]), len(found) - 1)
+    out[at] = found[place] == values[at]
+    return out
+
+
+def _most_frequent(win: np.ndarray, often: np.ndarray, text: np.ndarray, n: int, least: int) -> np.ndarray:
+    """The occurrences of the most frequent n-gram of each text; of equally frequent ones the first counts."""
+    highest = np.zeros(n, dtype=np.int64)
+    np.maximum.at(highest, text, often)
+    top = np.flatnonzero((often == highest[text]) & (often >= least))
+    lead = np.full(n, len(win), dtype=np.int64)
+    np.minimum.at(lead, text[top], top)
+    return top[win[top] == win[lead[text[top]]]]
+
+
 def _measure(chunk: T.Chunk, rules: Rules) -> dict[str, np.ndarray]:
     data, n = chunk.data, chunk.n
     w = T.words(chunk)
@@ -95,37 +121,30 @@ def _measure(chunk: T.Chunk, rules: Rules) -> dict[str, np.ndarray]:
     out["n_dup_lines"] = np.bincount(line_text[again], minlength=n)
     out["dup_line_chars"] = np.bincount(line_text[again], weights=line_chars[again], minlength=n)
 
-    # Words in windows that occur at least twice, the first included.
-    at = T.window_starts(w.bounds, REPEAT_WINDOW)
-    _, repeated, _ = _earlier(T.window_hashes(hashes, at, REPEAT_WINDOW), text_of[at])
-    out["n_repeat_words"] = T.per_text_sum(T.covered(total, at[repeated], REPEAT_WINDOW), w.bounds)
-
+    # Lengths in rising order: an n-gram can only repeat where the shorter one from the same word does.
+    repeat_at = np.zeros(0, dtype=np.int64)
     verdict = np.ones(n, dtype=bool)
-    worst = np.zeros(n)
-    for size, most in rules.duplicated:
-        at = T.window_starts(w.bounds, size)
-        before, _, _ = _earlier(T.window_hashes(hashes, at, size), text_of[at])
-        share = T.per_text_sum(T.covered(total, at[before], size) * chars, w.bounds) / word_chars
-        worst = np.maximum(worst, share)
-        verdict &= share <= most
-    top_share = np.zeros(n)
-    for size, most in rules.top:
-        at = T.window_starts(w.bounds, size)
-        if not len(at):
-            continue
-        _, _, often = _earlier(T.window_hashes(hashes, at, size), text_of[at])
-        often = np.where(often >= rules.top_least, often, 0)
-        highest = np.zeros(n, dtype=np.int64)
-        np.maximum.at(highest, text_of[at], often)
-        is_top = (often == highest[text_of[at]]) & (often > 0)
-        # Of several equally frequent n-grams the first in the text counts.
+    worst, top_share = np.zeros(n), np.zeros(n)
+    top, duplicated = dict(rules.top), dict(rules.duplicated)
+    room = np.repeat(w.bounds[1:], w.counts) - np.arange(total)
+    at = np.arange(total)
+    for size in sorted({*top, *duplicated, REPEAT_WINDOW}):
+        at = at[room[at] >= size]
         win = T.window_hashes(hashes, at, size)
-        lead = np.full(n, len(at), dtype=np.int64)
-        np.minimum.at(lead, text_of[at[is_top]], np.flatnonzero(is_top))
-        is_top &= win == win[np.minimum(lead[text_of[at]], len(at) - 1)]
-        share = T.per_text_sum(T.covered(total, at[is_top], size) * chars, w.bounds) / word_chars
-        top_share = np.maximum(top_share, share)
-        verdict &= share <= most
+        before, repeated, often = _earlier(win, text_of[at])
+        at, win, before, often = at[repeated], win[repeated], before[repeated], often[repeated]
+        if size == REPEAT_WINDOW:
+            repeat_at = at
+        if size in duplicated:
+            share = T.per_text_sum(T.covered(total, at[before], size) * chars, w.bounds) / word_chars
+            worst = np.maximum(worst, share)
+            verdict &= share <= duplicated[size]
+        if size in top:
+            share = T.per_text_sum(T.covered(total, at[_most_frequent(win, often, text_of[at], n, rules.top_least)], size) * chars, w.bounds) / word_chars
+            top_share = np.maximum(top_share, share)
+            verdict &= share <= top[size]
+    # Words in windows that occur at least twice, the first included.
+    out["n_repeat_words"] = T.per_text_sum(T.covered(total, repeat_at, REPEAT_WINDOW), w.bounds)
     lines = np.maximum(out["n_lines"], 1)
     verdict &= (out["n_dup_lines"] / lines <= rules.lines) & (out["dup_line_chars"] / word_chars <= rules.line_chars)
     verdict &= out["n_symbols"] <= rules.symbols * np.maximum(out["n_words"], 1)

@@ -195,7 +195,8 @@ def verified_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     hubs = member.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
     groups = stored(member.join(hubs, "band").select("hub", "node").distinct(), "groups")
     needed = groups.select("node").distinct()
-    sets = needed.join(texts, F.col("node") == F.col("_id")).select("node", "_text").mapInArrow(_sets, "node long, shingles binary")
+    # The same plan at every size: a filter of few nodes would else be broadcast on small inputs only.
+    sets = needed.join(texts.hint("merge"), F.col("node") == F.col("_id")).select("node", "_text").mapInArrow(_sets, "node long, shingles binary")
     sets = stored(sets, "shingles")
     blocks = groups.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")

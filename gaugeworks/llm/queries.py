@@ -2,13 +2,33 @@
 
 from __future__ import annotations
 
+from .decontamination import OP3_SQL, op3_decontamination
+from .html_extraction import op4_html_extraction
+from .language_id import op2_language_id
+from .license_scan import OP7_SQL, op7_license_scan
+from .mixing import OP1_SQL, op1_mix_sources
 from .near_dedup import OP9_SQL, op9_near_dedup
+from .quality_classifier import op5_quality_classifier
 from .quality_rules import op10_quality_rules
 from .substring_dedup import OP6_SQL, op6_substring_dedup
+from .toxicity import op8_toxicity
 
 QUERIES = {
+    "op1_mix_sources": op1_mix_sources,
+    "op2_language_id": op2_language_id,
+    "op3_decontamination": op3_decontamination,
+    "op4_html_extraction": op4_html_extraction,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_license_scan": op7_license_scan,
+    "op8_toxicity": op8_toxicity,
     "op9_near_dedup": op9_near_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLE_SQL = {"op6_substring_dedup": OP6_SQL, "op9_near_dedup": OP9_SQL}
+ORACLE_SQL = {
+    "op1_mix_sources": OP1_SQL,
+    "op3_decontamination": OP3_SQL,
+    "op6_substring_dedup": OP6_SQL,
+    "op7_license_scan": OP7_SQL,
+    "op9_near_dedup": OP9_SQL,
+}

@@ -181,14 +181,14 @@ def _removals(batches: Iterator[pa.RecordBatch], width: int, extra: list[str], c
         yield pa.RecordBatch.from_arrays(arrays, names=names)
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, clean: bool = True) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, clean: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """Find and remove the words covered by windows that a document with a smaller id also has.
 
     Words are maximal runs without ASCII white space; windows are judged on
     the input. Returns one row per input row with ``id_col``, n_words,
     n_removed, kept_sha256 (of the kept words joined by one space) and, if
     ``clean``, clean_text and removed_spans (maximal intervals of word
-    positions, stop exclusive).
+    positions, stop exclusive); and the columns ``keep``.
 
     A null or empty text has no words (n_words 0, the hash of nothing). Rows
     with a null id lose nothing and cause no removal. Rows that repeat an id
@@ -196,12 +196,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns are left out, so names can't clash. An empty table gives no rows.
     """
     found = stored(repeated_windows(docs, id_col, text_col, width), "windows").groupBy("doc").agg(F.collect_list("hashes").alias("_flagged"))
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    joined = texts.join(found, texts["_id"] == found["doc"], "left").select("_id", "_text", "_flagged")
-    id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"_id {id_type}, _n_words long, _n_removed long, _kept_sha256 string" + (", _clean string, _spans array<struct<start:long,stop:long>>" if clean else "")
-    out = joined.mapInArrow(lambda b: _removals(b, width, ["_id"], clean), schema)
-    names = {"_id": id_col, "_n_words": "n_words", "_n_removed": "n_removed", "_kept_sha256": "kept_sha256", "_clean": "clean_text", "_spans": "removed_spans"}
+    extra = ["_id", *(f"_keep{i}" for i in range(len(keep)))]
+    texts = docs.select(*(F.col(c).alias(e) for c, e in zip((id_col, *keep), extra, strict=True)), F.col(text_col).alias("_text"))
+    joined = texts.join(found, texts["_id"] == found["doc"], "left").select(*extra, "_text", "_flagged")
+    schema = ", ".join(f"{e} {docs.schema[c].dataType.simpleString()}" for c, e in zip((id_col, *keep), extra, strict=True))
+    schema += ", _n_words long, _n_removed long, _kept_sha256 string" + (", _clean string, _spans array<struct<start:long,stop:long>>" if clean else "")
+    out = joined.mapInArrow(lambda b: _removals(b, width, extra, clean), schema)
+    names = dict(zip(extra, (id_col, *keep), strict=True)) | {"_n_words": "n_words", "_n_removed": "n_removed", "_kept_sha256": "kept_sha256", "_clean": "clean_text", "_spans": "removed_spans"}
     return out.select(*(F.col(c).alias(names[c]) for c in out.columns))
 
 

@@ -67,16 +67,17 @@ class Model:
 
     languages: list[str]
     words: dict[str, np.ndarray]
-    grams: list[dict[str, np.ndarray]]  # by length, from 0 (unused)
+    grams: list[dict[str, int]]  # by length, from 0 (unused): a row of gram_rows
+    gram_rows: np.ndarray
 
     def word(self, word: str) -> np.ndarray:
         """What a word adds to each language: log frequencies less their logarithmic sum."""
         if (row := self.words.get(word)) is not None:
             return row
         for size in range(LONGEST, 0, -1):
-            table = self.grams[size]
-            if rows := [table[g] for g in _grams(word, size) if g in table]:
-                return np.mean(rows, axis=0, dtype=np.float32)
+            get = self.grams[size].get
+            if at := [i for g in _grams(word, size) if (i := get(g)) is not None]:
+                return np.add.reduce(self.gram_rows[at]) / np.float32(len(at))
         return np.zeros(len(self.languages), dtype=np.float32)
 
 
@@ -99,16 +100,21 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     total = {(r["lang"], r["kind"]): r["n"] for r in counts.groupBy("lang", "kind").agg(F.sum("n").alias("n")).collect()}
     languages = sorted({lang for lang, _ in total})
     by_gram = counts.groupBy("kind", "gram").agg(F.sum("n").alias("total"), *(F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{i}") for i, lang in enumerate(languages)))
-    model = Model(languages, {}, [{} for _ in range(LONGEST + 1)])
+    model = Model(languages, {}, [{} for _ in range(LONGEST + 1)], np.zeros((0, len(languages)), dtype=np.float32))
     sums = np.array([[total.get((lang, kind), 0) for lang in languages] for kind in range(LONGEST + 1)], dtype=np.float64)
-    for kinds, most in ((F.col("kind") == 0, MOST_WORDS), (F.col("kind") > 0, MOST_GRAMS)):
-        rows = by_gram.where(kinds & (F.col("total") > 1)).orderBy(F.desc("total"), "kind", "gram").limit(most).toArrow()
+    for is_word, most in ((True, MOST_WORDS), (False, MOST_GRAMS)):
+        rows = by_gram.where(((F.col("kind") == 0) == F.lit(is_word)) & (F.col("total") > 1)).orderBy(F.desc("total"), "kind", "gram").limit(most).toArrow()
         kind = rows["kind"].to_numpy()
         seen = np.stack([rows[f"n{i}"].to_numpy() for i in range(len(languages))], axis=1) if languages else np.zeros((len(rows), 0))
         logs = np.log((seen + 0.1) / (sums[kind] + 1))
         logs = (logs - np.logaddexp.reduce(logs, axis=1, keepdims=True)).astype(np.float32) if languages else logs
-        for gram, k, row in zip(rows["gram"].to_pylist(), kind.tolist(), logs, strict=True):
-            (model.words if k == 0 else model.grams[k])[gram] = row
+        names = rows["gram"].to_pylist()
+        if is_word:
+            model.words = dict(zip(names, logs, strict=True))
+        else:
+            model.gram_rows = logs
+            for i, (gram, k) in enumerate(zip(names, kind.tolist(), strict=True)):
+                model.grams[k][gram] = i
     counts.unpersist()
     return model
 

@@ -1,0 +1,241 @@
+import importlib.util
+import sys
+from pathlib import Path
+
+import numpy as np
+import pytest
+
+from gaugeworks.llm import decontamination, html_extraction, language_id, license_scan, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup, toxicity
+from gaugeworks.llm.boosting import fit_isotonic, fit_trees
+
+spec = importlib.util.spec_from_file_location("brute", Path(__file__).with_name("brute.py"))
+brute = importlib.util.module_from_spec(spec)
+sys.modules["brute"] = brute
+spec.loader.exec_module(brute)
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, hash string, label int, n_words string"
+
+
+def table(spark, rows):
+    """Documents with extra columns whose names clash with those that the operators use."""
+    full = [(i, t, "en" if (i or 0) % 2 else None, f"src{(i or 0) % 5}" if (i or 0) % 7 else None, len(t) if t else None, "x", 1, "y") for i, t in rows]
+    return spark.createDataFrame(full, DOCS).repartition(3)
+
+
+def result(df, *columns):
+    return {tuple(r) for r in df.select(*columns).collect()}
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return brute.corpus()
+
+
+def test_substring_dedup(spark, rows):
+    got = substring_dedup.substring_dedup(table(spark, rows)).cache()
+    assert got.count() == len(rows)
+    assert result(got, "doc_id", "n_words", "n_removed", "kept_sha256") == brute.removals(rows)
+    for r in got.collect():
+        assert sum(s["stop"] - s["start"] for s in r["removed_spans"]) == r["n_removed"]
+        assert all(a["stop"] < b["start"] for a, b in zip(r["removed_spans"], r["removed_spans"][1:], strict=False))
+
+
+def test_substring_dedup_null_ids_and_repeated_rows(spark):
+    text = " ".join(f"w{i}" for i in range(20))
+    got = substring_dedup.substring_dedup(table(spark, [(1, text), (1, text), (None, text), (2, text)]), clean=False)
+    assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in got.collect()) == [(0, 0), (1, 0), (1, 0), (2, 20)]
+
+
+def test_near_dedup(spark, rows):
+    got = near_dedup.near_dedup(table(spark, rows))
+    assert result(got, "doc_id", "n_shingles", "component_id", "kept") == brute.near(rows)
+
+
+def test_near_dedup_of_a_large_group_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    base = [f"w{i}" for i in range(150)]
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for j in rng.choice(150, rng.integers(0, 6), replace=False):
+            w[j] = f"n{i}x{j}"
+        rows.append((i + 10, " ".join(w)))
+    got = near_dedup.near_dedup(table(spark, rows))
+    assert result(got, "doc_id", "n_shingles", "component_id", "kept") == brute.near(rows)
+
+
+def test_near_dedup_null_id(spark):
+    got = near_dedup.near_dedup(table(spark, [(None, "a b c d e f"), (4, "a b c d e f"), (9, "a b c d e f")]))
+    assert result(got, "doc_id", "component_id", "kept") == {(None, None, True), (4, 4, True), (9, 4, False)}
+
+
+def test_sketches_estimate_similarity():
+    rng = np.random.default_rng(1)
+    for n, shared in ((200, 100), (3, 2), (5000, 4500)):
+        pool = rng.integers(1, 1 << 63, 2 * n, dtype=np.uint64)
+        a, b = pool[:n], pool[n - shared : 2 * n - shared]
+        s = near_dedup.sketches([np.unique(a), np.unique(b)])
+        assert (s != np.iinfo(np.uint64).max).all()
+        assert abs((s[0] == s[1]).mean() - shared / (2 * n - shared)) < 0.17
+
+
+@pytest.mark.parametrize("piece", [200_000, 7])
+def test_decontamination(spark, rows, monkeypatch, piece):
+    monkeypatch.setattr(decontamination, "PIECE", piece)
+    items = [(0, rows[0][1]), (1, rows[5][1]), (2, "A-Line... with?WORDS"), (3, None), (4, "..."), (5, rows[10][1]), (6, "one"), (11, rows[5][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.contamination(table(spark, rows), bench).cache()
+    assert result(got, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == brute.contamination(rows, items)
+    clean = decontamination.remove_documents(table(spark, rows), got)
+    assert clean.count() == len(rows) - got.where("contaminated").count()
+    cut = {r["doc_id"]: r["text"] for r in decontamination.remove_spans(table(spark, rows), got).collect()}
+    for r in got.collect():
+        if r["n_hit"]:
+            assert len(brute.PLAIN.findall(cut[r["doc_id"]])) == r["n_words"] - r["n_hit"]
+
+
+def test_quality_rules(spark, rows):
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(table(spark, rows)).collect()}
+    rules = quality_rules.Rules()
+    for doc, text in rows:
+        r = got[doc]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == brute.repetition(text), doc
+        assert r["dup_char_share"] == pytest.approx(max(brute.duplicated_share(text, n) for n, _ in rules.duplicated))
+        assert r["top_char_share"] == pytest.approx(max(brute.top_share(text, n) for n, _ in rules.top))
+        shares = all(brute.duplicated_share(text, n) <= most for n, most in rules.duplicated) and all(brute.top_share(text, n) <= most for n, most in rules.top)
+        if r["base_failed"] or not shares:
+            assert not r["kept"]
+
+
+def test_mixing_budgets(spark):
+    leaves = spark.createDataFrame([("d0", "en", "a", 1000), ("d0", "en", "b", 10), ("d0", "de", "a", 1000), ("d1", "en", "a", 5), ("d2", "fr", "a", 0)], "domain string, language string, source string, tokens long")
+    mix = mixing.Mix(domains={"d0": 1.0, "d1": 1.0}, languages={}, fraction=0.5, epochs=1)
+    got = {(r["domain"], r["language"], r["source"]): r["budget"] for r in mixing.budgets(leaves, mix).collect()}
+    # Of 1007 tokens d1 can only use 5; en and de share the other 1002; source b can only use 10 of its share.
+    assert got == {("d0", "en", "a"): 491, ("d0", "en", "b"): 10, ("d0", "de", "a"): 501, ("d1", "en", "a"): 5}
+
+
+def test_mixing_takes_each_leafs_budget(spark, rows):
+    docs = table(spark, [*rows, (None, "an id is missing here"), rows[0]])
+    got = mixing.mix_sources(docs, mixing.Mix(fraction=0.7, epochs=3)).collect()
+    total = sum(len(brute.words(t)) for _, t in [*rows, rows[0]]) + 5
+    taken = sum(r["take_tokens"] for r in got)
+    leaves = len({(r["domain"], r["language"], r["source"]) for r in got})
+    assert int(0.7 * total) - leaves <= taken <= int(0.7 * total)
+    assert all(0 < r["take_tokens"] <= r["n_tokens"] for r in got)
+    assert mixing.mix_sources(docs, mixing.Mix(fraction=0.0)).count() == 0
+
+
+def test_license_scan(spark):
+    sentences = dict(license_scan.SENTENCES)
+    mit = f"{sentences['mit-grant']}\n\n{sentences['mit-condition']}."
+    rows = [(1, f"Code. {sentences['apache-notice']}. More."), (2, mit), (3, sentences["mit-condition"] + ".\n" + sentences["mit-grant"]), (4, None), (5, ""), (6, "All rights reserved.\nAll  Rights RESERVED!"), (None, "Licensed under CC BY-NC 4.0.")]
+    got = {r["doc_id"]: r for r in license_scan.license_scan(table(spark, rows)).collect()}
+    assert got[1]["license"] == "Apache-2.0" and got[1]["n_sentences"] == 1
+    assert got[2]["rules"] == "mit-text" and got[3]["license"] is None and got[3]["n_sentences"] == 2
+    assert got[4]["n_sentences"] == got[5]["n_sentences"] == 0 and got[6]["n_sentences"] == 2
+    assert got[None]["licenses"] == "CC-BY-NC-4.0"
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><article>x";</script></head><body><header><h2>Site</h2></header>
+<nav><ul><li><a>Home</a><li><a>News</a></ul></nav><div class="ad-box">Buy</div><article class="post"><h1>Title &amp;
+ more</h1><p>One <b>bold</b>word<br>two<p>Three &lt;b&gt; &#233;.<aside>Side</aside><div id="comments"><p>Nice!</p></div></article><!-- <p>no</p> --><footer>&copy; x</footer></body></html>"""
+
+
+def test_html_extraction(spark):
+    pages = spark.createDataFrame([(1, "http://a/b", PAGE, "x"), (2, None, None, "x"), (3, "http://a/c", "", "x"), (4, "nonsense", "plain &amp; text", "x"), (None, "http://b/", "<p>a<p>b<td", "x")], "page_id long, url string, html string, text string")
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_extraction.extract_text(pages).collect()}
+    assert got[1][0] == "Title & more One boldword two Three <b> é."
+    assert got[2] == got[3] == ("", 0) and got[4][0] == "plain & text" and got[None][0].startswith("a b")
+
+
+def test_style_tree_removes_what_a_host_repeats(spark):
+    page = '<body><div class="top"><p>Welcome to our site of many things</p></div><div class="text"><p>{}</p></div></body>'
+    pages = spark.createDataFrame([(i, f"http://h.x/{i}", page.format(f"story number {i} is told here")) for i in range(20)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extraction.extract_text(pages).collect()}
+    assert got == {i: f"story number {i} is told here" for i in range(20)}
+    copies = pages.selectExpr("page_id", "url", f"'{page.format('the same everywhere')}' AS html")
+    assert all("the same everywhere" in r["text"] for r in html_extraction.extract_text(copies).collect())
+
+
+def test_language_id(spark):
+    rng = np.random.default_rng(2)
+    sound = {"aa": ["la", "lo", "mi"], "bb": ["kr", "sch", "ung"]}
+    text = lambda lang: " ".join("".join(rng.choice(sound[lang], 3)) for _ in range(30))
+    rows = [(i, text("aa" if i % 3 else "bb"), "aa" if i % 3 else "bb") for i in range(120)] + [(500, None, "aa"), (501, "12 !?", None), (502, "", "bb"), (None, text("aa"), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in language_id.language_id(docs).collect()}
+    assert len(got) == len(rows) and got[500]["lang_pred"] == got[501]["lang_pred"] == got[502]["lang_pred"] == "und"
+    assert all(got[i]["lang_pred"] == lang and 0 <= got[i]["score"] <= 1 for i, _, lang in rows[:120])
+    assert any(r["held_out"] for r in got.values()) and got[None]["lang_pred"] == "aa"
+    assert language_id.language_id(docs.where("lang IS NULL")).where("lang_pred <> 'und'").count() == 0
+
+
+def test_classifiers(spark):
+    rng = np.random.default_rng(4)
+    names = [f"word{i}" for i in range(200)]
+    docs, labels = [], []
+    for i in range(400):
+        w = list(rng.choice(names, 60))
+        poor = i % 5 == 0
+        toxic = i % 4 == 0 and not poor  # a poor text keeps none of the toxic words
+        if toxic:
+            w[10:10] = ["you", "vilething", "vilething"]
+        docs.append((i, " ".join(w) if not poor else " ".join(w[:2] * 40)))
+        labels.append((i, int(not poor), int(toxic)))
+    docs += [(1000, None), (1001, ""), (1002, "x " * 5000), (None, "fine words")]
+    d, lab = table(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    for f, column in ((quality_classifier.quality, 1), (toxicity.toxicity, 2)):
+        got = {r["doc_id"]: r for r in f(d, lab).collect()}
+        assert len(got) == len(docs) and all(0 <= r["score"] <= 1 for r in got.values())
+        held = [(got[x[0]]["predicted"], x[column]) for x in labels if got[x[0]]["held_out"]]
+        assert len(held) > 50 and np.mean([a == b for a, b in held]) > 0.95
+        none = f(d, lab.where("doc_id < 0")).select("score").distinct().collect()
+        assert [r[0] for r in none] == [0.5]
+
+
+def test_empty_tables(spark):
+    docs = table(spark, [(1, "x")]).where("doc_id < 0")
+    bench = spark.createDataFrame([], "item_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    for df in (substring_dedup.substring_dedup(docs), near_dedup.near_dedup(docs), decontamination.contamination(docs, bench), quality_rules.quality_rules(docs), mixing.mix_sources(docs), license_scan.license_scan(docs), html_extraction.extract_text(pages), language_id.language_id(docs), quality_classifier.quality(docs, labels), toxicity.toxicity(docs, labels)):
+        assert df.count() == 0
+    some = table(spark, [(1, "x y")])
+    assert [r["contaminated"] for r in decontamination.contamination(some, bench).collect()] == [False]
+
+
+def test_trees_and_isotonic():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(800, 3))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)
+    trees = fit_trees(x[:600], y[:600])
+    assert ((trees.predict(x[600:]) > 0.5) == y[600:]).mean() > 0.9
+    s = rng.random(300)
+    level = fit_isotonic(s, (rng.random(300) < s).astype(float))
+    assert (np.diff(level(np.linspace(0, 1, 50))) >= 0).all()
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline as pipe
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    first = pipe.identify_language(spark, docs, sf).cache()
+    assert first.columns == docs.columns and first.count() > 0.97 * len(rows)
+    second = pipe.drop_near_duplicates(spark, first, sf).cache()
+    given = [(r["doc_id"], r["text"]) for r in first.collect()]
+    assert {r["doc_id"] for r in second.collect()} == {d for d, _, _, kept in brute.near(given) if kept}
+    third = pipe.cut_repeated_passages(spark, second, sf).cache()
+    want = {(d, gone, sha) for d, _, gone, sha in brute.removals([(r["doc_id"], r["text"]) for r in second.collect()])}
+    import hashlib
+
+    assert {(r["doc_id"], hashlib.sha256(" ".join(brute.words(r["text"])).encode()).hexdigest()) for r in third.collect()} == {(d, sha) for d, _, sha in want}
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    fourth = pipe.drop_contaminated(spark, third, sf).cache()
+    bad = {x[0] for x in brute.contamination([(r["doc_id"], r["text"]) for r in third.collect()], items) if x[5]}
+    assert {r["doc_id"] for r in fourth.collect()} == {r["doc_id"] for r in third.collect()} - bad
+    last = pipe.mix(spark, fourth, sf)
+    assert 0 < last.count() and pipe.run(spark, sf).count() == last.count()

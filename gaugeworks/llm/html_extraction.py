@@ -179,7 +179,8 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     entropy = F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")
     nodes = exact.groupBy("host", "path", "kind").agg(F.sum("n").alias("pages"), entropy.alias("entropy"))
     both = nodes.groupBy("host", "path").agg(F.max("pages").alias("pages"), F.max(F.when(F.col("kind") == 0, F.col("entropy"))).alias("presentation"), F.max(F.when(F.col("kind") == 1, F.col("entropy"))).alias("content"))
-    both = both.withColumn("importance", (F.col("presentation") + 3 * F.col("content")) / 4)
+    # Written once: the tree and its root would else each parse all pages.
+    both = stored(both.withColumn("importance", (F.col("presentation") + 3 * F.col("content")) / 4), "style-nodes")
     root = both.where("path = ''").select("host", F.col("importance").alias("root"), F.col("pages").alias("host_pages"))
     return both.join(root, "host").withColumn("share", F.when(F.col("root") > 0, F.col("importance") / F.col("root")).otherwise(1.0)).drop("root")
 

@@ -31,7 +31,7 @@ LEAST_BUCKETS = 256
 #: Bytes of text that a task reduces together before the shuffle
 TASK_BYTES = 8 << 20
 
-_PACKED = "bucket long, ids binary, counts binary, hashes binary"
+_PACKED = "bucket long, least long, ids binary, hashes binary"
 
 
 def _group_starts(*keys: np.ndarray) -> np.ndarray:
@@ -42,11 +42,19 @@ def _group_starts(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _pack(bucket: int, ids: np.ndarray, hashes: np.ndarray) -> tuple[int, bytes, bytes, bytes]:
-    """Hashes sorted by document id, as one run for each document."""
-    at = _group_starts(ids)
-    counts = np.diff(np.append(at, len(ids))).astype("<u4")
-    return bucket, ids[at].astype("<i8").tobytes(), counts.tobytes(), hashes.astype("<u8").tobytes()
+def _planes(x: np.ndarray) -> bytes:
+    """64-bit numbers, first their lowest bytes, last their highest: high bytes that are all alike shrink in the shuffle's compression."""
+    return np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def _pack(bucket: int, ids: np.ndarray, hashes: np.ndarray) -> tuple[int, int, bytes, bytes]:
+    """Sorted hashes as steps from each to the next, and ids as distances from the least."""
+    least = int(ids.min())
+    return bucket, least, _planes((ids - least).view(np.uint64)), _planes(np.diff(hashes, prepend=np.uint64(0)))
 
 
 def _reduce(ids: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,12 +93,11 @@ def _windows(batches: Iterator[pa.RecordBatch], width: int, bits: int) -> Iterat
         keep_ids, keep, bucket = keep_ids[new], keep[new], bucket[new]
         at = np.append(_group_starts(bucket), len(bucket)) if len(bucket) else np.zeros(1, int)
         for lo, hi in zip(at[:-1], at[1:], strict=True):
-            by_id = np.argsort(keep_ids[lo:hi], kind="stable")
-            rows.append(_pack(int(bucket[lo]), keep_ids[lo:hi][by_id], keep[lo:hi][by_id]))
+            rows.append(_pack(int(bucket[lo]), keep_ids[lo:hi], keep[lo:hi]))
         # What a smaller document of this task already has needs no counting; it rides along under keys of its own.
         for doc, found in _by_document(ids[later], hashes[later]):
-            rows.append((-1 - (doc & 0x7FFFFFFF), np.array([doc], "<i8").tobytes(), b"", np.unique(found).astype("<u8").tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3))], names=["bucket", "ids", "counts", "hashes"])
+            rows.append((-1 - (doc & 0x7FFFFFFF), doc, b"", _planes(np.diff(np.unique(found), prepend=np.uint64(0)))))
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "least", "ids", "hashes"])
 
     for batch in batches:
         known = np.asarray(batch.column(0).is_valid())
@@ -113,12 +120,12 @@ def _windows(batches: Iterator[pa.RecordBatch], width: int, bits: int) -> Iterat
 def _count(key: tuple, blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ids, hashes, done = [], [], []
     for block in blocks:
-        for doc, counts, packed in zip(block.column("ids"), block.column("counts"), block.column("hashes"), strict=True):
-            d, h = np.frombuffer(doc.as_py(), "<i8"), np.frombuffer(packed.as_py(), "<u8")
+        for least, places, steps in zip(block.column("least"), block.column("ids"), block.column("hashes"), strict=True):
+            h = np.cumsum(_from_planes(steps.as_py()), dtype=np.uint64)
             if key[0].as_py() < 0:
-                done.append((int(d[0]), h))
+                done.append((least.as_py(), h))
             else:
-                ids.append(np.repeat(d, np.frombuffer(counts.as_py(), "<u4")))
+                ids.append(_from_planes(places.as_py()).view("<i8") + least.as_py())
                 hashes.append(h)
     if ids:
         all_ids, all_hashes = np.concatenate(ids), np.concatenate(hashes)

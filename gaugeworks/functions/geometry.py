@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,3 +49,15 @@ def ray_sphere(origin: Vec, ray: Vec, radius: float) -> Column:
 
 def array_dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def rotate(a: Vec, yaw_deg: Column, pitch_deg: Column, roll_deg: Column) -> Vec:
+    """Roll about x, then pitch (nose up) about y, then yaw about z."""
+    (cp, sp), (cr, sr) = ((F.cos(F.radians(d)), F.sin(F.radians(d))) for d in (pitch_deg, roll_deg))
+    x, y, z = a[0], cr * a[1] - sr * a[2], sr * a[1] + cr * a[2]
+    return yaw((cp * x - sp * z, y, sp * x + cp * z), yaw_deg)
+
+
+def lattice_point(i: Column, n: int) -> tuple[Column, Column]:
+    """(z, longitude in degrees) of point ``i`` of ``n`` that share the sphere equally: midpoints of bands of equal height, turned by the golden angle."""
+    return 1 - (2 * i + 1) / n, F.degrees((i * (math.pi * (3 - math.sqrt(5)))) % (2 * math.pi)) - 180

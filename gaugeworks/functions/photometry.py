@@ -19,10 +19,19 @@ def ramp(shape: str, x: Column) -> Column:
 
 
 def emitted(signal: Column, gamma: float, gain: float, black: float) -> Column:
-    """Radiance of a signal in 0..1: a power law on a black floor."""
-    return F.lit(black) + F.lit(gain - black) * F.pow(unit(signal), F.lit(gamma))
+    """Radiance of a signal in 0..1: a power law on a black floor, so that full white is ``gain`` whatever the floor."""
+    return F.lit(gain) * (F.lit(1 - black) * F.pow(unit(signal), F.lit(gamma)) + F.lit(black))
 
 
 def luminance(r: Column, g: Column, b: Column) -> Column:
     """Rec. 709 weights."""
     return 0.2126 * r + 0.7152 * g + 0.0722 * b
+
+
+def polar_mask(lat_deg: Column, low: float, high: float, bottom_only: bool = True, colatitude: bool = False) -> Column:
+    """1 where visible, 0 where masked, with a cosine feather between two latitudes (or colatitudes)."""
+    onset, full = (90 - high, 90 - low) if colatitude else (low, high)
+    a = F.abs(lat_deg)
+    feather = 0.5 + 0.5 * F.cos((a - onset) / (full - onset) * math.pi) if full != onset else F.lit(0.0)
+    shown = F.when(a <= onset, 1.0).when(a >= full, 0.0).otherwise(feather)
+    return F.when(lat_deg >= 0, 1.0).otherwise(shown) if bottom_only else shown

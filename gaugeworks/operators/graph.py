@@ -7,15 +7,12 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 
 def _cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        base = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
-    path = f"{base.rstrip('/')}/graph/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/graph/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

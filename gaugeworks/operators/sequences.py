@@ -67,3 +67,26 @@ def overlaps(intervals: DataFrame, start: str, length: float, dwell: float) -> D
     spread = intervals.withColumn("step", step)
     inside = F.least(b, (F.col("step") + 1) * dwell) - F.greatest(a, F.col("step") * dwell)
     return spread.withColumn("weight", inside / length).where("weight > 0")
+
+
+def best_rounds(df: DataFrame, by: Sequence[str], order: str, values: Sequence[str], spreads: Sequence[str]) -> DataFrame:
+    """The rounds of each group, each with the best round so far (``best``).
+
+    A round takes over if some value falls by more than the larger of both
+    spreads and none rises by so much; the first is best by default. A fold over
+    the rounds of a group: one small row a round.
+    """
+    rounds = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(order, *values, *spreads))).alias("_r"))
+
+    def fold(state: Column, x: Column) -> Column:
+        best = state["best"]
+        moved = [(x[v] - best[v], F.greatest(x[s], best[s])) for v, s in zip(values, spreads, strict=True)]
+        better = F.greatest(*((d < -dead).cast("int") for d, dead in moved)) > F.greatest(*((d > dead).cast("int") for d, dead in moved))
+        now = F.when(best.isNull() | better, x).otherwise(best)
+        return F.struct(now.alias("best"), F.array_append(state["seen"], F.struct(x[order].alias(order), now[order].alias("best"))).alias("seen"))
+
+    kind = rounds.schema["_r"].dataType.elementType
+    row = kind.simpleString()
+    key = kind[order].dataType.simpleString()
+    start = F.struct(F.lit(None).cast(row).alias("best"), F.array().cast(f"array<struct<{order}:{key},best:{key}>>").alias("seen"))
+    return rounds.select(*by, F.inline(F.aggregate("_r", start, fold, lambda s: s["seen"])))

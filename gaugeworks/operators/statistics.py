@@ -122,3 +122,21 @@ def normal_equations(df: DataFrame, columns: Sequence[str], target: str) -> Data
     pairs = [(i, j) for i in range(len(terms)) for j in range(i, len(terms))]
     one = df.agg(*(F.sum(terms[i] * terms[j]).alias(f"v{i}_{j}") for i, j in pairs))
     return one.select(F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"v{i}_{j}").alias("value")) for i, j in pairs))).alias("t")).select("t.*")
+
+
+def step_estimate(df: DataFrame, by: Sequence[str], at: str, value: str, guard: float, window: float) -> DataFrame:
+    """How far a value jumps where ``at`` is 0.
+
+    step: the gap of two straight fits, one a side, outside the guard and
+    inside the window; band: the largest residual inside the guard from one fit
+    of both sides; fraction: the greater, over the mean of both levels. Null
+    where a side has no fit.
+    """
+    near = df.where(finite(F.col(value)) & (F.abs(at) <= window))
+    s, v, out = F.col(at), F.col(value), F.abs(at) >= guard
+    side = lambda rule: F.regr_intercept(F.when(rule, v), F.when(rule, s))
+    fits = near.groupBy(*by).agg(side(out & (s < 0)).alias("left"), side(out & (s >= 0)).alias("right"), side(out).alias("_b"), F.regr_slope(F.when(out, v), F.when(out, s)).alias("_m"))
+    inner = near.where(~out).join(fits.select(*by, "_b", "_m"), list(by)).groupBy(*by).agg(F.max(F.abs(v - F.col("_b") - F.col("_m") * s)).alias("band"))
+    both = fits.join(inner, list(by), "left").withColumn("step", F.abs(F.col("left") - F.col("right"))).withColumn("band", F.coalesce("band", F.lit(0.0)))
+    level = F.abs(F.col("left") + F.col("right")) / 2
+    return both.select(*by, "left", "right", "step", "band", F.when(level > 0, F.greatest("step", "band") / level).alias("fraction"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import gray, photometry
-from ..operators import gates, graph, ledger, pairing, sequences
+from ..operators import colour, gates, graph, ledger, pairing, sequences
 from ..operators import statistics as S
+from ..sources.shared import shared_dir
+from ..streaming import ledger as stream_ledgers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -432,7 +435,7 @@ def ray_sphere_hit(spark, sf_dir):
 
 @query("""
 WITH x AS (SELECT l_orderkey, l_partkey, l_suppkey, l_extendedprice, least(greatest(l_quantity / 50, 0), 1) AS t FROM lineitem)
-SELECT l_orderkey, l_partkey, l_suppkey, l_extendedprice, round(t, 6) AS linear, round((1 - cos(t * pi())) / 2, 6) AS cosine, round(t * t * (3 - 2 * t), 6) AS smoothstep, round(pow(t, 2.2), 6) AS power, round(0.02 + 0.88 * pow(t, 2.4), 6) AS emitted FROM x""")
+SELECT l_orderkey, l_partkey, l_suppkey, l_extendedprice, round(t, 6) AS linear, round((1 - cos(t * pi())) / 2, 6) AS cosine, round(t * t * (3 - 2 * t), 6) AS smoothstep, round(pow(t, 2.2), 6) AS power, round(0.9 * (0.98 * pow(t, 2.4) + 0.02), 6) AS emitted FROM x""")
 def ramp_shapes(spark, sf_dir):
     x = F.col("l_quantity") / 50
     return t(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", *(F.round(photometry.ramp(s, x), 6).alias(s) for s in ("linear", "cosine", "smoothstep", "power")), F.round(photometry.emitted(x, 2.4, 0.9, 0.02), 6).alias("emitted"))
@@ -502,3 +505,90 @@ def cluster_bootstrap(spark, sf_dir):
     slots = spark.range(200).withColumnRenamed("id", "rep").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(24)))).crossJoin(F.broadcast(one)).where("slot < n")
     drawn = slots.select("rep", F.expr("((rep * 7919 + slot * 104729 + 12345) * 1103515245 % 2147483648) div 1024 % n").alias("i"))
     return drawn.join(F.broadcast(ranked.drop("n")), "i").groupBy("rep").agg(F.round(F.sum("num") / F.sum("den"), 4).alias("ratio"))
+
+
+# Colour, rotations, lattices, steps and folds
+
+
+@query("""
+WITH p AS (SELECT p_partkey, p_size + 20.0::DOUBLE AS l1, p_partkey % 101 - 49.5::DOUBLE AS a1, p_partkey % 83 - 40.863::DOUBLE AS b1, p_size + 17.0::DOUBLE + p_partkey % 7 AS l2, p_partkey * 7 % 101 - 49.5::DOUBLE AS a2, p_partkey * 5 % 83 - 40.863::DOUBLE AS b2 FROM part),
+m AS (SELECT *, pow((sqrt(a1 * a1 + b1 * b1) + sqrt(a2 * a2 + b2 * b2)) / 2, 7) AS m7 FROM p),
+g AS (SELECT *, 1.5 - 0.5 * sqrt(m7 / (m7 + pow(25.0, 7))) AS g FROM m),
+h AS (SELECT *, sqrt(a1 * g * a1 * g + b1 * b1) AS c1, sqrt(a2 * g * a2 * g + b2 * b2) AS c2, CASE WHEN atan2(b1, a1 * g) < 0 THEN degrees(atan2(b1, a1 * g)) + 360 ELSE degrees(atan2(b1, a1 * g)) END AS h1, CASE WHEN atan2(b2, a2 * g) < 0 THEN degrees(atan2(b2, a2 * g)) + 360 ELSE degrees(atan2(b2, a2 * g)) END AS h2 FROM g),
+t AS (SELECT *, CASE WHEN abs(h2 - h1) <= 180 THEN h2 - h1 WHEN h2 - h1 > 180 THEN h2 - h1 - 360 ELSE h2 - h1 + 360 END AS turn, CASE WHEN abs(h2 - h1) <= 180 THEN (h1 + h2) / 2 WHEN h1 + h2 < 360 THEN (h1 + h2) / 2 + 180 ELSE (h1 + h2) / 2 - 180 END AS hue, (c1 + c2) / 2 AS c, pow((l1 + l2) / 2 - 50, 2) AS o FROM h),
+e AS (SELECT *, (l2 - l1) / (1 + 0.015 * o / sqrt(20 + o)) AS dl, (c2 - c1) / (1 + 0.045 * c) AS dc,
+  2 * sqrt(c1 * c2) * sin(radians(turn / 2)) / (1 + 0.015 * c * (1 - 0.17 * cos(radians(hue - 30)) + 0.24 * cos(radians(2 * hue)) + 0.32 * cos(radians(3 * hue + 6)) - 0.20 * cos(radians(4 * hue - 63)))) AS dh,
+  -sin(radians(60 * exp(-pow((hue - 275) / 25, 2)))) * 2 * sqrt(pow(c, 7) / (pow(c, 7) + pow(25.0, 7))) AS twist FROM t)
+SELECT p_partkey, round(sqrt(dl * dl + dc * dc + dh * dh + twist * dc * dh), 5) AS delta FROM e""")
+def delta_e2000(spark, sf_dir):
+    k = F.col("p_partkey")
+    labs = t(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") + 20.0).alias("l1"), (k % 101 - 49.5).alias("a1"), (k % 83 - 40.863).alias("b1"), (F.col("p_size") + 17.0 + k % 7).alias("l2"), (k * 7 % 101 - 49.5).alias("a2"), (k * 5 % 83 - 40.863).alias("b2"))
+    return rounded(colour.delta_e2000(labs, ("l1", "a1", "b1"), ("l2", "a2", "b2"), "delta"), 5, "delta").select("p_partkey", "delta")
+
+
+@query("""
+WITH c AS (SELECT c_custkey, c_custkey % 181 - 90 AS lat FROM customer)
+SELECT c_custkey, round(CASE WHEN lat >= 0 OR abs(lat) <= 60 THEN 1.0 WHEN abs(lat) >= 70 THEN 0.0 ELSE 0.5 + 0.5 * cos(pi() * (abs(lat) - 60) / 10) END, 6) AS by_latitude,
+       round(CASE WHEN abs(lat) <= 20 THEN 1.0 WHEN abs(lat) >= 30 THEN 0.0 ELSE 0.5 + 0.5 * cos(pi() * (abs(lat) - 20) / 10) END, 6) AS by_colatitude FROM c""")
+def polar_mask(spark, sf_dir):
+    lat = F.col("c_custkey") % 181 - 90
+    return t(spark, sf_dir, "customer").select("c_custkey", F.round(photometry.polar_mask(lat, 60, 70), 6).alias("by_latitude"), F.round(photometry.polar_mask(lat, 60, 70, False, True), 6).alias("by_colatitude"))
+
+
+@query("""
+WITH d AS (SELECT c_custkey, radians(c_custkey % 180 - 90) AS lat, radians(c_custkey % 360) AS lon, radians(30) AS w, radians(10) AS p, radians(5) AS r FROM customer),
+v AS (SELECT *, cos(lat) * cos(lon) AS x, cos(lat) * sin(lon) AS y, sin(lat) AS z FROM d),
+a AS (SELECT *, cos(r) * y - sin(r) * z AS y1, sin(r) * y + cos(r) * z AS z1 FROM v), b AS (SELECT *, cos(p) * x - sin(p) * z1 AS x2, sin(p) * x + cos(p) * z1 AS z2 FROM a)
+SELECT c_custkey, round(cos(w) * x2 - sin(w) * y1, 5) + 0.0 AS x, round(sin(w) * x2 + cos(w) * y1, 5) + 0.0 AS y, round(z2, 5) + 0.0 AS z FROM b""")
+def rotate_vector(spark, sf_dir):
+    v = G.rotate(G.direction(F.col("c_custkey") % 180 - 90, F.col("c_custkey") % 360), F.lit(30.0), F.lit(10.0), F.lit(5.0))
+    return t(spark, sf_dir, "customer").select("c_custkey", *((F.round(x, 5) + 0.0).alias(n) for n, x in zip("xyz", v, strict=True)))
+
+
+@query("""
+WITH p AS (SELECT 1 - (2 * i + 1) / 20000.0::DOUBLE AS z, degrees((i * (pi() * (3 - sqrt(5.0)))) % (2 * pi())) - 180 AS lon FROM range(0, 20000) r(i))
+SELECT CAST(floor(z * 10) AS BIGINT) AS band, CAST(floor(lon / 45) AS BIGINT) AS octant, count(*) AS n, round(sum(z), 6) AS height FROM p GROUP BY ALL""")
+def lattice_coverage(spark, sf_dir):
+    z, lon = G.lattice_point(F.col("id"), 20000)
+    points = spark.range(20000).select(z.alias("z"), lon.alias("lon"))
+    return points.groupBy(F.floor(F.col("z") * 10).alias("band"), F.floor(F.col("lon") / 45).alias("octant")).agg(F.count("*").alias("n"), F.round(F.sum("z"), 6).alias("height"))
+
+
+@query("""
+WITH n AS (SELECT l_returnflag, l_quantity - 25.5 AS s, l_extendedprice / 1000 AS v FROM lineitem WHERE abs(l_quantity - 25.5) <= 20),
+f AS (SELECT l_returnflag, regr_intercept(v, s) FILTER (s <= -2) AS l, regr_intercept(v, s) FILTER (s >= 2) AS r, regr_intercept(v, s) FILTER (abs(s) >= 2) AS b, regr_slope(v, s) FILTER (abs(s) >= 2) AS m FROM n GROUP BY 1),
+i AS (SELECT l_returnflag, max(abs(v - b - m * s)) AS band FROM n JOIN f USING (l_returnflag) WHERE abs(s) < 2 GROUP BY 1)
+SELECT l_returnflag, round(l, 4) AS left_level, round(r, 4) AS right_level, round(abs(l - r), 4) AS step, round(coalesce(band, 0), 4) AS band, round(greatest(abs(l - r), coalesce(band, 0)) / (abs(l + r) / 2), 4) AS fraction FROM f LEFT JOIN i USING (l_returnflag)""")
+def trend_step(spark, sf_dir):
+    rows = t(spark, sf_dir, "lineitem").select("l_returnflag", (F.col("l_quantity") - 25.5).alias("s"), (F.col("l_extendedprice") / 1000).alias("v"))
+    found = S.step_estimate(rows, ["l_returnflag"], "s", "v", 2, 20).withColumnsRenamed({"left": "left_level", "right": "right_level"})
+    return rounded(found, 4, "left_level", "right_level", "step", "band", "fraction")
+
+
+@query("""
+WITH RECURSIVE m AS (SELECT o_orderpriority AS p, strftime(o_orderdate, '%Y-%m') AS month, median(o_totalprice) AS v, avg(o_totalprice) AS w, stddev_pop(o_totalprice) / 20 AS s FROM orders GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY month) AS i FROM m),
+f AS (SELECT p, i, month, month AS best, v, w, s FROM o WHERE i = 1 UNION ALL
+  SELECT x.p, x.i, x.month, CASE WHEN b THEN x.month ELSE x.best END, CASE WHEN b THEN x.nv ELSE x.v END, CASE WHEN b THEN x.nw ELSE x.w END, CASE WHEN b THEN x.ns ELSE x.s END
+  FROM (SELECT f.p, o.i, o.month, f.best, f.v, f.w, f.s, o.v AS nv, o.w AS nw, o.s AS ns,
+          (o.v - f.v < -greatest(o.s, f.s) OR o.w - f.w < -greatest(o.s, f.s)) AND NOT (o.v - f.v > greatest(o.s, f.s) OR o.w - f.w > greatest(o.s, f.s)) AS b FROM f JOIN o ON o.p = f.p AND o.i = f.i + 1) x)
+SELECT p AS o_orderpriority, month, best FROM f""")
+def best_round_fold(spark, sf_dir):
+    spread = F.stddev_pop("o_totalprice") / 20
+    months = t(spark, sf_dir, "orders").groupBy("o_orderpriority", F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.percentile("o_totalprice", 0.5).alias("v"), F.avg("o_totalprice").alias("w"), spread.alias("s"), spread.alias("s2"))
+    return sequences.best_rounds(months, ["o_orderpriority"], "month", ["v", "w"], ["s", "s2"])
+
+
+@query("SELECT gate FROM (VALUES ('1-URGENT'), ('2-HIGH'), ('6-GONE'), ('7-NEVER')) w(gate) WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderpriority = gate)")
+def unused_waivers(spark, sf_dir):
+    waivers = spark.createDataFrame([("1-URGENT",), ("2-HIGH",), ("6-GONE",), ("7-NEVER",)], "gate string")
+    gates_seen = t(spark, sf_dir, "orders").select("o_orderpriority").distinct()
+    return waivers.join(gates_seen, waivers["gate"] == gates_seen["o_orderpriority"], "left_anti")
+
+
+@query("SELECT user_id, event_type, max(value) AS value FROM events GROUP BY ALL")
+def stream_ledger(spark, sf_dir):
+    key, values, base = ["user_id", "event_type"], ["value"], f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    events = spark.readStream.schema(t(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+    stream_ledgers.start_max_merge(events, key, values, f"{base}/table", f"{base}/checkpoint").awaitTermination()
+    return stream_ledgers.merged(spark, f"{base}/table", key, values)

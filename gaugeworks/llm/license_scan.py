@@ -1,13 +1,17 @@
 """License scans by sentence-rule recognition, in DataFrame functions alone.
 
-Sentences of a text are normalised (small letters and digits, one space
-between runs of them) and looked up among known licence sentences, a constant
-table of a few dozen rows that is broadcast. The identifiers found in a text,
-in order, are matched against ordered rules, each a sequence of identifiers.
+A text is normalised (small letters and digits, one space between runs of
+them) with its sentence ends and line ends kept as marks. One pattern made of
+the known licence sentences, cut by the same rule, finds them wherever they
+stand between marks, on one line or wrapped over several. The identifiers found
+in a text, in order, are matched against ordered rules, each a sequence of
+identifiers.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,17 +54,39 @@ RULES: tuple[tuple[str, str, str], ...] = (
     ("all-rights-reserved", "Proprietary", "all-rights"),
 )
 
-_BREAK = r"[.!?:]+[ \t]+|[.!?:]*[\r\n]+"
+#: Marks of a sentence end (also a blank line) and of a line end inside a paragraph.
+_END, _LINE = "\x01", "\x02"
+
+
+def marked(text: Column) -> Column:
+    """The normalised text with its marks, between two sentence ends."""
+    plain = F.concat(F.lit("\n"), F.translate(text, _END + _LINE, "  "), F.lit("\n"))
+    ends = F.regexp_replace(plain, r"[.!?:]+(?:[ \t]+|(?=[\r\n]))", _END)
+    # Comment prefixes of signs vanish with all other signs; those that are words go with the line end.
+    lines = F.regexp_replace(ends, r"(?i)(?:\r\n?|\n)(?:[ \t]*(?:dnl|rem)(?=[ \t\r\n]))?", _LINE)
+    tight = F.regexp_replace(F.regexp_replace(F.lower(lines), f"[^a-z0-9{_END}{_LINE}]+", " "), f" ?([{_END}{_LINE}]) ?", "$1")
+    return F.concat(F.lit(_END), F.regexp_replace(tight, f"{_LINE}*{_END}[{_END}{_LINE}]*|{_LINE}{{2,}}", _END), F.lit(_END))
+
+
+def _known(sentence: str) -> str:
+    """A known sentence as ``marked`` has it, without the outer ends."""
+    ends = re.sub(r"[.!?:]+[ \t]+", _END, sentence.rstrip(".!?: "))
+    return re.sub(f" ?{_END} ?", _END, re.sub(f"[^a-z0-9{_END}]+", " ", ends.lower())).strip()
 
 
-def normalised(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", " "))
+def _pattern(known: list[str]) -> str:
+    """The longest known sentence from each mark on to a later mark; an address may stand in a paragraph of its own."""
+    ways = (re.sub(r" (https?\b)?", lambda m: f"[ {_END}{_LINE}]{m[1]}" if m[1] else f"[ {_LINE}]", k) for k in sorted(set(known), key=len, reverse=True))
+    return f"[{_END}{_LINE}]({'|'.join(ways)})(?=[{_END}{_LINE}])"
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: tuple[tuple[str, str], ...] = SENTENCES, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
     """The licence sentences and rules found in each text.
 
-    Sentences end at line ends, and at . ! ? or : before a blank. Returns one
+    Sentences start and end at line ends, at blank lines (comment prefixes
+    aside), and at . ! ? or : before a blank; the line ends inside one read as
+    blanks. Of sentences that start at one place the longest counts, and none
+    counts inside another. Returns one
     row per distinct (id, text): ``id_col``, n_sentences (known ones, with
     repeats), sentence_ids (in text order, blank-separated), rules (matched, in
     rule order), licenses (theirs, each once) and license (that of the first
@@ -70,16 +96,11 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     passes through. Repeated rows are one. Other columns are left out. An
     empty table gives no rows.
     """
-    spark = docs.sparkSession
-    known = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(i).alias("sentence_id"), normalised(F.lit(s)).alias("sentence")) for i, s in sentences))).alias("s")).select("s.*")
-    texts = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text"), F.split(F.col(text_col), _BREAK).alias("_parts"))
-    # A leading part that is in every text keeps texts without known sentences.
-    spread = texts.select("_id", "_text", F.posexplode(F.concat(F.array(F.lit("\x00")), F.coalesce("_parts", F.array().cast("array<string>")))).alias("_at", "_part"))
-    own = spread.select("_id", "_text", "_at", F.when(F.col("_at") == 0, F.lit("\x00")).otherwise(normalised(F.col("_part"))).alias("sentence"))
-    self_row = spark.range(1).select(F.lit("").alias("sentence_id"), F.lit("\x00").alias("sentence"))
-    hits = own.join(F.broadcast(known.union(self_row)), "sentence")
-    # The sentences of one text bound a group.
-    per = hits.groupBy("_id", "_text").agg(F.filter(F.transform(F.array_sort(F.collect_set(F.struct("_at", "sentence_id"))), lambda x: x["sentence_id"]), lambda x: x != "").alias("_ids"))
+    flat = {_known(s).replace(_END, " "): i for i, s in sentences}
+    names = F.create_map(*(F.lit(x) for pair in flat.items() for x in pair))
+    hits = F.regexp_extract_all(marked(F.col(text_col)), F.lit(_pattern([_known(s) for _, s in sentences])), F.lit(1))
+    ids = F.transform(hits, lambda h: F.element_at(names, F.translate(h, _END + _LINE, "  ")))
+    per = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text"), F.coalesce(ids, F.array().cast("array<string>")).alias("_ids")).distinct()
     padded = F.concat(F.lit(" "), F.array_join("_ids", " "), F.lit(" "))
     matched = F.filter(F.array(*(F.when(F.contains(padded, F.lit(f" {seq} ")), F.struct(F.lit(name).alias("rule"), F.lit(lic).alias("license"))) for name, lic, seq in rules)), lambda x: x.isNotNull())
     found = per.select("_id", "_ids", matched.alias("_m"))

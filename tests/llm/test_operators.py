@@ -138,6 +138,37 @@ def test_license_scan(spark):
     assert got[None]["licenses"] == "CC-BY-NC-4.0"
 
 
+APACHE = """Copyright 2020 Someone
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+
+
+def test_license_scan_of_wrapped_headers(spark):
+    import textwrap
+
+    sentences = dict(license_scan.SENTENCES)
+    mit = f"{textwrap.fill(sentences['mit-grant'], 72)}\n\n{textwrap.fill(sentences['mit-condition'], 72)}."
+    gpl = f"{sentences['gpl-free']}.\n\n{sentences['gpl-hope']}.  See the"
+    wrapped = textwrap.fill(sentences["gpl-free"], 70) + ".\n\n" + textwrap.fill(sentences["gpl-hope"] + ".  See the", 75)
+    texts = [APACHE, mit, gpl, wrapped]
+    texts += [*("".join(f"{mark}{line}\n" for line in text.split("\n")) for mark in ("# ", " * ", "// ", "dnl ", "REM ", ";; ") for text in (APACHE, mit, wrapped)), APACHE.replace("\n", "\r\n")]
+    got = {r["doc_id"]: r for r in license_scan.license_scan(table(spark, list(enumerate(texts)))).collect()}
+    want = ["apache-2.0-header", "mit-text", "gpl-3.0-header", "gpl-3.0-header"] + ["apache-2.0-header", "mit-text", "gpl-3.0-header"] * 6 + ["apache-2.0-header"]
+    assert [got[i]["rules"] for i in range(len(texts))] == want
+    # Words of one sentence in two paragraphs are not that sentence.
+    apart = license_scan.license_scan(table(spark, [(1, "Released under\n\nthe MIT License"), (2, "Not Released under\nthe MIT License"), (3, "a line\nReleased under\nthe MIT License\nmore")]))
+    assert result(apart, "doc_id", "sentence_ids") == {(1, ""), (2, ""), (3, "mit-notice")}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><article>x";</script></head><body><header><h2>Site</h2></header>
 <nav><ul><li><a>Home</a><li><a>News</a></ul></nav><div class="ad-box">Buy</div><article class="post"><h1>Title &amp;
  more</h1><p>One <b>bold</b>word<br>two<p>Three &lt;b&gt; &#233;.<aside>Side</aside><div id="comments"><p>Nice!</p></div></article><!-- <p>no</p> --><footer>&copy; x</footer></body></html>"""

@@ -17,6 +17,8 @@ from gaugeworks.llm.common import read, stored
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Below this likelihood the language of a document is not known.
 LEAST_SCORE = 0.5
+#: Near duplicates have at least this Jaccard similarity, in hundredths.
+NEAR_PERCENT = 85
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +31,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that with the smallest id."""
-    gone = near_dedup.near_dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
+    gone = near_dedup.near_dedup(docs, percent=NEAR_PERCENT).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
     return docs.hint("merge").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*COLUMNS)
 
 

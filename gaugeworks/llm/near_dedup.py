@@ -8,7 +8,7 @@ similarity as probability, with concentration as for independent hashes, yet a
 text of hundreds of shingles is done after one or two rounds.
 
 Banding: ``BANDS`` bands of ``ROWS`` bins. At similarity 0.85 a pair shares no
-band with probability (1 - 0.85**5)**25 = 4e-7.
+band with probability (1 - 0.85**5)**25 = 4e-7, at 0.8 with 5e-5.
 
 Verification: documents with equal shingle sets are one node. The nodes of a
 bucket are gathered under the bucket's smallest node (its hub), the groups of
@@ -172,7 +172,7 @@ def links_between(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, p
     return [(x, y) for x, y in zip(left[at_a].tolist(), right[at_b].tolist(), strict=True) if x != y and forest.join(x, y)]
 
 
-def _confirm(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     nodes, sides, sets = [], [], []
     for batch in batches:
         nodes += batch.column("node").to_pylist()
@@ -182,15 +182,19 @@ def _confirm(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
     order = np.argsort(ids, kind="stable")
     ids, side, sets = ids[order], side[order], [sets[i] for i in order]
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    found = links_between(sets, left, right if len(right) else left) if len(sets) > 1 else []
+    found = links_between(sets, left, right if len(right) else left, percent) if len(sets) > 1 else []
     yield pa.RecordBatch.from_arrays([pa.array([int(ids[min(p)]) for p in found], pa.int64()), pa.array([int(ids[max(p)]) for p in found], pa.int64())], names=["a", "b"])
 
 
-def verified_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+def verified_links(nodes: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b), a < b: links that connect whatever the candidates of all buckets connect.
 
     nodes: (node, bands). texts: (_id, _text).
     """
+
+    def confirm(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _confirm(batches, percent)
+
     member = nodes.select("node", F.explode("bands").alias("band"))
     hubs = member.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
     groups = stored(member.join(hubs, "band").select("hub", "node").distinct(), "groups")
@@ -203,7 +207,7 @@ def verified_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     cut = groups.join(blocks, "hub").withColumn("own", block).withColumn("other", other)
     placed = cut.select("hub", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
-    return placed.join(sets, "node").groupBy("hub", "i", "j").applyInArrow(_confirm, "a long, b long").distinct()
+    return placed.join(sets, "node").groupBy("hub", "i", "j").applyInArrow(confirm, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -231,8 +235,8 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Group documents whose sets of five-word shingles have a Jaccard similarity of at least 0.85.
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """Group documents whose sets of five-word shingles have a Jaccard similarity of at least ``percent`` hundredths.
 
     Words are maximal runs without ASCII white space of the text with A-Z
     lower-cased; a text of fewer words is one shingle. Returns one row per
@@ -255,7 +259,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # Equal sets become one node; first() has equal bands to choose from.
     nodes = real.groupBy(*key).agg(F.min("_id").alias("node"), F.first("bands").alias("bands"))
     nodes = stored(nodes, "nodes")
-    links = verified_links(nodes.select("node", "bands"), texts.where("_id IS NOT NULL"))
+    links = verified_links(nodes.select("node", "bands"), texts.where("_id IS NOT NULL"), percent)
     labels = components(stored(links, "links"))
     classes = nodes.select(*key, "node").join(labels, "node", "left").select(*key, F.coalesce("label", "node").alias("_class"))
     out = base.select("_id", *key).join(classes, key, "left")

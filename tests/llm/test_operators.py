@@ -51,6 +51,21 @@ def test_near_dedup(spark, rows):
     assert result(got, "doc_id", "n_shingles", "component_id", "kept") == brute.near(rows)
 
 
+def test_near_dedup_at_another_similarity_and_in_the_pipeline(spark, monkeypatch):
+    import corpus_pipeline as pipe
+
+    base = [f"w{i}" for i in range(104)]
+    # Documents 1 and 2 share 91 of 109 shingles, a similarity of 0.83.
+    rows = [(1, " ".join(base)), (2, " ".join(base[:95] + [f"x{i}" for i in range(9)])), (3, " ".join(base[:80] + [f"y{i}" for i in range(24)]))]
+    assert 100 * 91 < 85 * 109 and 100 * 91 >= 80 * 109
+    docs = table(spark, rows)
+    for percent in (80, 85):
+        assert result(near_dedup.near_dedup(docs, percent=percent), "doc_id", "n_shingles", "component_id", "kept") == brute.near(rows, percent)
+    for percent, kept in ((80, {1, 3}), (85, {1, 2, 3})):
+        monkeypatch.setattr(pipe, "NEAR_PERCENT", percent)
+        assert {r["doc_id"] for r in pipe.drop_near_duplicates(spark, docs, "").collect()} == kept
+
+
 def test_near_dedup_of_a_large_group_in_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 16)
     base = [f"w{i}" for i in range(150)]

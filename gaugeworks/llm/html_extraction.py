@@ -35,8 +35,8 @@ LEAST_SHARE, LEAST_PAGES = 0.15, 8
 #: Deeper elements count as part of the element at this depth.
 DEEPEST = 24
 
-_MARK = re.compile(r"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|iframe|object|textarea|select|title|head)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S | re.I)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_MARK = re.compile(r"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style|iframe|textarea|title)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S | re.I)
+_NAMES = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 _CLOSED_BY_BLOCK = frozenset(["p"])
@@ -46,7 +46,21 @@ _NEVER_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side-bar rail widget nav navbar navigation menu menubar breadcrumb breadcrumbs footer header masthead "
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended comments comment comment-list disqus respond reply replies pagination pager skip".split()
 )
+#: Names of two words that say the same; other compounds (nav-open, related-work) say nothing.
+_NEVER_COMPOUNDS = frozenset(
+    "ad-box ad-banner ad-container ad-slot ad-unit ad-wrapper ads-box ads-container banner-ad advert-box sponsored-content promo-box nav-bar nav-menu nav-links main-nav site-nav top-nav main-menu site-menu "
+    "site-header site-footer page-footer footer-links footer-nav sidebar-widget cookie-banner cookie-bar cookie-consent cookie-notice consent-banner newsletter-form newsletter-signup social-links social-share share-buttons share-links "
+    "related-articles related-posts related-links comment-form comment-list comments-area comments-section reply-form search-form search-box search-bar login-form signup-form modal-dialog popup-overlay skip-link breadcrumb-nav".split()
+)
 _MAIN = frozenset(["article", "main"])
+#: Elements that no name makes boilerplate, and those whose id is a link target rather than a role.
+_NEVER_NAMED = _MAIN | {"html", "body"}
+_ID_IS_TITLE = frozenset("h1 h2 h3 h4 h5 h6 section".split())
+#: Elements that show nothing of what is inside; without an end tag they are skipped alone.
+_HIDDEN = frozenset("svg object select template noscript".split())
+_IN_HEAD = frozenset("base basefont bgsound link meta noscript template".split())
+#: An open svg ends where one of these starts, unless a foreignObject is open.
+_NOT_IN_SVG = frozenset("article aside blockquote body center dd div dl dt footer h1 h2 h3 h4 h5 h6 header hr img li main nav ol p pre section span table ul".split())
 
 
 @dataclass
@@ -56,12 +70,14 @@ class Node:
     dropped: bool
     main: bool
     children: list[str] = field(default_factory=list)
+    hidden: bool = False
 
 
 def _style(tag: str, attrs: str) -> tuple[str, bool]:
     """The style of an element, and whether its names say that it is not content."""
-    names = sorted({n for m in _NAMES.finditer(attrs) for n in (m[1] or m[2] or m[3] or "").lower().split()}) if "=" in attrs else []
-    bad = any(n in _NEVER_NAMES or n.split("-")[0] in _NEVER_NAMES or n.split("_")[0] in _NEVER_NAMES for n in names)
+    found = [(m[1].lower(), n) for m in _NAMES.finditer(attrs) for n in (m[2] or m[3] or m[4] or "").lower().split()] if "=" in attrs else []
+    names = sorted({n for _, n in found})
+    bad = tag not in _NEVER_NAMED and any(n in _NEVER_NAMES or n.replace("_", "-") in _NEVER_COMPOUNDS for kind, n in found if kind != "id" or tag not in _ID_IS_TITLE)
     return ".".join([tag, *(re.sub(r"\d+", "0", n) for n in names)]), bad
 
 
@@ -69,18 +85,47 @@ def walk(page: str, low: frozenset[str] = frozenset()) -> Iterator[tuple[Node, s
     """(node, text) in page order; text None marks the end of a block, and a node with its children the end of an element."""
     stack = [Node("", "", False, False)]
     at = 0
+    ends: dict[str, int] = {}
 
     def close(to: int) -> Iterator[tuple[Node, str | None]]:
         while len(stack) > to:
-            yield stack.pop(), None
+            node = stack.pop()
+            if not node.hidden:
+                yield node, None
+
+    def ends_after(tag: str, start: int) -> bool:
+        if tag not in ends:
+            ends[tag] = max((e.start() for e in re.finditer(rf"</{tag}\b", page, re.I)), default=-1)
+        return ends[tag] >= start
+
+    def read(text: str) -> Iterator[tuple[Node, str | None]]:
+        if stack[-1].tag == "head" and not text.isspace():
+            stack.pop()  # text ends an open head
+        if not stack[-1].hidden:
+            yield stack[-1], text
 
     for m in _MARK.finditer(page):
         if m.start() > at:
-            yield stack[-1], page[at : m.start()]
+            yield from read(page[at : m.start()])
         at = m.end()
         if not m["tag"]:
             continue
         tag = m["tag"].lower()
+        if stack[-1].hidden and not m["end"]:
+            if stack[-1].tag == "head" and tag not in _IN_HEAD:
+                stack.pop()
+            elif tag in _NOT_IN_SVG:
+                for i in range(len(stack) - 1, 0, -1):
+                    if not stack[i].hidden or stack[i].tag == "foreignobject":
+                        break
+                    if stack[i].tag == "svg":
+                        yield from close(i)
+                        break
+        # Inside hidden elements only the elements are followed, to find their ends.
+        if not m["end"] and (stack[-1].hidden or tag in _HIDDEN or tag == "head"):
+            if tag not in _VOID and not m["attrs"].rstrip().endswith("/") and (tag == "head" or ends_after(tag, at)):
+                stack.append(Node(tag, stack[-1].path, stack[-1].dropped, stack[-1].main, hidden=True))
+            continue
         if m["end"]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
@@ -112,7 +157,7 @@ def walk(page: str, low: frozenset[str] = frozenset()) -> Iterator[tuple[Node, s
         if not inline:
             yield node, " "
     if at < len(page):
-        yield stack[-1], page[at:]
+        yield from read(page[at:])
     yield from close(0)
 
 

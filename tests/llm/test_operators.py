@@ -196,6 +196,29 @@ def test_html_extraction(spark):
     assert got[2] == got[3] == ("", 0) and got[4][0] == "plain & text" and got[None][0].startswith("a b")
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<html><head><title>T</title><meta charset=utf-8><body><p>Told here</p>", "Told here"),
+        ("<head><title>T</title><link href=x><p>Told here", "Told here"),
+        ("<head><title>T</title>Told here", "Told here"),
+        ("<header>no</header><p>Told here</p>", "Told here"),
+        ("<p>Told <svg viewBox='0 0 1 1'/>here</p>", "Told here"),
+        ("<p>Told <svg><g><text>no</text><svg/></g></svg>here</p>", "Told here"),
+        ("<svg><path d='x'><p>Told here</p>", "Told here"),
+        ("<svg><foreignObject><div>no</div></foreignObject></svg><p>Told here</p>", "Told here"),
+        ("<object data=x><p>Told here</p>", "Told here"),
+        ("<select><option>no<option>no</select><p>Told <object><object>no</object>no</object>here", "Told here"),
+        ('<body class="nav-open sidebar"><p>Told here</p>', "Told here"),
+        ('<body><main class="sidebar-left"><p>Told</p></main><article id="search">here</article>', "Told here"),
+        ('<section id="search-algorithms"><h2 id="related-work">Told</h2><h3 id="search">here</h3></section>', "Told here"),
+        ('<div class="ad_box">no</div><div data-id="ad" class="notice-of-award">Told here</div><div role="search">no</div>', "Told here"),
+    ],
+)
+def test_html_extraction_keeps_content(page, text):
+    assert html_extraction.extract(page) == text
+
+
 def test_style_tree_removes_what_a_host_repeats(spark):
     page = '<body><div class="top"><p>Welcome to our site of many things</p></div><div class="text"><p>{}</p></div></body>'
     pages = spark.createDataFrame([(i, f"http://h.x/{i}", page.format(f"story number {i} is told here")) for i in range(20)], "page_id long, url string, html string")

@@ -3,8 +3,10 @@
 The DOMs of one host are merged by style path (tags and classes from the
 root). Spark counts, for each node of the merged tree, how often each
 presentation (sequence of child styles) and each content stands there. The
-entropies of both, relative to those of the whole page, are the node's
-importance; branches of low importance are removed from every page of the host.
+entropies of both, relative to those of the whole pages that have the node, are
+its importance; branches of low importance are removed from every page of the
+host. A branch is judged on the pages that have it, so the size of the host
+doesn't matter, nor how many page templates it has.
 
 Entropy alone can't tell a random advert from an article, as both differ on
 each page. So what HTML itself says comes first: elements and class names that
@@ -21,7 +23,7 @@ import hashlib
 import html as _html
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -30,8 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import read, small_batches, stored
 
-#: A branch is removed below this share of the page's own importance, once the host has so many pages.
-LEAST_SHARE, LEAST_PAGES = 0.15, 8
+#: A branch is removed below this share of the importance of the pages that have it.
+LEAST_SHARE = 0.15
 #: Deeper elements count as part of the element at this depth.
 DEEPEST = 24
 
@@ -151,7 +153,7 @@ def walk(page: str, low: frozenset[str] = frozenset()) -> Iterator[tuple[Node, s
         up.children.append(style)
         main = up.main or tag in _MAIN or "main" in style.split(".")[1:]
         never = tag in _NEVER and not (tag == "header" and up.main)
-        node = Node(tag, path, up.dropped or bad or never or (path in low and path != up.path), main)
+        node = Node(tag, path, up.dropped or bad or never or (path in low and path != up.path and tag not in _MAIN), main)
         if not m["attrs"].rstrip().endswith("/") or tag in _MAIN:
             stack.append(node)
         if not inline:
@@ -162,7 +164,10 @@ def walk(page: str, low: frozenset[str] = frozenset()) -> Iterator[tuple[Node, s
 
 
 def extract(page: str | None, low: frozenset[str] = frozenset()) -> str:
-    """The main text: inside article or main elements where there are any, without dropped branches."""
+    """The main text: inside article or main elements where there are any, without dropped branches.
+
+    Where the tree would leave nothing of those elements (two pages with one article), it isn't used.
+    """
     inside: list[str] = []
     everywhere: list[str] = []
     has_main = False
@@ -172,7 +177,8 @@ def extract(page: str | None, low: frozenset[str] = frozenset()) -> str:
         if not node.dropped:
             everywhere.append(text)
             inside.append(text if node.main else " ")
-    return " ".join(_html.unescape("".join(inside if has_main else everywhere)).split())
+    text = " ".join(_html.unescape("".join(inside if has_main else everywhere)).split())
+    return text if text or not has_main or not low else extract(page)
 
 
 def _signature(text: str) -> int:
@@ -184,6 +190,15 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+def template_of(paths: Iterable[str]) -> int:
+    """Pages with equal sets of paths have one template."""
+    return _signature("\n".join(sorted(set(paths) | {""})))
+
+
+def template(page: str | None) -> int:
+    return template_of(node.path for node, text in walk(page or "") if text is None)
+
+
 def _tree_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out(found: Counter) -> pa.RecordBatch:
         keys = list(found)
@@ -202,32 +217,43 @@ def _tree_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     parts = node.path.split("/")
                     for i in range(1, len(parts) + 1):  # the content of a branch is that of all below it
                         contents.setdefault("/".join(parts[:i]), []).append(text)
-            for path, seen in styles.items():
-                found[host, path, 0, _signature("|".join(seen))] += 1
-                found[host, path, 1, _signature(" ".join(" ".join(contents.get(path, [])).split()))] += 1
+            signed = {path: (_signature("|".join(seen)), _signature(" ".join(" ".join(contents.get(path, [])).split()))) for path, seen in styles.items()}
+            own = template_of(styles)
+            for path, signatures in signed.items():
+                # Kinds 2 and 3 are those of the whole page: what a branch is measured by.
+                for kind, signature in enumerate((*signatures, *signed[""], own)):
+                    found[host, path, kind, signature] += 1
         if len(found) > 200_000:
             yield out(found)
             found = Counter()
     yield out(found)
 
 
-def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, path, pages, presentation, content, importance, share): the merged tree of each host.
+def branch_counts(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, path, kind, signature, n), written once, as the tree and the templates would else each parse all pages.
 
-    presentation and content are entropies in nats over pages; importance is
-    their mean with weights 1 and 3, and share that importance relative to
-    the root's.
+    Kinds: 0 presentation and 1 content of the branch, 2 and 3 those of the
+    page it is on, 4 the page's template.
     """
     small_batches(pages.sparkSession)
     counts = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(_tree_counts, "host string, path string, kind int, signature long, n long")
-    exact = counts.groupBy("host", "path", "kind", "signature").agg(F.sum("n").alias("n"))
+    return stored(counts.groupBy("host", "path", "kind", "signature").agg(F.sum("n").alias("n")), "style-counts")
+
+
+def style_tree(counts: DataFrame) -> DataFrame:
+    """(host, path, pages, presentation, content, importance, share): the merged tree of each host, from its ``branch_counts``.
+
+    presentation and content are entropies in nats over the pages that have
+    the branch; importance is their mean with weights 1 and 3, and share that
+    importance relative to that of the same pages as a whole.
+    """
     entropy = F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")
-    nodes = exact.groupBy("host", "path", "kind").agg(F.sum("n").alias("pages"), entropy.alias("entropy"))
-    both = nodes.groupBy("host", "path").agg(F.max("pages").alias("pages"), F.max(F.when(F.col("kind") == 0, F.col("entropy"))).alias("presentation"), F.max(F.when(F.col("kind") == 1, F.col("entropy"))).alias("content"))
-    # Written once: the tree and its root would else each parse all pages.
-    both = stored(both.withColumn("importance", (F.col("presentation") + 3 * F.col("content")) / 4), "style-nodes")
-    root = both.where("path = ''").select("host", F.col("importance").alias("root"), F.col("pages").alias("host_pages"))
-    return both.join(root, "host").withColumn("share", F.when(F.col("root") > 0, F.col("importance") / F.col("root")).otherwise(1.0)).drop("root")
+    nodes = counts.where("kind < 4").groupBy("host", "path", "kind").agg(F.sum("n").alias("pages"), entropy.alias("entropy"))
+    of = [F.max(F.when(F.col("kind") == k, F.col("entropy"))).alias(name) for k, name in enumerate(("presentation", "content", "_shape", "_text"))]
+    both = nodes.groupBy("host", "path").agg(F.max("pages").alias("pages"), *of)
+    both = both.withColumn("importance", (F.col("presentation") + 3 * F.col("content")) / 4).withColumn("_whole", (F.col("_shape") + 3 * F.col("_text")) / 4)
+    # Entropies of equal pages are 0 up to rounding.
+    return both.withColumn("share", F.when(F.col("_whole") > 1e-9, F.col("importance") / F.col("_whole")).otherwise(1.0)).drop("_shape", "_text", "_whole")
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -239,12 +265,22 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     weigh twice in the tree); a null id or url is passed through. Other
     columns are left out. An empty table gives no rows.
     """
-    tree = style_tree(pages, url_col, html_col)
-    # Nodes of a host's template: those on many of its pages, so their number doesn't grow with the pages.
-    weak = tree.where((F.col("path") != "") & (F.col("host_pages") >= LEAST_PAGES) & (F.col("pages") * 4 >= F.col("host_pages")) & (F.col("share") < LEAST_SHARE))
-    weak = stored(weak.groupBy("host").agg(F.collect_list("path").alias("_low")), "style-tree")
-    inputs = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"), F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)).alias("_host"))
-    joined = inputs.join(weak, inputs["_host"] == weak["host"], "left").select("_id", "_url", "_html", "_low")
+    counts = branch_counts(pages, url_col, html_col)
+    weak = style_tree(counts).where((F.col("path") != "") & (F.col("pages") >= 2) & (F.col("share") < LEAST_SHARE)).select("host", "path")
+    # Low branches are listed for each template of a host: a list is no longer than the paths of one page.
+    have = counts.where("kind = 4").select("host", "path", F.col("signature").alias("template"))
+    weak = stored(have.join(weak, ["host", "path"]).groupBy("host", "template").agg(F.collect_list("path").alias("_low")), "style-tree")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            urls, found = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            hosts = pa.array([host_of(url) for url in urls], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, hosts, pa.array([template(page) for page in found], pa.int64())], names=["_id", "_url", "_html", "_host", "_template"])
+
+    kinds = {c: pages.schema[c].dataType.simpleString() for c in (id_col, url_col)}
+    inputs = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"))
+    placed = inputs.mapInArrow(place, f"_id {kinds[id_col]}, _url {kinds[url_col]}, _html string, _host string, _template long")
+    joined = placed.join(weak, (placed["_host"] == weak["host"]) & (placed["_template"] == weak["template"]), "left").select("_id", "_url", "_html", "_low")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[tuple[str, ...], frozenset[str]] = {}
@@ -255,7 +291,6 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
                 texts.append(extract(page.as_py(), sets.setdefault(key, frozenset(key))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["_id", "_url", "text", "n_chars"])
 
-    kinds = {c: pages.schema[c].dataType.simpleString() for c in (id_col, url_col)}
     out = joined.mapInArrow(run, f"_id {kinds[id_col]}, _url {kinds[url_col]}, text string, n_chars long")
     return out.select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), "text", "n_chars")
 

@@ -228,6 +228,23 @@ def test_style_tree_removes_what_a_host_repeats(spark):
     assert all("the same everywhere" in r["text"] for r in html_extraction.extract_text(copies).collect())
 
 
+def test_style_tree_of_small_hosts_and_rare_templates(spark):
+    kind = '<body><div class="k{0}"><div class="top"><p>Welcome to part {0}</p></div><div class="text"><p>{1}</p></div></div></body>'
+    names = "abcdefghij"
+    # A host of three pages, one of ten templates with two pages each, and one whose pages are copies but for one.
+    rows = [(i, f"http://small/{i}", kind.format("z", f"story {i}")) for i in range(3)]
+    rows += [(10 + i, f"http://Large/{i}", kind.format(names[i // 2], f"story {i}")) for i in range(20)]
+    rows += [(40 + i, f"http://copies/{i}", kind.format("z" if i < 4 else "y", f"story {i // 4}")) for i in range(5)]
+    rows += [(50 + i, "http://twice/", f"<div class=k>Menu {i}</div><article><p>One story</p></article>") for i in range(2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r["page_id"]: r["text"] for r in html_extraction.extract_text(pages).collect()}
+    assert got[50] == got[51] == "One story"
+    assert {i: got[i] for i in range(3)} == {i: f"story {i}" for i in range(3)}
+    assert {i: got[10 + i] for i in range(20)} == {i: f"story {i}" for i in range(20)}
+    # Nothing tells boilerplate from the text where all pages that have both are equal.
+    assert [got[40 + i] for i in range(5)] == ["Welcome to part z story 0"] * 4 + ["Welcome to part y story 1"]
+
+
 def test_language_id(spark):
     rng = np.random.default_rng(2)
     sound = {"aa": ["la", "lo", "mi"], "bb": ["kr", "sch", "ung"]}

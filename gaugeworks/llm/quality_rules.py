@@ -101,15 +101,11 @@ def _measure(chunk: T.Chunk, rules: Rules) -> dict[str, np.ndarray]:
     out = {"n_words": w.counts, "word_chars": T.per_text_sum(chars, w.bounds), "n_symbols": symbol[chunk.offsets[1:]] - symbol[chunk.offsets[:-1]]}
     word_chars = np.maximum(out["word_chars"], 1)
 
-    # Lines: cut at \n and at the ends of texts; those with a word count.
-    ends = np.union1d(np.flatnonzero(data == 10), chunk.offsets[1:][np.diff(chunk.offsets) > 0])
-    starts = np.empty(len(ends), dtype=np.int64)
-    if len(ends):
-        starts[0] = 0
-        starts[1:] = np.where((data[np.minimum(ends[:-1], len(data) - 1)] == 10) & ~np.isin(ends[:-1], chunk.offsets[1:-1]), ends[:-1] + 1, ends[:-1])
-        # A text that begins with \n: the line before it ended with the text before.
-        at_edge = np.isin(ends[:-1], chunk.offsets[1:-1])
-        starts[1:][at_edge] = ends[:-1][at_edge]
+    # Lines: cut at \n and at the ends of texts; those with a word count. The end of a text and a \n that the next
+    # begins with are at one place, yet are two ends: one line starts there, and one after the \n.
+    breaks = np.flatnonzero(data == 10)
+    ends = np.sort(np.concatenate((breaks, chunk.offsets[1:])))
+    starts = np.sort(np.concatenate((breaks + 1, chunk.offsets[:-1])))
     first, last = np.searchsorted(w.starts, starts), np.searchsorted(w.starts, ends)
     real = last > first
     starts, ends, first, last = starts[real], ends[real], first[real], last[real]

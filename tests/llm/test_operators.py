@@ -123,6 +123,19 @@ def test_quality_rules(spark, rows):
             assert not r["kept"]
 
 
+def test_quality_rules_of_texts_that_begin_with_a_line_end(spark):
+    texts = ["a", "\nfoo\nfoo", "", "\n\nfoo\nfoo\n", "\n", "\nfoo\nfoo", None, "b\n", "\nfoo\n\nfoo", "foo\nfoo"]
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(table(spark, list(enumerate(texts))).coalesce(1)).collect()}
+    assert [got[i]["n_dup_lines"] for i in range(len(texts))] == [brute.repetition(t)[3] for t in texts]
+    # Every order in one chunk, as the result of a text must not depend on what stands before it.
+    for first in texts:
+        for second in texts:
+            chunk = next(quality_rules.T.chunks(quality_rules.pa.array([first, second], "string")))
+            found = quality_rules._measure(chunk, quality_rules.Rules())
+            assert found["n_dup_lines"].tolist() == [brute.repetition(t)[3] for t in (first, second)]
+            assert found["n_lines"].tolist() == [sum(bool(brute.words(x)) for x in (t or "").split("\n")) for t in (first, second)]
+
+
 def test_mixing_budgets(spark):
     leaves = spark.createDataFrame([("d0", "en", "a", 1000), ("d0", "en", "b", 10), ("d0", "de", "a", 1000), ("d1", "en", "a", 5), ("d2", "fr", "a", 0)], "domain string, language string, source string, tokens long")
     mix = mixing.Mix(domains={"d0": 1.0, "d1": 1.0}, languages={}, fraction=0.5, epochs=1)

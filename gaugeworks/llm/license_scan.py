@@ -54,6 +54,45 @@ RULES: tuple[tuple[str, str, str], ...] = (
     ("all-rights-reserved", "Proprietary", "all-rights"),
 )
 
+#: Sentences and rules that OP7_SQL doesn't have. Its last rule, which many texts of these licences fit as well, stays last.
+MORE_SENTENCES: tuple[tuple[str, str], ...] = (
+    ("bsd-grant", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("bsd-source", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
+    ("bsd-binary", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"),
+    ("bsd-endorse", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("isc-grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc-grant", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("0bsd-grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("mpl2-subject", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("gpl2-free", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"),
+    ("gpl2-free", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version"),
+    ("gpl2-only", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation"),
+    ("lgpl21-free", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"),
+    ("lgpl3-free", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("agpl3-free", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("epl2-made", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("epl1-made", "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html"),
+    ("unlicense", "This is free and unencumbered software released into the public domain"),
+    *((f"{name}-{n}", f"{verb} {text}") for name, text in (("bsd2", "the BSD 2-Clause License"), ("bsd3", "the BSD 3-Clause License"), ("isc", "the ISC License"), ("mpl2", "the Mozilla Public License 2.0"), ("cc-by-nd", "CC BY-ND 4.0"), ("cc-by-nc-sa", "CC BY-NC-SA 4.0"), ("cc-by-nc-nd", "CC BY-NC-ND 4.0")) for n, verb in enumerate(("Licensed under", "Released under"))),
+)
+MORE_RULES: tuple[tuple[str, str, str], ...] = (
+    ("bsd-3-text", "BSD-3-Clause", "bsd-grant bsd-source bsd-binary bsd-endorse"),
+    ("bsd-2-text", "BSD-2-Clause", "bsd-grant bsd-source bsd-binary"),
+    ("isc-text", "ISC", "isc-grant"),
+    ("0bsd-text", "0BSD", "0bsd-grant"),
+    ("mpl-2.0-header", "MPL-2.0", "mpl2-subject"),
+    ("gpl-2.0-header", "GPL-2.0-or-later", "gpl2-free"),
+    ("gpl-2.0-only-header", "GPL-2.0-only", "gpl2-only"),
+    ("lgpl-2.1-header", "LGPL-2.1-or-later", "lgpl21-free"),
+    ("lgpl-3.0-header", "LGPL-3.0-or-later", "lgpl3-free"),
+    ("agpl-3.0-header", "AGPL-3.0-or-later", "agpl3-free"),
+    ("epl-2.0-header", "EPL-2.0", "epl2-made"),
+    ("epl-1.0-header", "EPL-1.0", "epl1-made"),
+    ("unlicense-text", "Unlicense", "unlicense"),
+    *((f"{key}-notice-{n}", name, f"{key}-{n}") for key, name in (("bsd2", "BSD-2-Clause"), ("bsd3", "BSD-3-Clause"), ("isc", "ISC"), ("mpl2", "MPL-2.0"), ("cc-by-nd", "CC-BY-ND-4.0"), ("cc-by-nc-sa", "CC-BY-NC-SA-4.0"), ("cc-by-nc-nd", "CC-BY-NC-ND-4.0")) for n in (0, 1)),
+)
+ALL_SENTENCES, ALL_RULES = SENTENCES + MORE_SENTENCES, RULES[:-1] + MORE_RULES + RULES[-1:]
+
 #: Marks of a sentence end (also a blank line) and of a line end inside a paragraph.
 _END, _LINE = "\x01", "\x02"
 
@@ -80,7 +119,7 @@ def _pattern(known: list[str]) -> str:
     return f"[{_END}{_LINE}]({'|'.join(ways)})(?=[{_END}{_LINE}])"
 
 
-def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: tuple[tuple[str, str], ...] = SENTENCES, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
+def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: tuple[tuple[str, str], ...] = ALL_SENTENCES, rules: tuple[tuple[str, str, str], ...] = ALL_RULES) -> DataFrame:
     """The licence sentences and rules found in each text.
 
     Sentences start and end at line ends, at blank lines (comment prefixes

@@ -197,6 +197,22 @@ def test_license_scan_of_wrapped_headers(spark):
     assert result(apart, "doc_id", "sentence_ids") == {(1, ""), (2, ""), (3, "mit-notice")}
 
 
+def test_license_scan_of_more_licences(spark):
+    import textwrap
+
+    known = {}
+    for name, sentence in license_scan.MORE_SENTENCES:
+        known.setdefault(name, []).append(sentence)
+    rows, want = [], {}
+    for rule, licence, names in license_scan.MORE_RULES:
+        for k in range(max(len(known[n]) for n in names.split())):
+            body = "\n\n".join(textwrap.fill(f"{i}. {known[n][min(k, len(known[n]) - 1)].rstrip(':')}.", 72) for i, n in enumerate(names.split()))
+            want[len(rows)] = (rule, licence)
+            rows.append((len(rows), f"Copyright (c) 2020, Someone. All rights reserved.\n\n{body}\n"))
+    got = {r["doc_id"]: r for r in license_scan.license_scan(table(spark, rows)).collect()}
+    assert {i: (got[i]["rules"].split()[0], got[i]["license"]) for i in got} == want
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><article>x";</script></head><body><header><h2>Site</h2></header>
 <nav><ul><li><a>Home</a><li><a>News</a></ul></nav><div class="ad-box">Buy</div><article class="post"><h1>Title &amp;
  more</h1><p>One <b>bold</b>word<br>two<p>Three &lt;b&gt; &#233;.<aside>Side</aside><div id="comments"><p>Nice!</p></div></article><!-- <p>no</p> --><footer>&copy; x</footer></body></html>"""

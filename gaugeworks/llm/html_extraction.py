@@ -1,20 +1,25 @@
 """HTML extraction with a site style tree.
 
 The DOMs of one host are merged by style path (tags and classes from the
-root). Spark counts, for each node of the merged tree, how often each
-presentation (sequence of child styles) and each content stands there. The
-entropies of both, relative to those of the whole pages that have the node, are
-its importance; branches of low importance are removed from every page of the
-host. A branch is judged on the pages that have it, so the size of the host
-doesn't matter, nor how many page templates it has.
-
-Entropy alone can't tell a random advert from an article, as both differ on
-each page. So what HTML itself says comes first: elements and class names that
-stand for menus, adverts, forms, notices and the like are never content, and a
-page with an article or main element is read inside it.
-
-The tree is counted as (host, path, signature) rows, partially summed in each
-task, so a host with a third of all pages is spread over its signatures.
+root). Spark measures each node of the merged tree over the pages that have it:
+its presentation by the entropy of its sequences of child styles, its content
+by the entropies of its sentences over those pages. A sentence on one page only
+has entropy 0 and counts whole, one on every page counts nothing; both are
+relative to the entropy of the pages themselves, so that copies of a page don't
+make its text look like a template. Importance adds up from the leaves to the
+root, and two kinds of branches are removed from every page of the host: those
+that repeat (hardly any of their content is their own), and minor ones, which
+add little to their pages beside a sibling that carries most of them. A branch
+is judged on the pages that have it, so neither the size of the host nor the
+number of its page templates matters.
+
+A page whose host has no other page can't be judged so. What HTML itself says
+therefore counts too: elements, roles and whole class names that stand for
+menus, adverts, forms, notices and comments are not content, and a page with an
+article or main element is read inside it.
+
+The tree is counted as (host, path, kind, signature) rows, partially summed in
+each task, so a host with a third of all pages is spread over its signatures.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from math import log
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,9 +38,11 @@ from pyspark.sql import functions as F
 
 from .common import read, small_batches, stored
 
-#: A branch is removed below this share of the importance of the pages that have it.
-LEAST_SHARE = 0.15
-#: Deeper elements count as part of the element at this depth.
+#: A branch repeats if less than this part of its content is its own.
+LEAST_IMPORTANCE = 0.1
+#: A branch is minor if it carries less than this part of its pages, and a sibling at least the other.
+LEAST_SHARE, MAIN_SHARE = 0.15, 0.5
+#: Deeper elements are judged as part of the element at this depth; their text is read all the same.
 DEEPEST = 24
 
 _MARK = re.compile(r"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style|iframe|textarea|title)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S | re.I)
@@ -46,15 +54,20 @@ _SIBLING_CLOSES = {"li": "li", "dt": "dd", "dd": "dt", "tr": "tr", "td": "td", "
 _NEVER = frozenset("nav footer aside form button dialog menu header".split())
 _NEVER_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side-bar rail widget nav navbar navigation menu menubar breadcrumb breadcrumbs footer header masthead "
-    "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended comments comment comment-list disqus respond reply replies pagination pager skip".split()
+    "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search comments comment comment-list disqus respond reply replies pagination pager skip".split()
 )
 #: Names of two words that say the same; other compounds (nav-open, related-work) say nothing.
 _NEVER_COMPOUNDS = frozenset(
     "ad-box ad-banner ad-container ad-slot ad-unit ad-wrapper ads-box ads-container banner-ad advert-box sponsored-content promo-box nav-bar nav-menu nav-links main-nav site-nav top-nav main-menu site-menu "
-    "site-header site-footer page-footer footer-links footer-nav sidebar-widget cookie-banner cookie-bar cookie-consent cookie-notice consent-banner newsletter-form newsletter-signup social-links social-share share-buttons share-links "
-    "related-articles related-posts related-links comment-form comment-list comments-area comments-section reply-form search-form search-box search-bar login-form signup-form modal-dialog popup-overlay skip-link breadcrumb-nav".split()
+    "site-header site-footer page-footer footer-links footer-nav sidebar-widget cookie-banner cookie-bar cookie-consent cookie-notice consent-banner newsletter-form newsletter-signup "
+    "comment-form comment-list comments-area comments-section reply-form search-form search-box search-bar login-form signup-form modal-dialog popup-overlay skip-link breadcrumb-nav".split()
 )
 _MAIN = frozenset(["article", "main"])
+#: Elements that hold blocks; only they can be minor, or be what others are minor to.
+CONTAINERS = ("article aside center div footer form header main nav ol section table td ul").split()
+#: What branches are counted by
+STYLE, SENTENCE, PAGE, TEMPLATE = range(4)
+_SENTENCE_END = re.compile(r"(?<=[.!?\u3002])\s+|\n+")
 #: Elements that no name makes boilerplate, and those whose id is a link target rather than a role.
 _NEVER_NAMED = _MAIN | {"html", "body"}
 _ID_IS_TITLE = frozenset("h1 h2 h3 h4 h5 h6 section".split())
@@ -83,8 +96,11 @@ def _style(tag: str, attrs: str) -> tuple[str, bool]:
     return ".".join([tag, *(re.sub(r"\d+", "0", n) for n in names)]), bad
 
 
-def walk(page: str, low: frozenset[str] = frozenset()) -> Iterator[tuple[Node, str | None]]:
-    """(node, text) in page order; text None marks the end of a block, and a node with its children the end of an element."""
+def walk(page: str, low: frozenset[str] = frozenset(), rules: bool = True) -> Iterator[tuple[Node, str | None]]:
+    """(node, text) in page order; text None marks the end of a block, and a node with its children the end of an element.
+
+    ``low`` are the paths that the style tree removes; without ``rules`` nothing else is.
+    """
     stack = [Node("", "", False, False)]
     at = 0
     ends: dict[str, int] = {}
@@ -125,7 +141,8 @@ def walk(page: str, low: frozenset[str] = frozenset()) -> Iterator[tuple[Node, s
                         break
         # Inside hidden elements only the elements are followed, to find their ends.
         if not m["end"] and (stack[-1].hidden or tag in _HIDDEN or tag == "head"):
-            if tag not in _VOID and not m["attrs"].rstrip().endswith("/") and (tag == "head" or ends_after(tag, at)):
+            foreign = tag == "svg" or any(n.tag == "svg" for n in stack)  # where a slash closes the element
+            if tag not in _VOID and not (foreign and m["attrs"].rstrip().endswith("/")) and (tag == "head" or ends_after(tag, at)):
                 stack.append(Node(tag, stack[-1].path, stack[-1].dropped, stack[-1].main, hidden=True))
             continue
         if m["end"]:
@@ -152,10 +169,9 @@ def walk(page: str, low: frozenset[str] = frozenset()) -> Iterator[tuple[Node, s
         path = f"{up.path}/{style}" if len(stack) <= DEEPEST and not inline else up.path
         up.children.append(style)
         main = up.main or tag in _MAIN or "main" in style.split(".")[1:]
-        never = tag in _NEVER and not (tag == "header" and up.main)
-        node = Node(tag, path, up.dropped or bad or never or (path in low and path != up.path and tag not in _MAIN), main)
-        if not m["attrs"].rstrip().endswith("/") or tag in _MAIN:
-            stack.append(node)
+        never = rules and (bad or (tag in _NEVER and not (tag == "header" and up.main)))
+        node = Node(tag, path, up.dropped or never or (path in low and path != up.path and tag not in _MAIN), main)
+        stack.append(node)  # a slash doesn't close an element that isn't void
         if not inline:
             yield node, " "
     if at < len(page):
@@ -163,22 +179,22 @@ def walk(page: str, low: frozenset[str] = frozenset()) -> Iterator[tuple[Node, s
     yield from close(0)
 
 
-def extract(page: str | None, low: frozenset[str] = frozenset()) -> str:
+def extract(page: str | None, low: frozenset[str] = frozenset(), rules: bool = True) -> str:
     """The main text: inside article or main elements where there are any, without dropped branches.
 
-    Where the tree would leave nothing of those elements (two pages with one article), it isn't used.
+    Where the tree would leave nothing (two pages with one article), it isn't used. Without ``rules``, the tree alone decides.
     """
     inside: list[str] = []
     everywhere: list[str] = []
     has_main = False
-    for node, text in walk(page or "", low):
+    for node, text in walk(page or "", low, rules):
         text = " " if text is None and node.tag not in _INLINE else text or ""
-        has_main = has_main or (node.main and not node.dropped)
+        has_main = has_main or (rules and node.main and not node.dropped)
         if not node.dropped:
             everywhere.append(text)
             inside.append(text if node.main else " ")
     text = " ".join(_html.unescape("".join(inside if has_main else everywhere)).split())
-    return text if text or not has_main or not low else extract(page)
+    return text if text or not low else extract(page, frozenset(), rules)
 
 
 def _signature(text: str) -> int:
@@ -200,60 +216,103 @@ def template(page: str | None) -> int:
 
 
 def _tree_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def out(found: Counter) -> pa.RecordBatch:
-        keys = list(found)
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.int32()), pa.array([k[3] for k in keys], pa.int64()), pa.array([found[k] for k in keys], pa.int64())], names=["host", "path", "kind", "signature", "n"])
+    def out(found: dict[tuple[str, str, int, int], list[float]]) -> pa.RecordBatch:
+        keys, sums = list(found), list(found.values())
+        columns = [pa.array([k[i] for k in keys], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int32(), pa.int64()))]
+        return pa.RecordBatch.from_arrays([*columns, *(pa.array([x[i] for x in sums], pa.float64()) for i in range(3))], names=["host", "path", "kind", "signature", "n", "n_ln_n", "words"])
+
+    found: dict[tuple[str, str, int, int], list[float]] = {}
+
+    def add(key: tuple[str, str, int, int], n: int, words: int) -> None:
+        sums = found.setdefault(key, [0.0, 0.0, 0.0])
+        sums[0] += n
+        sums[1] += n * log(n)
+        sums[2] += words
 
-    found: Counter = Counter()
     for batch in batches:
         for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             host = host_of(url)
             styles: dict[str, list[str]] = {"": []}
-            contents: dict[str, list[str]] = {"": []}
+            contents: dict[str, list[str]] = {}
             for node, text in walk(page or ""):
                 if text is None:
-                    styles.setdefault(node.path, []).append(" ".join(dict.fromkeys(node.children)))
-                elif not text.isspace():
-                    parts = node.path.split("/")
-                    for i in range(1, len(parts) + 1):  # the content of a branch is that of all below it
-                        contents.setdefault("/".join(parts[:i]), []).append(text)
-            signed = {path: (_signature("|".join(seen)), _signature(" ".join(" ".join(contents.get(path, [])).split()))) for path, seen in styles.items()}
+                    styles.setdefault(node.path, []).extend(node.children)
+                    if node.tag not in _INLINE and node.path in contents:
+                        contents[node.path].append("\n")
+                else:
+                    contents.setdefault(node.path, []).append(text)
+            sentences: dict[str, Counter] = {path: Counter(x for x in map(" ".join, map(str.split, _SENTENCE_END.split("".join(texts)))) if x) for path, texts in contents.items()}
+            sizes = {x: x.count(" ") + 1 for found_here in sentences.values() for x in found_here}
+            total = sum(n * sizes[x] for found_here in sentences.values() for x, n in found_here.items())
+            whole = _signature("\n".join(x for path in styles for x in sentences.get(path, ())))
             own = template_of(styles)
-            for path, signatures in signed.items():
-                # Kinds 2 and 3 are those of the whole page: what a branch is measured by.
-                for kind, signature in enumerate((*signatures, *signed[""], own)):
-                    found[host, path, kind, signature] += 1
+            for path, children in styles.items():
+                add((host, path, STYLE, _signature(" ".join(children))), 1, total)
+                add((host, path, PAGE, whole), 1, 0)
+                add((host, path, TEMPLATE, own), 1, 0)
+                for x, n in sentences.get(path, {}).items():
+                    add((host, path, SENTENCE, _signature(x)), n, n * sizes[x])
         if len(found) > 200_000:
             yield out(found)
-            found = Counter()
+            found.clear()
     yield out(found)
 
 
 def branch_counts(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, path, kind, signature, n), written once, as the tree and the templates would else each parse all pages.
+    """(host, path, kind, signature, n, n_ln_n, words), written once, as the tree and the templates would else each parse all pages.
 
-    Kinds: 0 presentation and 1 content of the branch, 2 and 3 those of the
-    page it is on, 4 the page's template.
+    Kinds: ``STYLE``, a sequence of child styles (words: those of the pages
+    that have it); ``SENTENCE`` (n occurrences, n_ln_n summed over pages, and
+    the words they make); ``PAGE``, the text of the page that the node is on;
+    ``TEMPLATE``, that page's template.
     """
     small_batches(pages.sparkSession)
-    counts = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(_tree_counts, "host string, path string, kind int, signature long, n long")
-    return stored(counts.groupBy("host", "path", "kind", "signature").agg(F.sum("n").alias("n")), "style-counts")
+    counts = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(_tree_counts, "host string, path string, kind int, signature long, n double, n_ln_n double, words double")
+    return stored(counts.groupBy("host", "path", "kind", "signature").agg(F.sum("n").alias("n"), F.sum("n_ln_n").alias("n_ln_n"), F.sum("words").alias("words")), "style-counts")
 
 
 def style_tree(counts: DataFrame) -> DataFrame:
-    """(host, path, pages, presentation, content, importance, share): the merged tree of each host, from its ``branch_counts``.
-
-    presentation and content are entropies in nats over the pages that have
-    the branch; importance is their mean with weights 1 and 3, and share that
-    importance relative to that of the same pages as a whole.
+    """(host, path, parent, pages, entropy, presentation, words, importance, share): the merged tree of each host.
+
+    entropy: that of the texts of the pages that have the node, in nats; where
+    it is 0 (one page, or copies of one) nothing can be judged. presentation:
+    the entropy of its child styles relative to that. importance, of a branch:
+    the part of its words (and of its nodes, each of which counts as one word)
+    that is not shared between pages, from 0 to 1. share: such words relative
+    to all words of its pages.
     """
-    entropy = F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")
-    nodes = counts.where("kind < 4").groupBy("host", "path", "kind").agg(F.sum("n").alias("pages"), entropy.alias("entropy"))
-    of = [F.max(F.when(F.col("kind") == k, F.col("entropy"))).alias(name) for k, name in enumerate(("presentation", "content", "_shape", "_text"))]
-    both = nodes.groupBy("host", "path").agg(F.max("pages").alias("pages"), *of)
-    both = both.withColumn("importance", (F.col("presentation") + 3 * F.col("content")) / 4).withColumn("_whole", (F.col("_shape") + 3 * F.col("_text")) / 4)
-    # Entropies of equal pages are 0 up to rounding.
-    return both.withColumn("share", F.when(F.col("_whole") > 1e-9, F.col("importance") / F.col("_whole")).otherwise(1.0)).drop("_shape", "_text", "_whole")
+    spread = F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")
+    styles = counts.where(F.col("kind") == STYLE).groupBy("host", "path").agg(F.sum("n").alias("pages"), F.sum("words").alias("page_words"), spread.alias("_shapes"))
+    texts = counts.where(F.col("kind") == PAGE).groupBy("host", "path").agg(spread.alias("entropy"))
+    # Of one sentence: its entropy over pages, times the words it makes. Sums need no join before they are small.
+    of_one = F.col("words") * (F.log("n") - F.col("n_ln_n") / F.col("n"))
+    content = counts.where(F.col("kind") == SENTENCE).groupBy("host", "path").agg(F.sum("words").alias("own_words"), F.sum(of_one).alias("_spread"))
+    nodes = styles.join(texts, ["host", "path"]).join(content, ["host", "path"], "left").fillna(0.0, ["own_words", "_spread"])
+    judged = F.col("entropy") > 1e-9  # entropies of equal pages are 0 up to rounding
+    relative = lambda x: F.when(judged, F.least(F.lit(1.0), x / F.col("entropy"))).otherwise(1.0)
+    nodes = nodes.withColumn("presentation", F.greatest(F.lit(0.0), relative(F.col("_shapes"))))
+    nodes = nodes.withColumn("_own", F.col("own_words") * (1 - F.when(judged & (F.col("own_words") > 0), F.greatest(F.lit(0.0), relative(F.col("_spread") / F.col("own_words")))).otherwise(0.0)))
+    # What a node has counts for it and every node above it.
+    steps = F.split("path", "/")
+    above = F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, F.lit(1), i), "/")))
+    sums = nodes.select("host", above.alias("path"), "_own", "own_words", "pages", (F.col("pages") * F.col("presentation")).alias("_shown")).groupBy("host", "path")
+    branches = sums.agg(F.sum("_own").alias("_info"), F.sum("own_words").alias("words"), F.sum("pages").alias("_nodes"), F.sum("_shown").alias("_shown"))
+    tree = nodes.select("host", "path", "pages", "page_words", "entropy", "presentation").join(branches, ["host", "path"])
+    return tree.select(
+        "host", "path", F.when(F.col("path") != "", F.regexp_replace("path", "/[^/]*$", "")).alias("parent"), "pages", "entropy", "presentation", "words",
+        ((F.col("_info") + F.col("_shown")) / (F.col("words") + F.col("_nodes"))).alias("importance"),
+        F.when(F.col("page_words") > 0, F.col("_info") / F.when(F.col("page_words") > 0, F.col("page_words"))).otherwise(1.0).alias("share"),
+    )
+
+
+def low_branches(tree: DataFrame) -> DataFrame:
+    """(host, path, why): branches that the pages of a host repeat, and those that are minor beside a sibling with most of the page."""
+    tag = F.regexp_extract("path", r"([^/.]*)[^/]*$", 1)
+    holds = tag.isin(CONTAINERS)
+    mains = tree.where((F.col("share") >= MAIN_SHARE) & holds).groupBy("host", "parent").agg(F.sum("pages").alias("_main_pages"))
+    seen = tree.join(mains, ["host", "parent"], "left").where((F.col("path") != "") & (F.col("pages") >= 2) & (F.col("entropy") > 1e-9))
+    minor = holds & (F.col("share") < LEAST_SHARE) & (F.col("_main_pages") >= F.col("pages"))
+    return seen.select("host", "path", F.when(F.col("importance") < LEAST_IMPORTANCE, "repeats").when(minor, "minor").alias("why")).where("why IS NOT NULL")
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -266,9 +325,9 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     columns are left out. An empty table gives no rows.
     """
     counts = branch_counts(pages, url_col, html_col)
-    weak = style_tree(counts).where((F.col("path") != "") & (F.col("pages") >= 2) & (F.col("share") < LEAST_SHARE)).select("host", "path")
+    weak = low_branches(style_tree(counts)).select("host", "path")
     # Low branches are listed for each template of a host: a list is no longer than the paths of one page.
-    have = counts.where("kind = 4").select("host", "path", F.col("signature").alias("template"))
+    have = counts.where(F.col("kind") == TEMPLATE).select("host", "path", F.col("signature").alias("template"))
     weak = stored(have.join(weak, ["host", "path"]).groupBy("host", "template").agg(F.collect_list("path").alias("_low")), "style-tree")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -96,11 +96,12 @@ class Isotonic:
 
 
 def fit_isotonic(scores: np.ndarray, y: np.ndarray) -> Isotonic:
-    """Pool adjacent violators, then the middle of each block."""
-    order = np.argsort(scores, kind="stable")
+    """Pool equal scores, then adjacent violators; then the middle of each block. The order of rows doesn't matter."""
+    levels, place = np.unique(scores, return_inverse=True)
+    weight, total = np.bincount(place, minlength=len(levels)), np.bincount(place, weights=y, minlength=len(levels))
     blocks: list[list[float]] = []  # sum of y, weight, sum of scores
-    for s, v in zip(scores[order], y[order], strict=True):
-        blocks.append([float(v), 1.0, float(s)])
+    for s, n, v in zip(levels.tolist(), weight.tolist(), total.tolist(), strict=True):
+        blocks.append([v, float(n), s * n])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             last = blocks.pop()
             blocks[-1] = [a + b for a, b in zip(blocks[-1], last, strict=True)]

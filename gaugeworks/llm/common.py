@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Texts are handed to Python in batches of so many rows; a batch of the longest texts still fits a worker.
+#: Texts are worked on in slices of so many rows, however large the session lets its Arrow batches be.
 ARROW_ROWS = 512
 
 
@@ -23,25 +25,57 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         found = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
-        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: The tables that were stored and not yet deleted, oldest first
+_TABLES: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again.
 
     It cuts the lineage: lost executors cost no recomputation, since what
-    reads on finds the files there.
+    reads on finds the files there. ``spent`` or ``discard`` deletes it.
     """
     path = os.path.join(shared_dir(df.sparkSession), "tables", f"{name}-{uuid.uuid4().hex}")
+    _TABLES.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stored tables that no DataFrame needs any more."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        if path in _TABLES:
+            _TABLES.remove(path)
+
+
+def spent(*tables: DataFrame) -> None:
+    """Delete what ``stored`` wrote of these tables, as soon as all that reads them is stored itself."""
+    for table in tables:
+        discard(table.sparkSession, [table._stored_at])
+
+
+def tables_since(mark: int, *keep: DataFrame) -> list[str]:
+    """The stored tables from place ``mark`` on, without those to keep; ``len(_TABLES)`` before some work is its mark."""
+    kept = {table._stored_at for table in keep}
+    return [path for path in _TABLES[mark:] if path not in kept]
+
+
+def table_mark() -> int:
+    return len(_TABLES)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of text by rows, unless the session has a smaller bound."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``ARROW_ROWS`` rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ARROW_ROWS):
+            yield batch.slice(at, ARROW_ROWS)
 
 
 def remainder(doc_id: str | Column, modulus: int) -> Column:

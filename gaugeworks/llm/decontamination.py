@@ -4,7 +4,9 @@ The distinct word windows of the benchmark are hashed and broadcast in pieces
 of at most ``PIECE`` windows, whose number is counted first; each pass scans
 the windows of the documents against one piece, and every hash hit is verified
 by comparing the words. A benchmark of any size thus keeps a bounded broadcast
-and costs one pass over the documents for each piece.
+and costs one pass over the documents for each piece. A broadcast row names its
+window by a number; which items hold it is joined afterwards, to the distinct
+windows that a document has, so a passage in every item costs no broadcast.
 """
 
 from __future__ import annotations
@@ -39,14 +41,14 @@ def _window_hash(codes: Column, length: int) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """(length, win, items): the distinct windows, each with the ids of its items.
+    """(length, win, item): the windows of each item, once for each item that holds them.
 
     ``width`` consecutive words; an item of fewer words, but not none, is one window.
     """
     w = benchmark.select(F.col(id_col).cast("string").alias("item"), words_of(F.col(text_col)).alias("w")).where(F.size("w") > 0)
     w = w.select("item", "w", F.least(F.size("w"), F.lit(width)).alias("length"))
     cut = w.select("item", "length", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("length") + 1), lambda i: F.slice("w", i, F.col("length")))).alias("win"))
-    return cut.groupBy("length", "win").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return cut.select("length", "win", "item").distinct()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
@@ -63,7 +65,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     counted or listed. Other columns are left out. An empty benchmark hits
     nothing; an empty table gives no rows.
     """
-    windows = stored(benchmark_windows(benchmark, width=width), "benchmark-windows")
+    held = stored(benchmark_windows(benchmark, width=width), "benchmark-windows")
+    # The number of a window is fixed once it is stored.
+    windows = stored(held.groupBy("length", "win").agg(F.count("*").alias("n")).select("length", "win", F.monotonically_increasing_id().alias("window")), "distinct-windows")
+    items_of = held.join(windows, ["length", "win"]).where("item IS NOT NULL").select("window", "item")
     lengths = sorted(r[0] for r in windows.select("length").distinct().collect())  # width of them at most
     pieces = max(1, -(-windows.count() // PIECE))
     words = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text"), words_of(F.col(text_col)).alias("_w"))
@@ -80,18 +85,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     same = F.concat_ws(" ", *(F.when(F.col("_length") > j, F.get("_w", position + j)) for j in range(width)))
 
     code = reduce(lambda e, n: F.when(F.size("_codes") == n, F.xxhash64(*(F.get("_codes", F.lit(j)) for j in range(n)))).otherwise(e), lengths, F.lit(None).cast("bigint"))
-    keyed = windows.select("length", "win", "items", F.transform("win", lambda x: F.xxhash64(x)).alias("_codes")).select(code.alias("_key"), F.col("length").alias("_length"), F.array_join("win", " ").alias("_win"), "items")
-    each = docs.sparkSession.range(1).select(F.lit(_SELF).cast("long").alias("_key"), F.lit(0).alias("_length"), F.lit("").alias("_win"), F.array().cast("array<string>").alias("items"))
+    keyed = windows.select("length", "win", "window", F.transform("win", lambda x: F.xxhash64(x)).alias("_codes")).select(code.alias("_key"), F.col("length").alias("_length"), F.array_join("win", " ").alias("_win"), "window")
+    each = docs.sparkSession.range(1).select(F.lit(_SELF).cast("long").alias("_key"), F.lit(0).alias("_length"), F.lit("").alias("_win"), F.lit(None).cast("long").alias("window"))
     found = []
     for k in range(pieces):
         piece = keyed.where(F.pmod("_key", F.lit(pieces)) == k)
         piece = piece.union(each) if k == 0 else piece
         hit = spread.join(F.broadcast(piece), (F.col("_hash") == F.col("_key")) & (same == F.col("_win")))
-        found.append(hit.select("_id", "_text", size.alias("n_words"), position.alias("_at"), "_length", "items"))
-    hits = reduce(DataFrame.union, found)
+        found.append(hit.select("_id", "_text", size.alias("n_words"), position.alias("_at"), "_length", "window"))
+    hits = stored(reduce(DataFrame.union, found), "hits")
+    doc = ["_id", "_text", "n_words"]
+    items = hits.where("window IS NOT NULL").select(*doc, "window").distinct().join(items_of, "window").select(*doc, "item").distinct()
+    both = hits.select(*doc, "_at", "_length", F.lit(None).cast("string").alias("item")).union(items.select(*doc, F.lit(None).cast("int"), F.lit(0), "item"))
     spans = F.collect_list(F.when(F.col("_length") > 0, F.sequence("_at", F.col("_at") + F.col("_length") - 1)))
-    # A document's windows, and the benchmark's items, bound what a group gathers.
-    per_doc = hits.groupBy("_id", "_text", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(spans))).alias("hit_positions"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    # A document's windows, and the items that they are of, bound what a group gathers.
+    per_doc = both.groupBy(*doc).agg(F.array_sort(F.array_distinct(F.flatten(spans))).alias("hit_positions"), F.array_sort(F.collect_set("item")).alias("items"))
     n_hit = F.size("hit_positions").cast("long")
     return per_doc.select(
         F.col("_id").alias(id_col),

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, small_batches, stored
+from .common import read, slices, stored
 
 #: A branch repeats if less than this part of its content is its own.
 LEAST_IMPORTANCE = 0.1
@@ -44,6 +44,8 @@ LEAST_IMPORTANCE = 0.1
 LEAST_SHARE, MAIN_SHARE = 0.15, 0.5
 #: Deeper elements are judged as part of the element at this depth; their text is read all the same.
 DEEPEST = 24
+#: Tasks that the pages of one template are dealt to
+SPREAD = 32
 
 _MARK = re.compile(r"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style|iframe|textarea|title)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S | re.I)
 _NAMES = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -229,7 +231,7 @@ def _tree_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums[1] += n * log(n)
         sums[2] += words
 
-    for batch in batches:
+    for batch in slices(batches):
         for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             host = host_of(url)
             styles: dict[str, list[str]] = {"": []}
@@ -266,7 +268,6 @@ def branch_counts(pages: DataFrame, url_col: str = "url", html_col: str = "html"
     the words they make); ``PAGE``, the text of the page that the node is on;
     ``TEMPLATE``, that page's template.
     """
-    small_batches(pages.sparkSession)
     counts = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(_tree_counts, "host string, path string, kind int, signature long, n double, n_ln_n double, words double")
     return stored(counts.groupBy("host", "path", "kind", "signature").agg(F.sum("n").alias("n"), F.sum("n_ln_n").alias("n_ln_n"), F.sum("words").alias("words")), "style-counts")
 
@@ -331,7 +332,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     weak = stored(have.join(weak, ["host", "path"]).groupBy("host", "template").agg(F.collect_list("path").alias("_low")), "style-tree")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             urls, found = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             hosts = pa.array([host_of(url) for url in urls], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, hosts, pa.array([template(page) for page in found], pa.int64())], names=["_id", "_url", "_html", "_host", "_template"])
@@ -339,11 +340,14 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     kinds = {c: pages.schema[c].dataType.simpleString() for c in (id_col, url_col)}
     inputs = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"))
     placed = inputs.mapInArrow(place, f"_id {kinds[id_col]}, _url {kinds[url_col]}, _html string, _host string, _template long")
-    joined = placed.join(weak, (placed["_host"] == weak["host"]) & (placed["_template"] == weak["template"]), "left").select("_id", "_url", "_html", "_low")
+    # Where the lists are too large to broadcast, the pages of one template go to ``SPREAD`` tasks.
+    weak = weak.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    part = F.pmod(F.xxhash64("_html", "_id"), F.lit(SPREAD)).cast("int")
+    joined = placed.withColumn("_spread", part).join(weak, (F.col("_host") == F.col("host")) & (F.col("_template") == F.col("template")) & (F.col("_spread") == F.col("_part")), "left").select("_id", "_url", "_html", "_low")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[tuple[str, ...], frozenset[str]] = {}
-        for batch in batches:
+        for batch in slices(batches):
             texts = []
             for page, low in zip(batch.column(2), batch.column(3), strict=True):
                 key = tuple(low.as_py() or ())

@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, remainder, small_batches
+from .common import read, remainder, slices
 
 #: Labelled documents per language to learn from; a language's sample is a hash range of its ids.
 PER_LANGUAGE = 400
-#: Words and n-grams that the model keeps: the most frequent.
-MOST_WORDS, MOST_GRAMS = 50_000, 50_000
+#: More different values than this in the language column are not languages: fitting then fails.
+MOST_LANGUAGES = 1000
 LONGEST = 4
 UNKNOWN = "und"
 #: Words that a worker remembers the scores of
@@ -52,7 +52,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return found
 
     words: Counter = Counter()
-    for batch in batches:
+    for batch in slices(batches):
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             words.update((lang, w) for w in _WORD.findall((text or "").lower()))
         if len(words) > 50_000:
@@ -85,13 +85,15 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     """Learn from a sample of the documents (``use``) with a language.
 
     The sample holds about ``PER_LANGUAGE`` documents of each language, the
-    same ones at every run, and the model at most ``MOST_WORDS`` words and
-    ``MOST_GRAMS`` n-grams. Without labelled documents the model is empty.
+    same ones at every run; the model keeps all their words and n-grams.
+    Without labelled documents the model is empty; with more than
+    ``MOST_LANGUAGES`` languages a ValueError says so.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.lit(True) if use is None else use)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"{lang_col} has more than {MOST_LANGUAGES} different values")
     place = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit(""))), F.lit(1 << 20))
     chosen = F.lit(False)
     for lang, n in sizes.items():
@@ -102,8 +104,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     by_gram = counts.groupBy("kind", "gram").agg(F.sum("n").alias("total"), *(F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{i}") for i, lang in enumerate(languages)))
     model = Model(languages, {}, [{} for _ in range(LONGEST + 1)], np.zeros((0, len(languages)), dtype=np.float32))
     sums = np.array([[total.get((lang, kind), 0) for lang in languages] for kind in range(LONGEST + 1)], dtype=np.float64)
-    for is_word, most in ((True, MOST_WORDS), (False, MOST_GRAMS)):
-        rows = by_gram.where(((F.col("kind") == 0) == F.lit(is_word)) & (F.col("total") > 1)).orderBy(F.desc("total"), "kind", "gram").limit(most).toArrow()
+    for is_word in (True, False):
+        rows = by_gram.where((F.col("kind") == 0) == F.lit(is_word)).toArrow()  # of a bounded sample
         kind = rows["kind"].to_numpy()
         seen = np.stack([rows[f"n{i}"].to_numpy() for i in range(len(languages))], axis=1) if languages else np.zeros((len(rows), 0))
         logs = np.log((seen + 0.1) / (sums[kind] + 1))
@@ -161,12 +163,11 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[
     sorts first. Rows pass one by one: repeated rows give repeated results,
     an empty table none.
     """
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             found = [scorer(x.as_py()) for x in batch.column("_text")]
             yield pa.RecordBatch.from_arrays([*(batch.column(f"_{i}") for i in range(len(keep))), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*(f"_{i}" for i in range(len(keep))), "_pred", "_score"])
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens as T
-from .common import read, small_batches, stored
+from .common import read, slices, spent, stored
 
 SHINGLE = 5
 ROWS, BANDS = 5, 25
@@ -97,7 +97,7 @@ def _set_key(s: np.ndarray) -> tuple[int, int]:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         sizes, keys_a, keys_b, bands = [], [], [], []
         for sets in shingle_sets(batch.column("_text")):
             keys = band_keys(sketches(sets)).view(np.int64)
@@ -116,7 +116,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         packed = [s.astype("<u8").tobytes() for sets in shingle_sets(batch.column("_text")) for s in sets]
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(packed, pa.binary())], names=["node", "shingles"])
 
@@ -207,7 +207,9 @@ def verified_links(nodes: DataFrame, texts: DataFrame, percent: int = PERCENT) -
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     cut = groups.join(blocks, "hub").withColumn("own", block).withColumn("other", other)
     placed = cut.select("hub", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
-    return placed.join(sets, "node").groupBy("hub", "i", "j").applyInArrow(confirm, "a long, b long").distinct()
+    links = stored(placed.join(sets, "node").groupBy("hub", "i", "j").applyInArrow(confirm, "a long, b long").distinct(), "links")
+    spent(groups, sets)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -223,16 +225,18 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         spread = both.join(labels, both["x"] == labels["node"]).select(F.col("y").alias("node"), "label")
         # Also to the label of the node: its own root then learns of a smaller one.
-        old = labels.withColumnRenamed("label", "was")
+        old = labels.select("node", F.col("label").alias("was"))
         best = spread.union(labels.select("node", "label")).groupBy("node").agg(F.min("label").alias("best")).join(old, "node")
         roots = best.select(F.col("was").alias("node"), F.col("best").alias("best")).groupBy("node").agg(F.min("best").alias("root_best"))
         merged = best.join(roots, "node", "left").select("node", F.least("best", "root_best").alias("mid"), "was")
         jump = merged.select(F.col("node").alias("mid"), F.col("mid").alias("far"))
         after = stored(merged.join(jump, "mid", "left").select("node", F.least("mid", "far").alias("label"), "was"), "labels")
         changed = after.where("label <> was").limit(1).count()
-        labels = after.drop("was")
+        spent(labels)
+        labels = after
         if not changed:
-            return labels
+            spent(both)
+            return labels.drop("was")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -250,7 +254,6 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Other columns are left out. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     base = stored(texts.mapInArrow(_sketch, "_id long, n_shingles long, set_a long, set_b long, bands array<long>"), "sketches")
@@ -260,7 +263,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = real.groupBy(*key).agg(F.min("_id").alias("node"), F.first("bands").alias("bands"))
     nodes = stored(nodes, "nodes")
     links = verified_links(nodes.select("node", "bands"), texts.where("_id IS NOT NULL"), percent)
-    labels = components(stored(links, "links"))
+    labels = components(links)
+    spent(links)
     classes = nodes.select(*key, "node").join(labels, "node", "left").select(*key, F.coalesce("label", "node").alias("_class"))
     out = base.select("_id", *key).join(classes, key, "left")
     component = F.coalesce("_class", "_id")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens as T
-from .common import read, small_batches
+from .common import read, slices
 
 REPEAT_WINDOW = 8
 LEAST_WORDS = 20
@@ -152,7 +152,7 @@ _LONGS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def _apply(batches: Iterator[pa.RecordBatch], rules: Rules) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         parts = [_measure(c, rules) for c in T.chunks(batch.column(1))]
         col = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]} if parts else {}
         arrays = [batch.column(0)] + [pa.array(col.get(k, np.zeros(0)).astype(np.int64)) for k in _LONGS]
@@ -170,7 +170,6 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     has no words: every count is 0, base_failed true and kept false. A null id
     is passed through. Other columns are left out, so names can't clash.
     """
-    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     schema = f"_id {docs.schema[id_col].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in _LONGS) + ", base_failed boolean, kept boolean, dup_char_share double, top_char_share double"
     chosen = rules or Rules()

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens as T
-from .common import read, small_batches, stored
+from .common import read, slices, stored
 
 WIDTH = 13
 BUCKET_WINDOWS = 1 << 20
@@ -99,7 +99,7 @@ def _windows(batches: Iterator[pa.RecordBatch], width: int, bits: int) -> Iterat
             rows.append((-1 - (doc & 0x7FFFFFFF), doc, b"", _planes(np.diff(np.unique(found), prepend=np.uint64(0)))))
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "least", "ids", "hashes"])
 
-    for batch in batches:
+    for batch in slices(batches):
         known = np.asarray(batch.column(0).is_valid())
         doc_ids = np.asarray(batch.column(0).fill_null(0))
         for chunk in T.chunks(batch.column(1)):
@@ -141,7 +141,6 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     the order, so they neither lose nor cause removals.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     total = texts.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     bits = max(LEAST_BUCKETS.bit_length() - 1, (int(total) // (6 * BUCKET_WINDOWS)).bit_length())
@@ -150,7 +149,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def _removals(batches: Iterator[pa.RecordBatch], width: int, extra: list[str], clean: bool) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         n_words, n_removed, kept, spans = [], [], [], []
         flagged = batch.column("_flagged")
         for chunk in T.chunks(batch.column("_text")):

@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 19
+#: And no more texts than 16 bits can number
+CHUNK_TEXTS = 1 << 16
 _MASK = (1 << 64) - 1
 _BYTE_BASE = 0x9E3779B97F4A7C15
 _WORD_BASE = 0xD6E8FEB86659FD93
@@ -97,7 +99,7 @@ def chunks(texts: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Itera
         lo = 0
         while lo < len(part):
             hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, side="right")) - 1)
-            hi = min(hi, len(part))
+            hi = min(hi, len(part), lo + CHUNK_TEXTS)
             yield Chunk(first + lo, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
             lo = hi
         first += len(part)

@@ -20,9 +20,8 @@ from pyspark.sql import functions as F
 
 from .boosting import Isotonic, Trees, fit_isotonic, fit_trees, out_of_fold
 from .classifiers import MOST_LABELLED, features_of, labelled_sample, scored
-from .common import read, remainder, small_batches
+from .common import read, remainder, slices
 
-MOST_LEXICON = 5000
 STEMS = (4, 5, 6)
 NEAR = 5
 FOLDS = 2
@@ -54,9 +53,9 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         return pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.int32()), pa.array([k[1] for k, _ in rows], pa.int32()), pa.array([k[2] for k, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], names=["fold", "y", "gram", "n"])
 
     found: Counter = Counter()
-    for batch in batches:
+    for batch in slices(batches):
         for fold, y, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            words = {w for w in map(plain, set(text.split())) if w and len(w) <= 40}
+            words = {w for w in map(plain, set(text.split())) if w}
             words |= {s for w in words for s in _stems(w)}
             found.update((fold, y, w) for w in words)
         if len(found) > 400_000:
@@ -71,7 +70,6 @@ def learn_lexicons(sample: DataFrame) -> list[Lexicon]:
     Exact copies count once. An entry stands in at least 3 toxic documents
     (and 1 in 500 of them) and is 8 times likelier there.
     """
-    small_batches(sample.sparkSession)
     once = sample.groupBy(F.xxhash64("text").alias("key"), "y").agg(F.first("text").alias("text"))
     once = once.select(F.pmod(F.col("key"), F.lit(FOLDS)).cast("int").alias("fold"), "y", "text")
     sizes = {(r["fold"], r["y"]): r["n"] for r in once.groupBy("fold", "y").agg(F.count("*").alias("n")).collect()}
@@ -79,7 +77,7 @@ def learn_lexicons(sample: DataFrame) -> list[Lexicon]:
     wide = counts.groupBy("gram").agg(*(F.sum(F.when((F.col("fold") == f) & (F.col("y") == y), F.col("n")).otherwise(0)).alias(f"n{f}{y}") for f in range(FOLDS) for y in (0, 1)))
     toxic = sum(F.col(f"n{f}1") for f in range(FOLDS))
     clean = sum(F.col(f"n{f}0") for f in range(FOLDS))
-    rows = wide.where((toxic >= 3) & (toxic * 2 > clean)).orderBy(F.desc(toxic - clean), "gram").limit(2 * MOST_LEXICON).collect()
+    rows = wide.where((toxic >= 3) & (toxic * 2 > clean)).orderBy("gram").collect()  # of a bounded sample
     out = []
     for left_out in [*range(FOLDS), None]:
         use = [f for f in range(FOLDS) if f != left_out]
@@ -89,9 +87,8 @@ def learn_lexicons(sample: DataFrame) -> list[Lexicon]:
             a, b = sum(r[f"n{f}1"] for f in use), sum(r[f"n{f}0"] for f in use)
             odds = (a + 0.1) / (n[1] + 1) / ((b + 0.1) / (n[0] + 1))
             if a >= max(3 * len(use) / FOLDS, n[1] / 500) and odds >= 8:
-                found[r["gram"]] = (float(np.log(odds)), a)
-        top = sorted(found, key=lambda g: (-found[g][1], g))[:MOST_LEXICON]
-        out.append({g: found[g][0] for g in top})
+                found[r["gram"]] = float(np.log(odds))
+        out.append(found)
     return out
 
 

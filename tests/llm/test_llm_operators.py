@@ -403,3 +403,225 @@ def test_pipeline_stages(spark):
     assert {r["doc_id"] for r in fourth.collect()} == {r["doc_id"] for r in third.collect()} - bad
     last = pipe.mix(spark, fourth, sf)
     assert 0 < last.count() and pipe.run(spark, sf).count() == last.count()
+
+
+def test_isotonic_pools_equal_scores():
+    for y in ([0, 0, 1, 1], [1, 1, 0, 0], [1, 0, 0, 1]):
+        assert fit_isotonic(np.full(4, 0.5), np.array(y, dtype=float))(np.array([0.5]))[0] == 0.5
+    rng = np.random.default_rng(7)
+    scores, y = rng.integers(0, 9, 300) / 8, rng.integers(0, 2, 300).astype(float)
+    order = rng.permutation(300)
+    a, b = fit_isotonic(scores, y), fit_isotonic(scores[order], y[order])
+    assert np.allclose(a.x, b.x) and np.allclose(a.y, b.y)
+
+
+def test_many_short_texts_in_one_chunk_keep_their_counts():
+    texts = quality_rules.pa.array([f"a{i % 9} b" for i in range(70_000)] + ["same same same same"])
+    found = quality_classifier.statistics(texts)
+    alone = quality_classifier.statistics(texts[-1:])
+    assert np.array_equal(found[-1:], alone) and np.array_equal(found[4464:4465], quality_classifier.statistics(texts[4464:4465]))
+    assert [c.n for c in quality_rules.T.chunks(texts)] == [65_536, 4_465]
+
+
+def test_results_do_not_depend_on_the_sessions_batches(spark, rows):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    want = [sorted(map(str, f(table(spark, rows)).collect())) for f in (substring_dedup.substring_dedup, near_dedup.near_dedup, quality_rules.quality_rules)]
+    assert spark.conf.get(key) == before
+    try:
+        for size in ("-1", "3"):
+            spark.conf.set(key, size)
+            assert [sorted(map(str, f(table(spark, rows)).collect())) for f in (substring_dedup.substring_dedup, near_dedup.near_dedup, quality_rules.quality_rules)] == want
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_stored_tables_are_deleted_when_spent(spark, tmp_path):
+    import corpus_pipeline as pipe
+    from gaugeworks.llm import common
+
+    mark = common.table_mark()
+    near_dedup.near_dedup(table(spark, [(1, "a b c d e f"), (2, "a b c d e f"), (3, "a b c d e f g")])).count()
+    left = common.tables_since(mark)
+    assert sorted(Path(p).name.split("-")[0] for p in left) == ["labels", "nodes", "sketches"]
+    common.discard(spark, left)
+    assert common.table_mark() == mark and not any(Path(p.removeprefix("file://")).exists() for p in left)
+    pipe.run(spark, "/root/testdata/sf0.001").count()
+    assert [Path(p).name.split("-")[0] for p in common.tables_since(mark)] == ["decontamination", "token", "budgets"]
+
+
+def test_labelled_rows_that_repeat_or_disagree(spark):
+    from gaugeworks.llm.classifiers import labelled_sample
+
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (2, "c"), (3, None), (4, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, 0), (3, 1), (4, None), (None, 1)], "doc_id long, toxic int")
+    got = labelled_sample(docs, labels, "toxic", "doc_id", "text", spark_true())
+    assert sorted(map(tuple, got.select("id", "text", "y").collect())) == [(1, "a", 1), (2, "c", 0)]
+
+
+def spark_true():
+    from pyspark.sql import functions as F
+
+    return F.lit(True)
+
+
+def test_long_tokens_count_as_toxic_words(spark):
+    long = "vile" * 20
+    sample = spark.createDataFrame([(i, f"text {i} {long if i % 2 else 'fine'}", i % 2) for i in range(40)], "id long, text string, y int")
+    assert all(long in lexicon for lexicon in toxicity.learn_lexicons(sample))
+
+
+def test_decontamination_with_a_passage_in_every_item(spark):
+    passage = " ".join(f"p{i}" for i in range(20))
+    items = [(i, f"{passage} own{i}") for i in range(300)] + [(None, passage)]
+    docs = table(spark, [(1, passage), (2, f"x {passage} own7"), (3, "clean"), (1, passage)])
+    got = decontamination.contamination(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert result(got, "doc_id", "n_hit", "n_items", "contaminated") == {(1, 20, 300, True), (2, 21, 300, True), (3, 0, 0, False)}
+
+
+def test_language_id_refuses_a_column_that_is_not_a_language(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 3)
+    docs = spark.createDataFrame([(i, "some words", f"l{i}") for i in range(8)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="different values"):
+        language_id.fit(docs)
+
+
+def test_language_id_against_plain_scores(spark):
+    """Every text scored anew with logs taken straight from the counts of the learned documents; then ties and a very long text."""
+    import math
+    import re
+    from collections import Counter
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()]
+    import zlib
+
+    learned = [(t, lang) for i, t, lang in rows if lang is not None and t is not None and zlib.crc32(str(i).encode()) % 4 != 2]
+    assert max(Counter(lang for _, lang in learned).values()) <= language_id.PER_LANGUAGE  # so all of them are learned from
+    find = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    seen, total = Counter(), Counter()
+
+    def grams(word, size):
+        padded = f"^{word}$" if size > 1 else word
+        return [padded[i : i + size] for i in range(len(padded) - size + 1)]
+
+    for text, lang in learned:
+        for word in find(text):
+            for size, found in [(0, [word]), *((n, grams(word, n)) for n in range(1, 5))]:
+                for g in found:
+                    seen[size, g, lang] += 1
+                    total[size, lang] += 1
+    langs = sorted({lang for _, lang in learned})
+    known = {(size, g) for size, g, _ in seen}
+
+    def row(size, g):
+        logs = [math.log((seen[size, g, lang] + 0.1) / (total[size, lang] + 1)) for lang in langs]
+        norm = math.log(sum(map(math.exp, logs)))
+        return [x - norm for x in logs]
+
+    def plain(text):
+        words = find(text)
+        if not words:
+            return "und", 0.0
+        sums = [0.0] * len(langs)
+        for word in words:
+            rows = [row(0, word)] if (0, word) in known else next((r for n in (4, 3, 2, 1) if (r := [row(n, g) for g in grams(word, n) if (n, g) in known])), [[0.0] * len(langs)])
+            for k in range(len(langs)):
+                sums[k] += sum(r[k] for r in rows) / len(rows)
+        odds = [math.exp((x - max(sums)) / math.sqrt(len(words))) for x in sums]
+        return langs[odds.index(max(odds))], max(odds) / sum(odds)
+
+    got = {r["doc_id"]: r for r in language_id.language_id(docs).collect()}
+    for i, text, _ in rows:
+        lang, score = plain(text)
+        assert got[i]["lang_pred"] == lang and got[i]["score"] == pytest.approx(score, abs=1e-3), i
+    model = language_id.Model(["aa", "bb"], {"w": np.zeros(2, np.float32)}, [{} for _ in range(5)], np.zeros((0, 2), np.float32))
+    assert language_id.Scorer(model)("w w") == ("aa", 0.5)  # of equals the first
+    assert language_id.Scorer(model)("w " * 2_000_000)[0] == "aa"
+
+
+def _labelled(spark, sf):
+    import zlib
+
+    labels = {r["doc_id"]: r for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    return {i: r for i, r in labels.items() if zlib.crc32(str(i).encode()) % 5 == 0}
+
+
+def test_held_out_accuracy_on_the_tables(spark):
+    """Of rows that nothing was learned from: languages, quality and toxicity."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    lang = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    found = [(r["lang_pred"], lang[r["doc_id"]]) for r in language_id.language_id(docs).collect() if r["held_out"] and lang[r["doc_id"]]]
+    assert len(found) > 150 and np.mean([a == b for a, b in found]) >= 0.98
+    held = _labelled(spark, sf)
+    for f, column in ((quality_classifier.quality, "quality"), (toxicity.toxicity, "toxic")):
+        pairs = [(r["predicted"], held[r["doc_id"]][column]) for r in f(docs, labels).collect() if r["doc_id"] in held and held[r["doc_id"]][column] is not None]
+        assert len(pairs) > 50 and np.mean([a == b for a, b in pairs]) >= 0.95, column
+
+
+def test_trees_against_a_walk_row_by_row():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 6)).round(1)  # with ties at thresholds
+    trees = fit_trees(x, (x[:, 0] * x[:, 1] > 0.1).astype(float))
+    for row, got in zip(x, trees.predict(x), strict=True):
+        margin = trees.base
+        for feature, threshold, value in zip(trees.feature, trees.threshold, trees.value, strict=True):
+            at = 0
+            while at < len(feature):
+                at = 2 * at + (2 if row[feature[at]] > threshold[at] else 1)
+            margin += value[at - len(feature)]
+        assert got == pytest.approx(1 / (1 + np.exp(-margin)))
+
+
+def test_mixing_against_plain_prefixes(spark, rows):
+    """Each leaf takes documents in the order of a seeded hash, epoch after epoch, until its budget is met; input order changes nothing."""
+    import hashlib
+    from collections import defaultdict
+
+    mix = mixing.Mix(fraction=0.7, epochs=3)
+    docs = table(spark, rows)
+    got = mixing.mix_sources(docs, mix)
+    leaves = defaultdict(list)
+    for r in docs.select("doc_id", "text", "lang", "source").collect():
+        n = len(brute.words(r["text"]))
+        if n:
+            source = r["source"] or "unknown"
+            domain = f"d{int(source[3:]) % 3}" if source.startswith("src") else "other"
+            leaves[domain, r["lang"] or "unknown", source].append((r["doc_id"], n))
+    small = spark.createDataFrame([(*k, sum(n for _, n in v)) for k, v in leaves.items()], "domain string, language string, source string, tokens long")
+    budget = {(r["domain"], r["language"], r["source"]): r["budget"] for r in mixing.budgets(small, mix).collect()}
+    want = set()
+    for leaf, docs_of in leaves.items():
+        left = budget[leaf]
+        for epoch in range(mix.epochs):
+            order = {doc: hashlib.md5(f"{mix.seed}:{epoch}:{doc}".encode()).hexdigest() for doc, _ in docs_of}
+            for doc, n in sorted(docs_of, key=lambda d: (int(order[d[0]][:4], 16) % mixing.SLICES, order[d[0]], d[0], d[1])):  # slice by slice
+                if left > 0:
+                    want.add((doc, epoch, *leaf, n, min(n, left)))
+                    left -= n
+    columns = ("doc_id", "epoch", "domain", "language", "source", "n_tokens", "take_tokens")
+    assert result(got, *columns) == want
+    assert result(mixing.mix_sources(table(spark, rows[::-1]).repartition(5), mix), *columns) == want
+
+
+def test_pipeline_with_nulls_repeats_and_nothing(spark):
+    import corpus_pipeline as pipe
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = docs.limit(60).withColumn("extra", docs["lang"])
+    text = docs.where("lang = 'en' AND length(text) BETWEEN 200 AND 900").orderBy("doc_id").first()["text"]
+    more = spark.createDataFrame([(None, text, "en", None, 1, "x"), (9001, None, "en", "src1", 0, "x"), (9002, "", None, "src1", 0, "x"), (9003, text + " and more", "en", None, 9, "x"), (9003, text + " and more", "en", None, 9, "x")], odd.schema)
+    kept = odd.unionByName(more)
+    for name, stage in pipe.STAGES:
+        kept = stage(spark, kept, sf).cache()
+        rows = kept.collect()
+        ids = [r["doc_id"] for r in rows]
+        assert 9001 not in ids and 9002 not in ids and (None in ids or name == "mixing"), name
+        assert ids.count(9003) in ((2,) if name == "language_id" else (0, 2)) or name == "mixing"
+        if name != "mixing":
+            assert kept.columns == list(pipe.COLUMNS)
+    empty = docs.where("doc_id < 0")
+    for _, stage in pipe.STAGES:
+        assert stage(spark, empty, sf).count() == 0

@@ -2,6 +2,15 @@
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir). All
 but the last return the columns of ``documents``; the last returns the mixture.
+
+Nulls, empty tables and repeated rows, stage by stage. A null or empty text has
+no letters, so the first stage drops it; a null ``doc_id`` or ``source`` passes
+through all stages: a row without an id is never a near duplicate, neither
+loses nor causes removals and stays even if contaminated, as no id names it; one
+without a source is mixed as ``unknown``. Rows that repeat an id are one
+document to the near-duplicate and contamination stages, which keep or drop all
+of them; each counts in the mixture. An empty table gives empty tables of the same columns. Other columns
+of ``documents`` are left out by the first stage.
 """
 
 from __future__ import annotations
@@ -12,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.llm import decontamination, language_id, mixing, near_dedup, substring_dedup
-from gaugeworks.llm.common import read, stored
+from gaugeworks.llm.common import discard, read, stored, table_mark, tables_since
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Below this likelihood the language of a document is not known.
@@ -66,7 +75,9 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """The rows of the last stage. What a stage stored on its way is deleted once its own result is."""
+    docs, mark = read(spark, sf_dir, "documents"), table_mark()
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
+        discard(spark, tables_since(mark, docs))
     return STAGES[-1][1](spark, docs, sf_dir)

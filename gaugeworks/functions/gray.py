@@ -13,12 +13,17 @@ def to_gray(n: Column) -> Column:
 
 
 def from_gray(g: Column) -> Column:
-    """Undo ``to_gray`` for values below 2**32: each step doubles the bits already right."""
-    for shift in (1, 2, 4, 8, 16):
-        g = g.bitwiseXOR(F.shiftright(g, shift))
+    """Undo ``to_gray`` for any value of 64 bits from 0: each step doubles the bits already right."""
+    for shift in (1, 2, 4, 8, 16, 32):
+        g = g.cast("long").bitwiseXOR(F.shiftright(g.cast("long"), shift))
     return g
 
 
+def pattern_bit(index: Column, bits: int, j: int) -> Column:
+    """Bit ``j`` of the Gray code of an index, the highest of ``bits`` first."""
+    return F.shiftright(to_gray(index), bits - 1 - j).bitwiseAND(F.lit(1))
+
+
 def phase(samples: list[Column]) -> tuple[Column, Column]:
     """(phase in 0..2 pi, amplitude) of equally spaced samples of one period."""
     n = len(samples)

@@ -2,44 +2,38 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_dir
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/graph/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..sources.shared import cut, drop
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each node (id) reaches over edges (src, dst), by spreading and pointer jumping."""
-    both = _cut(edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct())
-    labels = _cut(nodes.select("id", F.col("id").alias("component")).distinct())
+    both = cut(edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct())
+    labels = cut(nodes.select("id", F.col("id").alias("component")).distinct())
     while True:
         near = both.join(labels, both["src"] == labels["id"]).groupBy("dst").agg(F.min("component").alias("near"))
         one = labels.join(near, labels["id"] == near["dst"], "left").select("id", F.least("component", F.coalesce("near", "component")).alias("mid"), F.col("component").alias("was"))
         jump = one.select(F.col("id").alias("mid"), F.col("mid").alias("far"))
-        after = _cut(one.join(jump, "mid", "left").select("id", F.least("mid", F.coalesce("far", "mid")).alias("component"), "was"))
+        after = cut(one.join(jump, "mid", "left").select("id", F.least("mid", F.coalesce("far", "mid")).alias("component"), "was"))
         changed = after.where("component <> was").limit(1).count()
-        labels = after.drop("was")
+        drop(labels)
+        labels = after
         if not changed:
-            return labels
+            drop(both)
+            return labels.drop("was")
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(id, distance): the least sum of lengths from any source (id) over directed edges (src, dst, length)."""
-    best = _cut(sources.select("id", F.lit(0.0).alias("distance")).distinct())
+    best = cut(sources.select("id", F.lit(0.0).alias("distance")).distinct())
     while True:
         step = best.join(edges, best["id"] == edges["src"]).select(F.col("dst").alias("id"), (F.col("distance") + F.col("length")).alias("distance"))
-        after = _cut(best.union(step).groupBy("id").agg(F.min("distance").alias("distance")))
+        after = cut(best.union(step).groupBy("id").agg(F.min("distance").alias("distance")))
         old = best.select("id", F.col("distance").alias("was"))
         changed = after.join(old, "id", "left").where("was IS NULL OR distance < was").limit(1).count()
+        drop(best)
         best = after
         if not changed:
             return best

@@ -7,12 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .names import prefix
+from .quantiles import finite
+
 
 def longest_burst(df: DataFrame, by: Sequence[str], order: Sequence[str], flag: Column) -> DataFrame:
-    """The longest run of consecutive flagged rows, and the first index (from 0) that is flagged; null without one."""
+    """The longest run of consecutive flagged rows, and the first index (from 0) that is flagged; null without one. A null flag is none."""
     w = Window.partitionBy(*by).orderBy(*order)
-    at = df.withColumn("_i", F.row_number().over(w) - 1).withColumn("_f", flag)
-    runs = at.withColumn("_g", F.sum(F.when(F.col("_f"), 0).otherwise(1)).over(w))
+    at = df.select(*by, (F.row_number().over(w) - 1).alias("_i"), F.coalesce(flag, F.lit(False)).alias("_f"), *order)
+    runs = at.withColumn("_g", F.sum(F.when(F.col("_f"), 0).otherwise(1)).over(Window.partitionBy(*by).orderBy("_i")))
     sizes = runs.groupBy(*by, "_g").agg(F.count_if("_f").alias("_c"), F.min(F.when(F.col("_f"), F.col("_i"))).alias("_first"))
     return sizes.groupBy(*by).agg(F.max("_c").alias("longest"), F.sum("_c").alias("flagged"), F.min("_first").alias("first_index"))
 
@@ -30,12 +33,17 @@ def running_heading(df: DataFrame, by: Sequence[str], order: Sequence[str], head
 
 
 def decimate(df: DataFrame, by: Sequence[str], order: Sequence[str], most: int) -> DataFrame:
-    """Keep the indexes floor(i * n / most) of each group of more than ``most`` rows."""
+    """Keep the indexes floor(i * n / most) of each group of more than ``most`` rows; smaller groups stay whole.
+
+    Null keys make a group. Rows equal in ``order`` are interchangeable.
+    """
+    p = prefix(df)
     w = Window.partitionBy(*by)
-    at = df.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w))
+    at, n = F.col(f"{p}i"), F.col(f"{p}n")
+    numbered = df.withColumn(f"{p}i", F.row_number().over(w.orderBy(*order)) - 1).withColumn(f"{p}n", F.count("*").over(w))
     # An index is kept if it is the floor for some i: the i-th multiple at or after it falls before the next index.
-    i = F.ceil(F.col("_i") * most / F.col("_n"))
-    return at.where((F.col("_n") <= most) | ((i < most) & (F.floor(i * F.col("_n") / most) == F.col("_i")))).drop("_i", "_n")
+    i = F.ceil(at * most / n)
+    return numbered.where((n <= most) | ((i < most) & (F.floor(i * n / most) == at))).select(*df.columns)
 
 
 def threshold_crossing(df: DataFrame, by: Sequence[str], x: str, y: str, threshold: float) -> DataFrame:
@@ -51,13 +59,56 @@ def threshold_crossing(df: DataFrame, by: Sequence[str], x: str, y: str, thresho
     return first.select(*by, value.alias("crossing"))
 
 
+def moved(now: Column, before: Column, now_spread: Column, before_spread: Column) -> Column:
+    """How a value that should fall moved: flat, lost, unqualified, improved or regressed.
+
+    Without a finite value before: flat. Without one now: lost. Without a
+    finite spread on both sides: unqualified, as nobody knows the noise. Else
+    improved or regressed by more than the larger spread (a negative one
+    counts as 0), or flat.
+    """
+    zero = F.lit(0.0)
+    bar = F.greatest(F.greatest(now_spread, zero), F.greatest(before_spread, zero))
+    delta = now - before
+    return F.when(~finite(before), "flat").when(~finite(now), "lost").when(~finite(now_spread) | ~finite(before_spread), "unqualified").when(delta < -bar, "improved").when(delta > bar, "regressed").otherwise("flat")
+
+
 def movement(df: DataFrame, by: Sequence[str], order: str, value: str, spread: str) -> DataFrame:
-    """Each round against the one before: improved, regressed or flat within the larger spread; lost or unqualified where a value is missing."""
+    """Add ``movement``: each round against the one before, see ``moved``; the first round of a group is flat."""
     w = Window.partitionBy(*by).orderBy(order)
-    prev, dead = F.lag(value).over(w), F.greatest(F.col(spread), F.lag(spread).over(w))
-    delta = F.col(value) - prev
-    verdict = F.when(prev.isNull(), "unqualified").when(F.col(value).isNull(), "lost").when(delta < -dead, "improved").when(delta > dead, "regressed").otherwise("flat")
-    return df.withColumn("movement", verdict)
+    return df.withColumn("movement", moved(F.col(value), F.lag(value).over(w), F.col(spread), F.lag(spread).over(w)))
+
+
+def classify_rounds(df: DataFrame, by: Sequence[str], order: str, metric: str, value: str, spread: str, tracked: Sequence[str]) -> DataFrame:
+    """One row a round: improved and regressed (sorted metrics; lost ones count as regressed), improving and qualified.
+
+    df has a row for each round and metric; a tracked metric that a round
+    lacks has no value there. improving: something improved and nothing
+    regressed. qualified: no metric was unqualified. The first round has moved
+    in nothing. Metrics that aren't tracked are ignored.
+    """
+    given = df.where(F.col(metric).isin(*tracked)).select(*by, order, F.col(metric).alias("_metric"), F.col(value).cast("double").alias("_value"), F.col(spread).cast("double").alias("_spread"))
+    every = df.select(*by, order).distinct().withColumn("_metric", F.explode(F.array(*map(F.lit, tracked))))
+    full = every.join(given, [*by, order, "_metric"], "left")
+    steps = movement(full, [*by, "_metric"], order, "_value", "_spread")
+    names = lambda *kinds: F.array_sort(F.collect_set(F.when(F.col("movement").isin(*kinds), F.col("_metric"))))  # noqa: E731 - at most the tracked metrics
+    out = steps.groupBy(*by, order).agg(names("improved").alias("improved"), names("regressed", "lost").alias("regressed"), (F.count_if(F.col("movement") == "unqualified") == 0).alias("qualified"))
+    return out.withColumn("improving", (F.size("improved") > 0) & (F.size("regressed") == 0))
+
+
+def rank_rounds(values: DataFrame, gates: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``by``, metric, median, gate_max, gate_fraction and spread: the ranking vector of rounds in units of their gates.
+
+    values: ``by``, metric, median, spread. gates: metric, gate_max,
+    provisional; every tracked metric needs one that isn't provisional, so
+    rows without such a gate have ``scorable`` false and no fraction. A gate of
+    0 makes the fraction infinite.
+    """
+    limits = gates.select(F.col("metric").alias("_metric"), "gate_max", F.coalesce("provisional", F.lit(False)).alias("_provisional"))
+    j = values.join(limits, F.col("metric") == F.col("_metric"), "left")
+    scorable = F.col("_metric").isNotNull() & ~F.coalesce("_provisional", F.lit(False))
+    fraction = F.when(F.col("gate_max") == 0, float("inf")).otherwise(F.col("median") / F.nullif("gate_max", F.lit(0.0)))
+    return j.select(*by, "metric", "median", "spread", "gate_max", F.when(scorable, fraction).alias("gate_fraction"), scorable.alias("scorable"))
 
 
 def overlaps(intervals: DataFrame, start: str, length: float, dwell: float) -> DataFrame:
@@ -72,16 +123,20 @@ def overlaps(intervals: DataFrame, start: str, length: float, dwell: float) -> D
 def best_rounds(df: DataFrame, by: Sequence[str], order: str, values: Sequence[str], spreads: Sequence[str]) -> DataFrame:
     """The rounds of each group, each with the best round so far (``best``).
 
-    A round takes over if some value falls by more than the larger of both
-    spreads and none rises by so much; the first is best by default. A fold over
-    the rounds of a group: one small row a round.
+    A round takes over if some value improved on the best round's and none
+    regressed or was lost, as ``moved`` says; unqualified ones count for
+    nothing, and the first round is best by default. A fold over the rounds of
+    a group: one small row a round.
     """
     rounds = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(order, *values, *spreads))).alias("_r"))
 
     def fold(state: Column, x: Column) -> Column:
         best = state["best"]
-        moved = [(x[v] - best[v], F.greatest(x[s], best[s])) for v, s in zip(values, spreads, strict=True)]
-        better = F.greatest(*((d < -dead).cast("int") for d, dead in moved)) > F.greatest(*((d > dead).cast("int") for d, dead in moved))
+        steps = [moved(x[v], best[v], x[s], best[s]) for v, s in zip(values, spreads, strict=True)]
+        better, worse = F.lit(False), F.lit(False)
+        for step in steps:
+            better, worse = better | (step == "improved"), worse | step.isin("regressed", "lost")
+        better = better & ~worse
         now = F.when(best.isNull() | better, x).otherwise(best)
         return F.struct(now.alias("best"), F.array_append(state["seen"], F.struct(x[order].alias(order), now[order].alias("best"))).alias("seen"))
 
@@ -90,3 +145,71 @@ def best_rounds(df: DataFrame, by: Sequence[str], order: str, values: Sequence[s
     key = kind[order].dataType.simpleString()
     start = F.struct(F.lit(None).cast(row).alias("best"), F.array().cast(f"array<struct<{order}:{key},best:{key}>>").alias("seen"))
     return rounds.select(*by, F.inline(F.aggregate("_r", start, fold, lambda s: s["seen"])))
+
+
+# Frames of a capture: rows (group, position, lit), lit the lit fraction of the frame
+
+#: Where a frame counts as white or black, relative to the brightest, and how far apart the kinds must be
+WHITE_CUT, BLACK_CUT, LEAST_MARGIN = 0.75, 0.25, 0.15
+
+
+def classify_frames(frames: DataFrame, by: Sequence[str], lit: str = "lit") -> DataFrame:
+    """The frames with ``kind`` (white, black or patterned) and the ``margin`` of their group.
+
+    The margin is the lesser gap between neighbouring kinds, at least 0; it is
+    0 if a kind is missing. A group without light is all black, with margin 0.
+    """
+    group = Window.partitionBy(*by)
+    peak = F.max(lit).over(group)
+    part = F.when(peak > 0, F.col(lit) / F.when(peak > 0, peak)).otherwise(0.0)
+    p = prefix(frames)
+    parts = frames.withColumn(f"{p}part", part)
+    kind = F.when(F.col(f"{p}part") > WHITE_CUT, "white").when(F.col(f"{p}part") < BLACK_CUT, "black").otherwise("patterned")
+    kinds = parts.withColumn("kind", kind)
+    of = lambda f, k: f(F.when(F.col("kind") == k, F.col(f"{p}part"))).over(group)
+    gaps = F.array_min(F.array(of(F.min, "white") - of(F.max, "patterned"), of(F.min, "patterned") - of(F.max, "black")))
+    whole = of(F.min, "white").isNotNull() & of(F.max, "patterned").isNotNull() & of(F.max, "black").isNotNull()
+    return kinds.withColumn("margin", F.when(whole, F.greatest(F.lit(0.0), gaps)).otherwise(0.0)).select(*frames.columns, "kind", "margin")
+
+
+def index_by_order(frames: DataFrame, by: Sequence[str], order: Sequence[str], run: int, runs: int) -> DataFrame:
+    """The frames with ``assigned``, their place in the capture (null beyond it), and ``ok``: the group has run * runs frames."""
+    w = Window.partitionBy(*by)
+    at = F.row_number().over(w.orderBy(*order)) - 1
+    return frames.withColumn("assigned", F.when(at < run * runs, at)).withColumn("ok", F.count("*").over(w) == run * runs)
+
+
+def index_by_bookends(frames: DataFrame, by: Sequence[str], order: str, plan: Sequence[str], runs: int, lit: str = "lit") -> DataFrame:
+    """The frames with ``assigned`` (null where not placed) and ``problem``: why their run, or their whole group, is refused.
+
+    plan: the kinds of one run. Its leading kinds up to the first patterned
+    one mark where a run starts; each start is found anew, so a fault inside a
+    run costs that run only. Refused whole: ``no-bookends`` (the plan begins
+    patterned), ``margin`` (below ``LEAST_MARGIN``), ``runs`` (not ``runs``
+    starts found). Refused alone: ``before`` (frames ahead of the first
+    start), ``length`` and ``kinds`` (a run that differs from the plan).
+    """
+    head = next((i for i, k in enumerate(plan) if k == "patterned"), len(plan))
+    if head == 0:
+        return frames.withColumn("assigned", F.lit(None).cast("int")).withColumn("problem", F.lit("no-bookends"))
+    p = prefix(frames)
+    group, w = Window.partitionBy(*by), Window.partitionBy(*by).orderBy(order)
+    seen = classify_frames(frames, by, lit).withColumnsRenamed({"kind": f"{p}kind", "margin": f"{p}margin"})
+    hit = F.lit(True)
+    for i in range(head):
+        hit = hit & F.coalesce(F.lead(f"{p}kind", i).over(w) == plan[i], F.lit(False))
+    # Starts must not overlap: with a head of one kind only, each second of a row of them would be inside the one before.
+    marks = seen.withColumn(f"{p}hit", hit)
+    if head > 1 and len(set(plan[:head])) == 1:
+        row = F.sum(F.when(F.col(f"{p}hit"), 0).otherwise(1)).over(w)
+        place = F.row_number().over(Window.partitionBy(*by, f"{p}row", f"{p}hit").orderBy(order)) - 1
+        marks = marks.withColumn(f"{p}row", row).withColumn(f"{p}hit", F.col(f"{p}hit") & (place % head == 0))
+    numbered = marks.withColumn(f"{p}run", F.sum(F.col(f"{p}hit").cast("int")).over(w) - 1)
+    within = Window.partitionBy(*by, f"{p}run")
+    at = F.row_number().over(within.orderBy(order)) - 1
+    placed = numbered.withColumns({f"{p}at": at, f"{p}length": F.count("*").over(within), f"{p}runs": F.sum(F.col(f"{p}hit").cast("int")).over(group)})
+    wanted = F.get(F.array(*map(F.lit, plan)), F.col(f"{p}at"))
+    same = F.min((F.col(f"{p}kind") == wanted).cast("int")).over(within) == 1
+    problem = F.when(F.col(f"{p}margin") < LEAST_MARGIN, "margin").when(F.col(f"{p}runs") != runs, "runs").when(F.col(f"{p}run") < 0, "before").when(F.col(f"{p}length") != len(plan), "length").when(~same, "kinds")
+    judged = placed.withColumn("problem", problem)
+    return judged.withColumn("assigned", F.when(F.col("problem").isNull(), F.col(f"{p}run") * len(plan) + F.col(f"{p}at")).cast("int")).select(*frames.columns, "assigned", "problem")

@@ -1,4 +1,9 @@
-"""Robust and order statistics by group. Missing and non-finite values are removed first and counted."""
+"""Robust and order statistics by group.
+
+Nulls, NaN and infinities are removed first; n counts what is left. Null keys
+make a group like any other, and an empty table gives no rows unless a docstring
+says otherwise. Quantiles come from ``quantiles``, so no group is gathered.
+"""
 
 from __future__ import annotations
 
@@ -7,92 +12,152 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
+from .names import prefix
+from .quantiles import finite, linear_quantiles, nearest_rank, order_statistics
 
-def finite(x: Column) -> Column:
-    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+__all__ = ["finite", "nearest_rank"]
 
 
 def dispersion(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """n, mean, median, p05, p95, min, max, population sd and interquartile range (linear quantiles)."""
-    x = F.when(finite(F.col(value)), F.col(value))
-    q = {name: F.percentile(x, p) for name, p in (("p05", 0.05), ("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p95", 0.95))}
-    out = df.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"), F.stddev_pop(x).alias("sd"), *(c.alias(k) for k, c in q.items()))
+    """n, mean, median, p05, p95, min, max, population sd and interquartile range (linear quantiles).
+
+    A group without finite values has n 0 and nulls.
+    """
+    x = F.col("_x")
+    also = [F.avg(x).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"), F.stddev_pop(x).alias("sd")]
+    out = linear_quantiles(df, by, value, {"p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}, also)
     return out.withColumn("iqr", F.col("p75") - F.col("p25")).drop("p25", "p75")
 
 
 def sample_dispersion(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """n, non-finite count, mean, sample sd (null below two values), quartiles."""
-    x = F.when(finite(F.col(value)), F.col(value))
-    return df.groupBy(*by).agg(F.count(x).alias("n"), (F.count("*") - F.count(x)).alias("n_non_finite"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), *(F.percentile(x, p).alias(k) for k, p in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))))
+    """n, the count of removed rows n_non_finite, mean, sample sd (null below two values), quartiles q1, q2, q3."""
+    x = F.col("_x")
+    also = [(F.count("*") - F.count(x)).alias("n_non_finite"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd")]
+    return linear_quantiles(df, by, value, {"q1": 0.25, "q2": 0.5, "q3": 0.75}, also)
 
 
-def nearest_rank(df: DataFrame, by: Sequence[str], value: str, ranks: dict[str, float]) -> DataFrame:
-    """The order statistic at floor(q * (n - 1)) for each named q.
+def summarise(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """n, mean, root mean square, linear p50 and p95, min, max."""
+    x = F.col("_x")
+    also = [F.avg(x).alias("mean"), F.sqrt(F.avg(x * x)).alias("rms"), F.min(x).alias("min"), F.max(x).alias("max")]
+    return linear_quantiles(df, by, value, {"p50": 0.5, "p95": 0.95}, also)
 
-    Ranks come from counts of distinct values, so that a hot group costs its
-    distinct values, not its rows.
-    """
-    counts = df.where(finite(F.col(value))).groupBy(*by, value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*by).orderBy(value)
-    placed = counts.withColumn("_upto", F.sum("_c").over(w)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
-    at = {k: F.floor(F.lit(q) * (F.col("_n") - 1)) for k, q in ranks.items()}
-    return placed.groupBy(*by).agg(F.max("_n").alias("n"), *(F.min(F.when(F.col("_upto") > i, F.col(value))).alias(k) for k, i in at.items()))
 
+def median(df: DataFrame, by: Sequence[str], value: str, alias: str = "median", also: Sequence[Column] = ()) -> DataFrame:
+    """n, ``also`` and the median; null for a group without finite values."""
+    return linear_quantiles(df, by, value, {"_median": 0.5}, also).withColumnRenamed("_median", alias)
 
-def summarise(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    x = F.when(finite(F.col(value)), F.col(value))
-    return df.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.sqrt(F.avg(x * x)).alias("rms"), F.percentile(x, 0.5).alias("p50"), F.percentile(x, 0.95).alias("p95"), F.min(x).alias("min"), F.max(x).alias("max"))
 
+def robust_scale(df: DataFrame, by: Sequence[str], value: str, least: int = 1, floor: float = 0.0) -> DataFrame:
+    """n and ``scale``: the median over that of a unit Rayleigh distribution, at least ``floor``; null below ``least`` values."""
+    m = median(df, by, value, "_m")
+    return m.select(*by, "n", F.when(F.col("n") >= least, F.greatest(F.lit(floor), F.col("_m") / RAYLEIGH_MEDIAN)).alias("scale"))
 
-def reject_outliers(df: DataFrame, by: Sequence[str], value: str, k: float = 3.0, floor: float = 0.0, most_share: float = 0.2) -> DataFrame:
-    """Keep rows at most max(floor, k * median / 1.1774).
-
-    Where that would reject more than a share of a group, the threshold is the
-    (1 - share) order statistic instead. Returns by, threshold, kept, rejected.
-    """
-    scale = df.groupBy(*by).agg((F.percentile(value, 0.5) / 1.1774).alias("_s"), F.count("*").alias("n"))
-    first = scale.withColumn("_t", F.greatest(F.lit(floor), F.col("_s") * k))
-    order = nearest_rank(df, by, value, {"_cap": 1 - most_share}).drop("n")
-    over = df.join(first, list(by)).groupBy(*by).agg(F.count_if(F.col(value) > F.col("_t")).alias("_over"))
-    chosen = first.join(over, list(by)).join(order, list(by)).withColumn("threshold", F.when(F.col("_over") > most_share * F.col("n"), F.greatest("_t", "_cap")).otherwise(F.col("_t")))
-    judged = df.join(chosen.select(*by, "threshold"), list(by))
-    return judged.groupBy(*by, "threshold").agg(F.count_if(F.col(value) <= F.col("threshold")).alias("kept"), F.count_if(F.col(value) > F.col("threshold")).alias("rejected"))
 
+#: Fixed value: the median length of a 2-vector with unit normal parts, rounded as published
+RAYLEIGH_MEDIAN = 1.1774
 
-def global_rank(df: DataFrame, value: str, ties: Sequence[str], buckets: int = 1024) -> DataFrame:
-    """Add ``_rank`` (from 0) and ``_n`` without sorting everything in one task.
 
-    Rows fall into equal-width buckets of the value; the ranks within a
-    bucket are a window, and the counts of the buckets before it an offset.
+def reject_outliers(df: DataFrame, by: Sequence[str], value: str, k: float = 3.0, floor: float = 0.0, most_share: float = 0.2) -> DataFrame:
+    """One rejection pass over lengths: keep those at most the threshold. Returns ``by``, threshold, kept, rejected.
+
+    The threshold is max(floor, k * scale), scale the median of the group over
+    ``RAYLEIGH_MEDIAN``. Where that would reject more than ``most_share`` of
+    the group, it is the order statistic that keeps floor(n (1 - most_share))
+    values, at least one. NaN and infinities count, rank above all others and
+    are always rejected; nulls are no values. Two scans find the thresholds, a
+    third counts.
+    """
+    lengths = df.select(*by, F.col(value).cast("double").alias("_length"))
+    n = F.col("_total")
+    wanted = {
+        "_mid": (n - 1) / 2,
+        # More than a share is over the threshold if this one is.
+        "_edge": (n - F.floor(n * F.lit(most_share)) - 1).cast("double"),
+        "_cap": (F.greatest(F.lit(1), F.floor(n * F.lit(1 - most_share))) - 1).cast("double"),
+    }
+    found = order_statistics(lengths, by, "_length", wanted, [F.count("_raw").alias("_total")])
+    first = F.greatest(F.lit(floor), F.lit(k) * (F.col("_mid_lo") + F.col("_mid_hi")) / 2 / RAYLEIGH_MEDIAN)
+    over = F.coalesce(F.col("_edge_lo") > first, F.lit(True)) & F.lit(most_share < 1)
+    chosen = found.where("_total > 0").select(*(F.col(c).alias(f"_b{i}") for i, c in enumerate(by)), F.when(over, F.col("_cap_lo")).otherwise(first).alias("threshold"))
+    on = [F.col(c).eqNullSafe(F.col(f"_b{i}")) for i, c in enumerate(by)]
+    judged = lengths.where("_length IS NOT NULL")
+    judged = judged.join(chosen, on) if by else judged.crossJoin(chosen)  # without keys one row
+    keep = F.coalesce((F.col("_length") <= F.col("threshold")) & ~F.isnan("_length"), F.lit(False))
+    return judged.groupBy(*by, "threshold").agg(F.count_if(keep).alias("kept"), F.count_if(~keep).alias("rejected"))
+
+
+def global_rank(df: DataFrame, value: str, ties: Sequence[str], rank: str = "rank", n: str = "n", parts: int = 64) -> DataFrame:
+    """The rows with a finite value, with their ``rank`` (from 0) by value, then ``ties``, and their number ``n``.
+
+    Rows are dealt to ``parts`` ranges of (value, ties), so even one value that
+    all rows have is spread by its ties; ranks count within a range, after
+    those of the ranges before. Rows equal in value and ties have ranks in any
+    order. Nulls, NaN and infinities are left out: they have no rank.
     """
-    low, high = F.min(value).alias("_lo"), F.max(value).alias("_hi")
-    limits = df.agg(low, high, F.count("*").alias("_n"))
-    placed = df.crossJoin(F.broadcast(limits))  # one row
-    bucket = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col(value) - F.col("_lo")) / F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")) * buckets), F.lit(buckets - 1))).otherwise(0).cast("int")
-    placed = placed.withColumn("_bucket", bucket)
-    offsets = placed.groupBy("_bucket").agg(F.count("*").alias("_c"))
-    offsets = offsets.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")  # at most ``buckets`` rows
-    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(value, *ties)) - 1
-    return placed.join(F.broadcast(offsets), "_bucket").withColumn("_rank", F.col("_before") + inside).drop("_lo", "_hi", "_bucket", "_before")
+    p = prefix(df)
+    x = F.col(value).cast("double")
+    spread = cut(df.where(finite(x)).repartitionByRange(parts, value, *ties).withColumn(f"{p}part", F.spark_partition_id()))
+    sizes = spread.groupBy(f"{p}part").agg(F.count("*").alias(f"{p}c"))
+    upto = Window.orderBy(f"{p}part").rowsBetween(Window.unboundedPreceding, -1)  # ``parts`` rows
+    offsets = sizes.select(F.col(f"{p}part").alias(f"{p}key"), F.coalesce(F.sum(f"{p}c").over(upto), F.lit(0)).alias(f"{p}before"), F.sum(f"{p}c").over(Window.partitionBy(F.lit(0))).alias(n))
+    inside = F.row_number().over(Window.partitionBy(f"{p}part").orderBy(value, *ties)) - 1
+    placed = spread.join(F.broadcast(offsets), F.col(f"{p}part") == F.col(f"{p}key"))  # at most ``parts`` rows
+    return placed.withColumn(rank, F.col(f"{p}before") + inside).select(*df.columns, rank, n)
 
 
-def equal_count_bins(df: DataFrame, value: str, ties: Sequence[str], bins: int) -> DataFrame:
-    """Add ``bin``: bin b holds the ranks floor(b n / bins) to floor((b + 1) n / bins) - 1."""
-    return global_rank(df, value, ties).withColumn("bin", (F.ceil((F.col("_rank") + 1) * bins / F.col("_n")) - 1).cast("int")).drop("_rank", "_n")
+def equal_count_bins(df: DataFrame, value: str, ties: Sequence[str], bins: int, alias: str = "bin") -> DataFrame:
+    """The rows with a finite value, with ``alias``: bin b holds the ranks floor(b n / bins) to floor((b + 1) n / bins) - 1."""
+    p = prefix(df)
+    ranked = global_rank(df, value, ties, f"{p}rank", f"{p}n")
+    return ranked.withColumn(alias, (F.ceil((F.col(f"{p}rank") + 1) * bins / F.col(f"{p}n")) - 1).cast("int")).drop(f"{p}rank", f"{p}n")
 
 
 def otsu(df: DataFrame, value: str, bins: int = 256) -> DataFrame:
-    """threshold and between-class variance of the best cut of a histogram; the first of equal cuts."""
-    limits = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    scaled = df.crossJoin(F.broadcast(limits)).withColumn("bin", F.floor((F.col(value) - F.col("lo")) * (bins - 1) / (F.col("hi") - F.col("lo")) + 0.5))
-    counts = scaled.groupBy("bin", "lo", "hi").agg(F.count("*").alias("c"))
+    """bin and threshold of the cut with the greatest between-class variance of a histogram; the first of equal cuts.
+
+    Bins are centred on lo + bin (hi - lo) / (bins - 1), and the threshold is
+    the centre of the cut's last bin. Constant values give bin 0 and that
+    value; no finite value gives bin 0 and 0. Always one row.
+    """
+    raw = F.col(value).cast("double")
+    x = df.select(raw.alias("x")).where(finite(F.col("x")))
+    limits = x.agg(F.min("x").alias("lo"), F.max("x").alias("hi")).select("lo", ((bins - 1) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))).alias("scale"))
+    counts = x.crossJoin(F.broadcast(limits)).groupBy(F.coalesce(F.floor((F.col("x") - F.col("lo")) * F.col("scale") + 0.5), F.lit(0)).alias("bin")).agg(F.count("*").alias("c"))  # limits: one row
     upto = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # at most ``bins`` rows
     every = Window.partitionBy(F.lit(0))
-    w = counts.select("bin", "lo", "hi", F.sum("c").over(upto).alias("w0"), F.sum(F.col("c") * F.col("bin")).over(upto).alias("s0"), F.sum("c").over(every).alias("n"), F.sum(F.col("c") * F.col("bin")).over(every).alias("s"))
+    mass = F.col("c") * F.col("bin")
+    w = counts.select("bin", F.sum("c").over(upto).alias("w0"), F.sum(mass).over(upto).alias("s0"), F.sum("c").over(every).alias("n"), F.sum(mass).over(every).alias("s"))
     w = w.where("w0 < n").withColumn("m", F.col("s0") / F.col("w0") - (F.col("s") - F.col("s0")) / (F.col("n") - F.col("w0")))
     w = w.withColumn("between", F.col("w0").cast("double") * (F.col("n") - F.col("w0")) * F.col("m") * F.col("m"))
-    best = w.agg(F.max_by(F.struct("bin", "lo", "hi", "between"), F.struct(F.round("between", 3), -F.col("bin"))).alias("b"))
-    return best.select(F.col("b.bin").cast("int").alias("bin"), (F.col("b.lo") + (F.col("b.bin") + 0.5) * (F.col("b.hi") - F.col("b.lo")) / (bins - 1)).alias("threshold"))
+    best = w.agg(F.coalesce(F.max_by("bin", F.struct(F.round("between", 3), -F.col("bin"))), F.lit(0)).alias("bin"))
+    return best.crossJoin(F.broadcast(limits)).select(F.col("bin").cast("int").alias("bin"), (F.coalesce("lo", F.lit(0.0)) + F.coalesce(F.col("bin") / F.col("scale"), F.lit(0.0))).alias("threshold"))
+
+
+def lit_fractions(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """mean, and ``lit``: the share of a group's values above the middle between the least and greatest of all values.
+
+    Where all values are equal nothing is above it: lit is 0.
+    """
+    keyed = df.select(*by, F.col(value).cast("double").alias("_v")).where(finite(F.col("_v")))
+    middle = keyed.agg(((F.min("_v") + F.max("_v")) / 2).alias("_middle"))
+    both = keyed.crossJoin(F.broadcast(middle))  # one row
+    return both.groupBy(*by).agg(F.count("*").alias("n"), F.avg("_v").alias("mean"), (F.count_if(F.col("_v") > F.col("_middle")) / F.count("*")).alias("lit"))
+
+
+def pair_coherence(df: DataFrame, by: Sequence[str], cell: Column, value: str) -> DataFrame:
+    """cells, n, and the population variance ``between_cells`` of the means of a group's cells."""
+    kept = df.select(*by, cell.alias("_cell"), F.col(value).cast("double").alias("_v")).where(finite(F.col("_v")))
+    cells = kept.groupBy(*by, "_cell").agg(F.count("*").alias("_c"), F.sum("_v").alias("_s"))
+    return cells.groupBy(*by).agg(F.count("*").alias("cells"), F.sum("_c").alias("n"), F.var_pop(F.col("_s") / F.col("_c")).alias("between_cells"))
+
+
+def quadrature(df: DataFrame, by: Sequence[str], part: str, whole: str) -> DataFrame:
+    """The root of the summed squares of the parts of a group, the greatest whole, and ``excess``: how far the whole exceeds it (0 if it doesn't)."""
+    root = F.sqrt(F.sum(F.col(part) * F.col(part)))
+    g = df.groupBy(*by).agg(root.alias("quadrature"), F.max(whole).alias("whole"))
+    return g.withColumn("excess", F.sqrt(F.greatest(F.lit(0.0), F.col("whole") * F.col("whole") - F.col("quadrature") * F.col("quadrature"))))
 
 
 def covariance_axes(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:

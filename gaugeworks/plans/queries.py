@@ -4,40 +4,18 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import gray, photometry
-from ..operators import colour, gates, graph, ledger, pairing, sequences
+from ..operators import colour, gates, graph, ledger, pairing, quantiles, sequences
 from ..operators import statistics as S
+from ..sources.ledger import number_at
 from ..sources.shared import shared_dir
 from ..streaming import ledger as stream_ledgers
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c in columns})
-
+from .registry import QUERIES, SQL, query, rounded, t
 
 # Ledgers
 
@@ -61,12 +39,13 @@ def ledger_rollup(spark, sf_dir):
 @query(f"WITH m AS ({_MERGED}) SELECT count(*) AS n, round(sum(l_quantity * l_extendedprice), 2) AS product FROM m")
 def sum_of_products(spark, sf_dir):
     merged = ledger.max_merge(t(spark, sf_dir, "lineitem"), ["l_orderkey"], _VALUES)
-    return merged.agg(F.count("*").alias("n"), F.round(F.sum(F.col("l_quantity") * F.col("l_extendedprice")), 2).alias("product"))
+    return rounded(ledger.sum_of_products(merged, "l_quantity", "l_extendedprice"), 2, "product")
 
 
 @query("SELECT event_type, count(DISTINCT CAST(ts AS DATE)) AS days, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_ts FROM events GROUP BY event_type")
 def active_days(spark, sf_dir):
-    return t(spark, sf_dir, "events").groupBy("event_type").agg(F.count_distinct(F.to_date("ts")).alias("days"), F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss").alias("first_ts"), F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("last_ts"))
+    out = ledger.active_days(t(spark, sf_dir, "events"), ["event_type"], "ts")
+    return out.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("first_ts", "last_ts")})
 
 
 @query("""
@@ -78,8 +57,7 @@ def path_bucket(spark, sf_dir):
 
 @query("SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS k, coalesce(TRY_CAST(json_extract_string(props, '$.absent') AS BIGINT), 0) AS absent FROM events")
 def json_extract_default(spark, sf_dir):
-    number = lambda path: F.coalesce(F.get_json_object("props", path).try_cast("bigint"), F.lit(0).cast("bigint"))
-    return t(spark, sf_dir, "events").select("event_id", number("$.k").alias("k"), number("$.absent").alias("absent"))
+    return t(spark, sf_dir, "events").select("event_id", number_at(F.col("props"), "$.k").alias("k"), number_at(F.col("props"), "$.absent").alias("absent"))
 
 
 _RATES = [("1-URGENT", "1992-01-01", "1995-06-01", 3.0), ("1-URGENT", "1995-06-01", None, 2.5), ("2-HIGH", "1992-01-01", None, 1.5)]
@@ -99,8 +77,7 @@ def validity_rate_join(spark, sf_dir):
 @query("""
 SELECT item, round(sum(v), 2) AS total, count(*) AS n FROM (UNPIVOT (SELECT l_quantity AS quantity, l_extendedprice AS price, l_tax AS tax FROM lineitem) ON quantity, price, tax INTO NAME item VALUE v) GROUP BY item""")
 def unpivot_line_items(spark, sf_dir):
-    wide = t(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"), F.col("l_tax").alias("tax"))
-    return wide.unpivot([], ["quantity", "price", "tax"], "item", "v").groupBy("item").agg(F.round(F.sum("v"), 2).alias("total"), F.count("*").alias("n"))
+    return rounded(ledger.unpivot_items(t(spark, sf_dir, "lineitem"), {"l_quantity": "quantity", "l_extendedprice": "price", "l_tax": "tax"}), 2, "total")
 
 
 # Statistics
@@ -125,7 +102,7 @@ def disperse_sample(spark, sf_dir):
 WITH s AS (SELECT l_returnflag, list_sort(list(l_extendedprice)) AS v FROM lineitem GROUP BY 1)
 SELECT l_returnflag, CAST(len(v) AS BIGINT) AS n, v[CAST(floor(0.05 * (len(v) - 1)) AS BIGINT) + 1] AS p5, v[CAST(floor(0.5 * (len(v) - 1)) AS BIGINT) + 1] AS p50, v[CAST(floor(0.95 * (len(v) - 1)) AS BIGINT) + 1] AS p95 FROM s""")
 def nearest_rank_band(spark, sf_dir):
-    return S.nearest_rank(t(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", {"p5": 0.05, "p50": 0.5, "p95": 0.95})
+    return quantiles.nearest_rank(t(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", {"p5": 0.05, "p50": 0.5, "p95": 0.95})
 
 
 @query("""
@@ -137,8 +114,8 @@ def summarise_rms(spark, sf_dir):
 
 @query("""
 WITH s AS (SELECT l_returnflag, median(l_extendedprice) / 1.1774 AS s, count(*) AS n, list_sort(list(l_extendedprice)) AS v FROM lineitem GROUP BY 1),
-o AS (SELECT l_returnflag, s * 1.5 AS t0, n, v[CAST(floor((1 - 0.2::DOUBLE) * (n - 1)) AS BIGINT) + 1] AS cap, len(list_filter(v, lambda x: x > s * 1.5)) AS over FROM s),
-c AS (SELECT l_returnflag, CASE WHEN over > 0.2 * n THEN greatest(t0, cap) ELSE t0 END AS threshold FROM o)
+o AS (SELECT l_returnflag, s * 1.5 AS t0, n, v[greatest(1, CAST(floor(n * (1 - 0.2::DOUBLE)) AS BIGINT))] AS cap, len(list_filter(v, lambda x: x > s * 1.5)) AS over FROM s),
+c AS (SELECT l_returnflag, CASE WHEN over > 0.2 * n THEN cap ELSE t0 END AS threshold FROM o)
 SELECT l_returnflag, round(threshold, 4) AS threshold, count(*) FILTER (l_extendedprice <= threshold) AS kept, count(*) FILTER (l_extendedprice > threshold) AS rejected FROM lineitem JOIN c USING (l_returnflag) GROUP BY l_returnflag, c.threshold""")
 def robust_scale_reject(spark, sf_dir):
     return rounded(S.reject_outliers(t(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", k=1.5), 4, "threshold")
@@ -147,8 +124,7 @@ def robust_scale_reject(spark, sf_dir):
 @query("""
 SELECT l_suppkey, CAST(count(*) AS BIGINT) AS n, CASE WHEN count(*) >= 64 THEN round(greatest(1.0, median(l_quantity) / 1.1774), 4) END AS scale FROM lineitem GROUP BY 1""")
 def variance_components(spark, sf_dir):
-    g = t(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"), F.percentile("l_quantity", 0.5).alias("_m"))
-    return g.select("l_suppkey", "n", F.when(F.col("n") >= 64, F.round(F.greatest(F.lit(1.0), F.col("_m") / 1.1774), 4)).alias("scale"))
+    return rounded(S.robust_scale(t(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_quantity", least=64, floor=1.0), 4, "scale")
 
 
 @query("""
@@ -156,7 +132,7 @@ WITH r AS (SELECT o_totalprice, row_number() OVER (ORDER BY o_totalprice, o_orde
 SELECT CAST(ceil((r + 1) * 16 / n) - 1 AS INTEGER) AS bin, count(*) AS n, round(median(o_totalprice), 4) AS level FROM r GROUP BY 1""")
 def equal_count_bins(spark, sf_dir):
     binned = S.equal_count_bins(t(spark, sf_dir, "orders"), "o_totalprice", ["o_orderkey"], 16)
-    return binned.groupBy("bin").agg(F.count("*").alias("n"), F.round(F.percentile("o_totalprice", 0.5), 4).alias("level"))
+    return rounded(S.median(binned, ["bin"], "o_totalprice", "level"), 4, "level")
 
 
 @query("""
@@ -164,18 +140,16 @@ WITH l AS (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part),
 h AS (SELECT CAST(floor((p_retailprice - lo) * 255 / (hi - lo) + 0.5) AS BIGINT) AS bin, count(*) AS c FROM part, l GROUP BY 1),
 w AS (SELECT bin, sum(c) OVER o AS w0, sum(c * bin) OVER o AS s0, sum(c) OVER () AS n, sum(c * bin) OVER () AS s FROM h WINDOW o AS (ORDER BY bin ROWS UNBOUNDED PRECEDING)),
 b AS (SELECT bin, round(w0::DOUBLE * (n - w0) * pow(s0 / w0 - (s - s0) / (n - w0), 2), 3) AS between FROM w WHERE w0 < n)
-SELECT CAST(arg_max(bin, (between, -bin)) AS INTEGER) AS bin, round(any_value(lo) + (arg_max(bin, (between, -bin)) + 0.5) * (any_value(hi) - any_value(lo)) / 255, 4) AS threshold FROM b, l""")
+SELECT CAST(arg_max(bin, (between, -bin)) AS INTEGER) AS bin, round(any_value(lo) + arg_max(bin, (between, -bin)) * (any_value(hi) - any_value(lo)) / 255, 4) AS threshold FROM b, l""")
 def otsu_threshold(spark, sf_dir):
     return rounded(S.otsu(t(spark, sf_dir, "part"), "p_retailprice"), 4, "threshold")
 
 
 @query("""
 WITH m AS (SELECT (min(value) + max(value)) / 2 AS mid FROM events)
-SELECT event_type, round(avg(value), 4) AS mean, round(count(*) FILTER (value > mid)::DOUBLE / count(*), 6) AS lit FROM events, m GROUP BY 1""")
+SELECT event_type, count(*) AS n, round(avg(value), 4) AS mean, round(count(*) FILTER (value > mid)::DOUBLE / count(*), 6) AS lit FROM events, m GROUP BY 1""")
 def lit_fraction(spark, sf_dir):
-    events = t(spark, sf_dir, "events")
-    mid = events.agg(((F.min("value") + F.max("value")) / 2).alias("mid"))
-    return events.crossJoin(F.broadcast(mid)).groupBy("event_type").agg(F.round(F.avg("value"), 4).alias("mean"), F.round(F.count_if(F.col("value") > F.col("mid")) / F.count("*"), 6).alias("lit"))
+    return rounded(S.lit_fractions(t(spark, sf_dir, "events"), ["event_type"], "value"), 4, "mean").withColumn("lit", F.round("lit", 6))
 
 
 @query("""
@@ -212,8 +186,7 @@ WITH c AS (SELECT l_suppkey, l_returnflag, CAST(floor(l_quantity / 10) AS BIGINT
 p AS (SELECT l_suppkey, l_returnflag, count(*) AS cells, CAST(sum(n) AS BIGINT) AS n, var_pop(s / n) AS between FROM c GROUP BY ALL)
 SELECT l_suppkey, l_returnflag, cells, n, round(between, 8) AS between_cells FROM p""")
 def pair_coherence(spark, sf_dir):
-    cells = t(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_returnflag", F.floor(F.col("l_quantity") / 10).alias("cell")).agg(F.count("*").alias("c"), F.sum("l_discount").alias("s"))
-    return cells.groupBy("l_suppkey", "l_returnflag").agg(F.count("*").alias("cells"), F.sum("c").alias("n"), F.round(F.var_pop(F.col("s") / F.col("c")), 8).alias("between_cells"))
+    return rounded(S.pair_coherence(t(spark, sf_dir, "lineitem"), ["l_suppkey", "l_returnflag"], F.floor(F.col("l_quantity") / 10), "l_discount"), 8, "between_cells")
 
 
 # Cascades, gates and verdicts
@@ -222,8 +195,8 @@ def pair_coherence(spark, sf_dir):
 @query("""
 SELECT coalesce(CASE WHEN l_discount >= 0.09 THEN 'low-modulation' WHEN l_quantity < 5 THEN 'off-image' WHEN l_tax > 0.07 THEN 'disagree' END, 'accepted') AS reason, count(*) AS n, round(avg(l_extendedprice), 4) AS mean FROM lineitem GROUP BY 1""")
 def reject_cascade(spark, sf_dir):
-    reason = gates.first_reason([("low-modulation", F.col("l_discount") >= 0.09), ("off-image", F.col("l_quantity") < 5), ("disagree", F.col("l_tax") > 0.07)])
-    return t(spark, sf_dir, "lineitem").groupBy(F.coalesce(reason, F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"), F.round(F.avg("l_extendedprice"), 4).alias("mean"))
+    rules = [("low-modulation", F.col("l_discount") >= 0.09), ("off-image", F.col("l_quantity") < 5), ("disagree", F.col("l_tax") > 0.07)]
+    return rounded(gates.reject_counts(t(spark, sf_dir, "lineitem"), rules, [], "l_extendedprice"), 4, "mean")
 
 
 def _gates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,8 +208,8 @@ def _gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 _GATES = """
 WITH m AS (SELECT o_orderkey AS scenario, o_orderpriority AS metric, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS value, o_orderkey % 97 = 0 AS censored FROM orders),
 g(gate, metric, lim) AS (VALUES ('g1', '1-URGENT', 400000.0::DOUBLE), ('g2', '2-HIGH', 1e9), ('g3', '5-LOW', 1e9), ('g4', 'no-such', 1.0)),
-r AS (SELECT gate, lim AS "limit", count(*) FILTER (value IS NOT NULL) AS scored, count(*) FILTER (scenario IS NOT NULL AND (value IS NULL OR censored OR value > lim)) AS failed,
-  count(*) FILTER (scenario IS NOT NULL AND value IS NULL) AS unmeasured, max(value) AS worst FROM g LEFT JOIN m USING (metric) GROUP BY gate, lim),
+r AS (SELECT gate, lim AS "limit", count(*) FILTER (value IS NOT NULL AND NOT censored) AS scored, count(*) FILTER (scenario IS NOT NULL AND (value IS NULL OR censored OR value > lim)) AS failed,
+  count(*) FILTER (scenario IS NOT NULL AND (value IS NULL OR censored)) AS unmeasured, max(value) FILTER (NOT censored) AS worst FROM g LEFT JOIN m USING (metric) GROUP BY gate, lim),
 v AS (SELECT *, CASE WHEN scored = 0 THEN 'not-measured' WHEN failed > 0 THEN 'fail' ELSE 'pass' END AS verdict FROM r)"""
 
 
@@ -246,15 +219,15 @@ def gate_rollup(spark, sf_dir):
 
 
 @query(_GATES + """, w(gate, status, expires, ceiling) AS (VALUES ('g1', 'OPEN', '2099-01-01', 1.0::DOUBLE), ('g2', 'OPEN', '2099-01-01', 1e12), ('g3', 'CLOSED', '2099-01-01', 1e12))
-SELECT gate, verdict, CASE WHEN verdict <> 'fail' THEN verdict WHEN status IS NULL THEN 'fail:unwaived' WHEN status <> 'OPEN' THEN 'fail:not-open' WHEN expires < '2026-01-01' THEN 'fail:expired' WHEN worst IS NULL OR worst > ceiling THEN 'fail:above-ceiling' ELSE 'waived' END AS outcome FROM v LEFT JOIN w USING (gate)""")
+SELECT gate, verdict, CASE WHEN verdict <> 'fail' THEN verdict WHEN status IS NULL THEN 'fail:unwaived' WHEN status <> 'OPEN' THEN 'fail:not-open' WHEN expires < '2026-01-01' THEN 'fail:expired' WHEN ceiling IS NOT NULL AND (worst IS NULL OR worst > ceiling) THEN 'fail:above-ceiling' ELSE 'waived' END AS outcome FROM v LEFT JOIN w USING (gate)""")
 def gate_waivers(spark, sf_dir):
     waivers = spark.createDataFrame([("g1", "OPEN", "2099-01-01", 1.0), ("g2", "OPEN", "2099-01-01", 1e12), ("g3", "CLOSED", "2099-01-01", 1e12)], "gate string, status string, expires string, ceiling double")
     return gates.judge_waived(_gates(spark, sf_dir), waivers, "2026-01-01")
 
 
-@query("SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 4 = 0)")
 def unmatched_anti(spark, sf_dir):
-    customer, orders = t(spark, sf_dir, "customer"), t(spark, sf_dir, "orders")
+    customer, orders = t(spark, sf_dir, "customer"), t(spark, sf_dir, "orders").where("o_orderkey % 4 = 0")
     return customer.join(orders, customer["c_custkey"] == orders["o_custkey"], "left_anti").select("c_custkey", "c_mktsegment")
 
 
@@ -264,14 +237,20 @@ def occluded_semi(spark, sf_dir):
     return customer.join(orders, customer["c_custkey"] == orders["o_custkey"], "left_semi").select("c_custkey", "c_mktsegment")
 
 
+def _months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(o_orderpriority, month, n, v, w, s): median, mean and a spread of each month."""
+    months = t(spark, sf_dir, "orders").withColumn("month", F.date_format("o_orderdate", "yyyy-MM"))
+    return S.median(months, ["o_orderpriority", "month"], "o_totalprice", "v", [F.avg("_x").alias("w"), (F.stddev_pop("_x") / 20).alias("s")])
+
+
 _MONTHS = "SELECT o_orderpriority, strftime(o_orderdate, '%Y-%m') AS month, median(o_totalprice) AS med, stddev_pop(o_totalprice) / 20 AS spread FROM orders GROUP BY ALL"
 
 
 @query(f"""
 WITH m AS ({_MONTHS}), w AS (SELECT *, lag(med) OVER p AS prev, greatest(spread, lag(spread) OVER p) AS dead FROM m WINDOW p AS (PARTITION BY o_orderpriority ORDER BY month))
-SELECT o_orderpriority, month, CASE WHEN prev IS NULL THEN 'unqualified' WHEN med - prev < -dead THEN 'improved' WHEN med - prev > dead THEN 'regressed' ELSE 'flat' END AS movement FROM w""")
+SELECT o_orderpriority, month, CASE WHEN prev IS NULL THEN 'flat' WHEN med - prev < -dead THEN 'improved' WHEN med - prev > dead THEN 'regressed' ELSE 'flat' END AS movement FROM w""")
 def round_movement(spark, sf_dir):
-    months = t(spark, sf_dir, "orders").groupBy("o_orderpriority", F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.percentile("o_totalprice", 0.5).alias("med"), (F.stddev_pop("o_totalprice") / 20).alias("spread"))
+    months = _months(spark, sf_dir).withColumnsRenamed({"v": "med", "s": "spread"})
     return sequences.movement(months, ["o_orderpriority"], "month", "med", "spread").select("o_orderpriority", "month", "movement")
 
 
@@ -298,8 +277,8 @@ def sign_test(spark, sf_dir):
 
 
 @query("""
-WITH m AS (SELECT o_orderpriority, median(o_totalprice) AS median FROM orders GROUP BY 1)
-SELECT o_orderpriority, round(median, 4) AS median, round(median / (SELECT median FROM m WHERE o_orderpriority = '5-LOW'), 6) AS ratio FROM m""")
+WITH m AS (SELECT o_orderpriority, count(*) AS n, median(o_totalprice) AS median FROM orders GROUP BY 1)
+SELECT o_orderpriority, n, round(median, 4) AS median, round(median / (SELECT median FROM m WHERE o_orderpriority = '5-LOW'), 6) AS ratio FROM m""")
 def ratio_to_control(spark, sf_dir):
     out = pairing.ratio_to_control(t(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice", "5-LOW")
     return rounded(out, 4, "median").withColumn("ratio", F.round("ratio", 6))
@@ -307,8 +286,7 @@ def ratio_to_control(spark, sf_dir):
 
 @query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) >= 5 AND NOT bool_or(o_orderstatus = 'P')")
 def usable_groups(spark, sf_dir):
-    g = t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.bool_or(F.col("o_orderstatus") == "P").alias("_bad"))
-    return g.where((F.col("n") >= 5) & ~F.col("_bad")).drop("_bad")
+    return pairing.usable_groups(t(spark, sf_dir, "orders"), ["o_custkey"], 5, F.col("o_orderstatus") == "P")
 
 
 @query("SELECT s_nationkey, arg_max(s_name, (s_acctbal, -s_suppkey)) AS s_name, max(s_acctbal) AS s_acctbal FROM supplier GROUP BY 1")
@@ -330,11 +308,9 @@ def blend_normalise(spark, sf_dir):
 
 @query("""
 WITH p AS (SELECT a.s_nationkey AS nation, a.s_suppkey AS i, b.s_suppkey AS j, abs(a.s_acctbal - b.s_acctbal) AS gap FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey)
-SELECT nation, round(max(gap), 4) AS gap FROM p GROUP BY nation""")
+SELECT nation, arg_max(i, (gap, -i, -j)) AS i, arg_max(j, (gap, -i, -j)) AS j, round(max(gap), 4) AS gap FROM p GROUP BY nation""")
 def worst_pair(spark, sf_dir):
-    """The largest disagreement of any pair is that of the extremes: no pairs are formed."""
-    g = t(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("_n"), F.round(F.max("s_acctbal") - F.min("s_acctbal"), 4).alias("gap"))
-    return g.where("_n > 1").drop("_n")
+    return rounded(pairing.worst_pair(t(spark, sf_dir, "supplier"), ["s_nationkey"], "s_suppkey", "s_acctbal").withColumnRenamed("s_nationkey", "nation"), 4, "gap")
 
 
 @query("""
@@ -349,8 +325,7 @@ def structural_diff(spark, sf_dir):
 
 @query("SELECT sha256(text) AS signature, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
 def dup_signature(spark, sf_dir):
-    g = t(spark, sf_dir, "documents").where("text IS NOT NULL").groupBy(F.sha2("text", 256).alias("signature")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
-    return g.where("n > 1")
+    return pairing.repeated_signatures(t(spark, sf_dir, "documents"), "text", "doc_id").withColumnRenamed("first", "first_id")
 
 
 # Sequences and intervals
@@ -435,10 +410,10 @@ def ray_sphere_hit(spark, sf_dir):
 
 @query("""
 WITH x AS (SELECT l_orderkey, l_partkey, l_suppkey, l_extendedprice, least(greatest(l_quantity / 50, 0), 1) AS t FROM lineitem)
-SELECT l_orderkey, l_partkey, l_suppkey, l_extendedprice, round(t, 6) AS linear, round((1 - cos(t * pi())) / 2, 6) AS cosine, round(t * t * (3 - 2 * t), 6) AS smoothstep, round(pow(t, 2.2), 6) AS power, round(0.9 * (0.98 * pow(t, 2.4) + 0.02), 6) AS emitted FROM x""")
+SELECT l_orderkey, l_partkey, l_suppkey, l_extendedprice, round(t, 6) AS linear, round((1 - cos(t * pi())) / 2, 6) AS cosine, round(t * t * (3 - 2 * t), 6) AS smoothstep, round((exp(-4.5 * (1 - t) * (1 - t)) - exp(-4.5)) / (1 - exp(-4.5)), 6) AS gaussian, round(0.9 * (0.98 * pow(t, 2.4) + 0.02), 6) AS emitted FROM x""")
 def ramp_shapes(spark, sf_dir):
     x = F.col("l_quantity") / 50
-    return t(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", *(F.round(photometry.ramp(s, x), 6).alias(s) for s in ("linear", "cosine", "smoothstep", "power")), F.round(photometry.emitted(x, 2.4, 0.9, 0.02), 6).alias("emitted"))
+    return t(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", *(F.round(photometry.ramp(s, x), 6).alias(s) for s in photometry.RAMPS), F.round(photometry.emitted(x, 2.4, 0.9, 0.02), 6).alias("emitted"))
 
 
 @query("SELECT vec_id, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 5) AS norm FROM embeddings")
@@ -479,32 +454,17 @@ def shortest_path(spark, sf_dir):
     return graph.shortest_paths(edges, nation.where("n_nationkey = 0").select(F.col("n_nationkey").alias("id")))
 
 
-# Generated draws: an arithmetic generator that both engines share
-
-_DRAW = "((i * 1103515245 + 12345) % 2147483648) / 2147483648.0"
-
-
-@query(f"""
-WITH d AS (SELECT exp(ln(3.0) + 0.4 * 2 * ({_DRAW} - 0.5)) AS v FROM range(0, 20000) r(i)), s AS (SELECT list_sort(list(v)) AS v FROM d)
-SELECT CAST(len(v) AS BIGINT) AS n, round(v[CAST(floor(0.05 * 19999) AS BIGINT) + 1], 6) AS p5, round(v[CAST(floor(0.5 * 19999) AS BIGINT) + 1], 6) AS p50, round(v[CAST(floor(0.95 * 19999) AS BIGINT) + 1], 6) AS p95 FROM s""")
-def monte_carlo_bands(spark, sf_dir):
-    u = ((F.col("id") * 1103515245 + 12345) % 2147483648) / 2147483648.0
-    draws = spark.range(20000).select(F.exp(F.ln(F.lit(3.0)) + 0.4 * 2 * (u - 0.5)).alias("v"))
-    return rounded(S.nearest_rank(draws, [], "v", {"p5": 0.05, "p50": 0.5, "p95": 0.95}), 6, "p5", "p50", "p95")
+# Resampling
 
 
 @query("""
 WITH c AS (SELECT c_nationkey AS k, sum(c_acctbal) AS num, count(*) AS den FROM customer GROUP BY 1), ranked AS (SELECT *, row_number() OVER (ORDER BY k) - 1 AS i, count(*) OVER () AS n FROM c),
-draws AS (SELECT rep, ((rep * 7919 + slot * 104729 + 12345) * 1103515245 % 2147483648) // 1024 % n AS i FROM range(0, 200) a(rep), range(0, 25) b(slot), (SELECT any_value(n) AS n FROM ranked) WHERE slot < n)
-SELECT rep, round(sum(num) / sum(den), 4) AS ratio FROM draws JOIN ranked USING (i) GROUP BY rep""")
+draws AS (SELECT rep, ((rep * 7919 + slot * 104729 + 12345) * 1103515245 % 2147483648) // 1024 % n AS i FROM range(0, 200) a(rep), (SELECT any_value(n) AS n FROM ranked), UNNEST(range(0, n)) b(slot))
+SELECT rep, round(sum(num) / sum(den) + 1e-7, 4) AS ratio FROM draws JOIN ranked USING (i) GROUP BY rep""")
 def cluster_bootstrap(spark, sf_dir):
-    """Ratios of sums over resampled clusters, never rows; the clusters are one row a nation."""
-    clusters = t(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.sum("c_acctbal").alias("num"), F.count("*").alias("den"))
-    ranked = clusters.withColumn("i", (F.row_number().over(Window.orderBy("k")) - 1).cast("long")).withColumn("n", F.count("*").over(Window.partitionBy(F.lit(0))))
-    one = ranked.agg(F.max("n").alias("n"))
-    slots = spark.range(200).withColumnRenamed("id", "rep").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(24)))).crossJoin(F.broadcast(one)).where("slot < n")
-    drawn = slots.select("rep", F.expr("((rep * 7919 + slot * 104729 + 12345) * 1103515245 % 2147483648) div 1024 % n").alias("i"))
-    return drawn.join(F.broadcast(ranked.drop("n")), "i").groupBy("rep").agg(F.round(F.sum("num") / F.sum("den"), 4).alias("ratio"))
+    """Ratios of sums over resampled clusters, never rows."""
+    reps = pairing.cluster_bootstrap(t(spark, sf_dir, "customer"), "c_nationkey", "c_acctbal")
+    return reps.select("rep", F.round(F.col("ratio") + 1e-7, 4).alias("ratio"))  # amounts are in hundredths, so exact halves occur
 
 
 # Colour, rotations, lattices, steps and folds
@@ -574,8 +534,7 @@ f AS (SELECT p, i, month, month AS best, v, w, s FROM o WHERE i = 1 UNION ALL
           (o.v - f.v < -greatest(o.s, f.s) OR o.w - f.w < -greatest(o.s, f.s)) AND NOT (o.v - f.v > greatest(o.s, f.s) OR o.w - f.w > greatest(o.s, f.s)) AS b FROM f JOIN o ON o.p = f.p AND o.i = f.i + 1) x)
 SELECT p AS o_orderpriority, month, best FROM f""")
 def best_round_fold(spark, sf_dir):
-    spread = F.stddev_pop("o_totalprice") / 20
-    months = t(spark, sf_dir, "orders").groupBy("o_orderpriority", F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.percentile("o_totalprice", 0.5).alias("v"), F.avg("o_totalprice").alias("w"), spread.alias("s"), spread.alias("s2"))
+    months = _months(spark, sf_dir).withColumn("s2", F.col("s"))
     return sequences.best_rounds(months, ["o_orderpriority"], "month", ["v", "w"], ["s", "s2"])
 
 

@@ -154,7 +154,7 @@ u AS (SELECT unnest(['vendor', 'physical', 'cost', 'pooled', 'pooled', 'pooled']
 SELECT method, CAST(len(v) AS BIGINT) AS n, round(v[CAST(floor(0.05 * (len(v) - 1)) AS BIGINT) + 1], 4) AS p5, round(v[CAST(floor(0.1 * (len(v) - 1)) AS BIGINT) + 1], 4) AS p10, round(v[CAST(floor(0.5 * (len(v) - 1)) AS BIGINT) + 1], 4) AS p50, round(v[CAST(floor(0.9 * (len(v) - 1)) AS BIGINT) + 1], 4) AS p90, round(v[CAST(floor(0.95 * (len(v) - 1)) AS BIGINT) + 1], 4) AS p95 FROM s""")
 def impact_bands(spark, sf_dir):
     """Three estimates of the energy of some work, on shared constants, and their equal mixture."""
-    results = impact.methods(impact.draw_constants(spark, _BOUNDS, 2000, 7), _WORK, 500.0)
+    results = impact.methods(cut(impact.draw_constants(spark, _BOUNDS, 2000, 7)), _WORK, 500.0)
     return rounded(impact.bands(results), 4, *impact.BAND)
 
 

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from gaugeworks.plans.queries import QUERIES, SQL
+from gaugeworks.plans.reference import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 

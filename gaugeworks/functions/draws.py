@@ -44,16 +44,29 @@ def uniform(*key: Column) -> Column:
     return hash_word(h) * 2.0**-32
 
 
+def uniforms(count: int, *key: Column) -> Column:
+    """An array of ``count`` uniforms: those of the key with 0, 1, ... as its last part. One expression, however many."""
+    return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda k: uniform(*key, k))
+
+
+def box_muller(first: Column, second: Column) -> Column:
+    """A normal draw of two uniforms; the first is kept off 0."""
+    return F.sqrt(-2 * F.log(first + 2.0**-33)) * F.cos(2 * math.pi * second)
+
+
 def standard_normal(*key: Column) -> Column:
-    """A normal draw of a key, by Box-Muller on two uniforms of the key; the first is kept off 0."""
-    radius = F.sqrt(-2 * F.log(uniform(*key, F.lit(0)) + 2.0**-33))
-    return radius * F.cos(2 * math.pi * uniform(*key, F.lit(1)))
+    """A normal draw of a key, from its uniforms 0 and 1."""
+    return box_muller(uniform(*key, F.lit(0)), uniform(*key, F.lit(1)))
+
+
+#: Fixed value: a standard normal lies within so much of 0 with 90 %
+WITHIN_90 = 1.6448536269514722
 
 
-def log_normal(low: float, high: float, *key: Column, spread: float = 1.6448536269514722) -> Column:
+def log_normal(low: float, high: float, normal: Column) -> Column:
     """A lognormal draw with 90 % between ``low`` and ``high``: its median is their geometric mean."""
-    mu, sigma = (math.log(low) + math.log(high)) / 2, (math.log(high) - math.log(low)) / (2 * spread)
-    return F.exp(F.lit(mu) + F.lit(sigma) * standard_normal(*key))
+    mu, sigma = (math.log(low) + math.log(high)) / 2, (math.log(high) - math.log(low)) / (2 * WITHIN_90)
+    return F.exp(F.lit(mu) + F.lit(sigma) * normal)
 
 
 def radical_inverse(index: Column, base: int) -> Column:

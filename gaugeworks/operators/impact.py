@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.draws import log_normal
+from ..functions.draws import box_muller, log_normal, uniforms
 from .quantiles import nearest_rank
 
 JOULES_PER_KWH = 3.6e6
@@ -25,7 +25,9 @@ def draw_constants(spark: SparkSession, bounds: dict[str, tuple[float, float]],
         if not 0 < low <= high:
             raise ValueError(f"{name}: bounds must be positive and in order")
     i = F.col("draw")
-    return spark.range(draws).withColumnRenamed("id", "draw").select(i, *(log_normal(low, high, F.lit(seed), i, F.lit(k)).alias(name) for k, (name, (low, high)) in enumerate(bounds.items())))
+    drawn = spark.range(draws).withColumnRenamed("id", "draw").select(i, uniforms(2 * len(bounds), F.lit(seed), i).alias("_u"))
+    normal = lambda k: box_muller(F.get("_u", F.lit(2 * k)), F.get("_u", F.lit(2 * k + 1)))
+    return drawn.select(i, *(log_normal(low, high, normal(k)).alias(name) for k, (name, (low, high)) in enumerate(bounds.items())))
 
 
 def energy_terms(prefill_tokens: Column, output_tokens: Column, context_output: Column, read_tokens: Column) -> dict[str, Column]:

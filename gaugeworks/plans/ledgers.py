@@ -106,8 +106,9 @@ def uniform_sql(*key: str) -> str:
     return f"(CAST({hash_sql(h)} AS DOUBLE) / 4294967296.0)"
 
 
-def normal_sql(*key: str) -> str:
-    return f"(sqrt(-2 * ln({uniform_sql(*key, '0')} + pow(2.0, -33))) * cos(2 * pi() * {uniform_sql(*key, '1')}))"
+def normal_sql(*key: str, k: int = 0) -> str:
+    """The normal of the uniforms 2 k and 2 k + 1 of a key."""
+    return f"(sqrt(-2 * ln({uniform_sql(*key, str(2 * k))} + pow(2.0, -33))) * cos(2 * pi() * {uniform_sql(*key, str(2 * k + 1))}))"
 
 
 @query(f"SELECT CAST(i AS BIGINT) AS i, CAST({hash_sql('i')} AS BIGINT) AS word, round({uniform_sql('i', '7')}, 9) AS uniform, round({normal_sql('42', 'i')}, 6) AS normal FROM range(0, 5000) r(i)")
@@ -126,7 +127,7 @@ _MU, _SIGMA = "(ln(80.0) + ln(600.0)) / 2", "(ln(600.0) - ln(80.0)) / (2 * 1.644
 
 
 @query(f"""
-WITH d AS (SELECT exp({_MU} + {_SIGMA} * {normal_sql('42', 'i', '0')}) AS v FROM range(0, 20000) r(i)), s AS (SELECT list_sort(list(v)) AS v FROM d)
+WITH d AS (SELECT exp({_MU} + {_SIGMA} * {normal_sql('42', 'i')}) AS v FROM range(0, 20000) r(i)), s AS (SELECT list_sort(list(v)) AS v FROM d)
 SELECT CAST(len(v) AS BIGINT) AS n, round(v[CAST(floor(0.05 * 19999) AS BIGINT) + 1], 4) AS p5, round(v[CAST(floor(0.5 * 19999) AS BIGINT) + 1], 4) AS p50, round(v[CAST(floor(0.95 * 19999) AS BIGINT) + 1], 4) AS p95 FROM s""")
 def monte_carlo_bands(spark, sf_dir):
     """Lognormal draws with 90 % between two bounds."""
@@ -141,7 +142,7 @@ _BOUNDS = {
     "kv_bytes": (2e4, 2e5), "staging_bandwidth": (1e10, 1e11), "utilisation": (0.3, 0.8), "query_context": (200.0, 2000.0), "query_output": (200.0, 800.0), "published_wh": (0.2, 0.5), "margin": (0.4, 0.7), "compute_share": (0.5, 0.9), "dollars_per_hour": (1.5, 4.0),
 }
 _WORK = {"prefill": 2e8, "output": 1.5e7, "context_output": 1.2e12, "read": 3e9}
-_CONSTANTS = ", ".join(f"exp((ln({low}) + ln({high})) / 2 + (ln({high}) - ln({low})) / (2 * 1.6448536269514722) * {normal_sql('7', 'i', str(k))}) AS {name}" for k, (name, (low, high)) in enumerate(_BOUNDS.items()))
+_CONSTANTS = ", ".join(f"exp((ln({low}) + ln({high})) / 2 + (ln({high}) - ln({low})) / (2 * 1.6448536269514722) * {normal_sql('7', 'i', k=k)}) AS {name}" for k, (name, (low, high)) in enumerate(_BOUNDS.items()))
 
 
 @query(f"""

@@ -111,11 +111,12 @@ def round_classes(spark, sf_dir):
 
 @query(_ROUNDS + """
 , g(metric, gate_max, provisional) AS (VALUES ('median', 200000.0::DOUBLE, false), ('mean', 0.0, false), ('rare', 5.0, true))
-SELECT p, month, m.metric, round(value, 4) AS median, round(spread, 2) AS spread, gate_max, CASE WHEN NOT provisional THEN CASE WHEN gate_max = 0 THEN 'Infinity'::DOUBLE ELSE round(value / gate_max, 6) END END AS gate_fraction, NOT provisional AS scorable FROM m LEFT JOIN g USING (metric)""")
+SELECT p, month, m.metric, round(value + 1e-7, 3) AS median, round(spread, 2) AS spread, gate_max, CASE WHEN NOT provisional THEN CASE WHEN gate_max = 0 THEN 'Infinity'::DOUBLE ELSE round(value / gate_max, 6) END END AS gate_fraction, NOT provisional AS scorable FROM m LEFT JOIN g USING (metric)""")
 def round_ranking(spark, sf_dir):
     limits = spark.createDataFrame([("median", 200000.0, False), ("mean", 0.0, False), ("rare", 5.0, True)], "metric string, gate_max double, provisional boolean")
     out = sequences.rank_rounds(_rounds(spark, sf_dir).withColumnRenamed("value", "median"), limits, ["p", "month"])
-    return rounded(rounded(out, 4, "median"), 2, "spread").withColumn("gate_fraction", F.round("gate_fraction", 6))
+    out = out.withColumn("median", F.round(F.col("median") + 1e-7, 3))  # prices are in hundredths, so exact halves occur
+    return rounded(out, 2, "spread").withColumn("gate_fraction", F.round("gate_fraction", 6))
 
 
 # Frames of captures: each customer's orders are photographs of two runs of white, black, patterned; some are lost

@@ -71,6 +71,17 @@ def table_mark() -> int:
     return len(_TABLES)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Spark hand texts to Python in batches of at most ``ARROW_ROWS`` rows, for the rest of the session.
+
+    For jobs, not operators: a batch of Spark's default size holds up to 64 MB
+    of text in the executor and again in its Python worker.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most ``ARROW_ROWS`` rows."""
     for batch in batches:

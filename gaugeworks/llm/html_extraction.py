@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, slices, stored
+from .common import read, slices, small_batches, stored
 
 #: A branch repeats if less than this part of its content is its own.
 LEAST_IMPORTANCE = 0.1
@@ -359,4 +359,5 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return extract_text(read(spark, sf_dir, "pages"))

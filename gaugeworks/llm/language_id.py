@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, remainder, slices
+from .common import read, remainder, slices, small_batches
 
 #: Labelled documents per language to learn from; a language's sample is a hash range of its ids.
 PER_LANGUAGE = 400
@@ -190,4 +190,5 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return language_id(read(spark, sf_dir, "documents"))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens as T
-from .common import read, slices, spent, stored
+from .common import read, slices, small_batches, spent, stored
 
 SHINGLE = 5
 ROWS, BANDS = 5, 25
@@ -272,6 +272,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return near_dedup(read(spark, sf_dir, "documents"))
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens as T
-from .common import read, slices
+from .common import read, slices, small_batches
 
 REPEAT_WINDOW = 8
 LEAST_WORDS = 20
@@ -177,4 +177,5 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return quality_rules(read(spark, sf_dir, "documents"))

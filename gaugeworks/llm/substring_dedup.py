@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens as T
-from .common import read, slices, stored
+from .common import read, slices, small_batches, stored
 
 WIDTH = 13
 BUCKET_WINDOWS = 1 << 20
@@ -213,6 +213,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return substring_dedup(read(spark, sf_dir, "documents"), clean=False)
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .boosting import Isotonic, Trees, fit_isotonic, fit_trees, out_of_fold
 from .classifiers import MOST_LABELLED, features_of, labelled_sample, scored
-from .common import read, remainder, slices
+from .common import read, remainder, slices, small_batches
 
 STEMS = (4, 5, 6)
 NEAR = 5
@@ -215,4 +215,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.llm import decontamination, language_id, mixing, near_dedup, substring_dedup
-from gaugeworks.llm.common import discard, read, stored, table_mark, tables_since
+from gaugeworks.llm.common import discard, read, small_batches, stored, table_mark, tables_since
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Below this likelihood the language of a document is not known.
@@ -32,6 +32,7 @@ NEAR_PERCENT = 85
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that is recognised; ``lang`` becomes the recognised one."""
+    small_batches(spark)
     model = language_id.fit(docs)
     found = language_id.identify(docs, model, keep=("doc_id", "text", "source", "n_chars"))
     known = found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
@@ -40,12 +41,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that with the smallest id."""
+    small_batches(spark)
     gone = near_dedup.near_dedup(docs, percent=NEAR_PERCENT).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
     return docs.hint("merge").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*COLUMNS)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of earlier ones; those that lose nothing keep their text as it is."""
+    small_batches(spark)
     cut = substring_dedup.substring_dedup(docs, keep=("text", "lang", "source"))
     text = F.when(F.col("n_removed") > 0, F.col("clean_text")).otherwise(F.col("text"))
     return cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)

@@ -112,7 +112,8 @@ def direction_to(a: Vec, b: Vec) -> Vec:
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(x, F.lit(float(low))), F.lit(float(high)))
+    """A number cut to a range; null stays null."""
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(float(low))), F.lit(float(high))))
 
 
 def safe_acos(x: Column) -> Column:

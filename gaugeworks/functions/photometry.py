@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 
 def unit(x: Column) -> Column:
-    return F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
+    """Cut to 0..1; null stays null."""
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)))
 
 
 RAMPS = ("linear", "cosine", "smoothstep", "gaussian")

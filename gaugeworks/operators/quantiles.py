@@ -45,9 +45,10 @@ def order_statistics(df: DataFrame, by: Sequence[str], value: str, wanted: dict[
     # Point k is about the value of which k / POINTS of the values are at most it. The bracket of a rank goes from the last
     # point with too few values below the rank to the first with enough, and one point further each way for the sketch's error.
     brackets = []
+    some = F.nullif(F.col("n"), F.lit(0).cast("long"))
     for name, rank in wanted.items():
-        first = F.floor(F.floor(rank) / F.col("n") * POINTS).cast("int") - 1
-        last = F.ceil((F.ceil(rank) + 1) / F.col("n") * POINTS).cast("int") + 1
+        first = F.floor(F.floor(rank) / some * POINTS).cast("int") - 1
+        last = F.ceil((F.ceil(rank) + 1) / some * POINTS).cast("int") + 1
         low = F.when(first <= 0, F.col("_least")).otherwise(F.get("_points", first))
         high = F.when(last >= POINTS, F.col("_most")).otherwise(F.get("_points", last))
         brackets += [rank.alias(f"_{name}_rank"), low.alias(f"_{name}_from"), high.alias(f"_{name}_to")]

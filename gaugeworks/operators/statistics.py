@@ -88,7 +88,7 @@ def reject_outliers(df: DataFrame, by: Sequence[str], value: str, k: float = 3.0
     return judged.groupBy(*by, "threshold").agg(F.count_if(keep).alias("kept"), F.count_if(~keep).alias("rejected"))
 
 
-def global_rank(df: DataFrame, value: str, ties: Sequence[str], rank: str = "rank", n: str = "n", parts: int = 64) -> DataFrame:
+def global_rank(df: DataFrame, value: str, ties: Sequence[str], rank: str = "_rank", n: str = "_n", parts: int = 64) -> DataFrame:
     """The rows with a finite value, with their ``rank`` (from 0) by value, then ``ties``, and their number ``n``.
 
     Rows are dealt to ``parts`` ranges of (value, ties), so even one value that

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import draws
 from ..operators import impact, ledger, pairing
-from ..sources.ledger import read_ledger
+from ..sources.ledger import read_transcripts
 from ..sources.shared import cut, shared_dir
 from .registry import query, rounded, t
 
@@ -35,7 +35,7 @@ def _transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = f"{shared_dir(spark)}/transcripts/{uuid.uuid4().hex}"
     for folder, rule in (("main", "event_id % 10 > 2"), ("main/subagents/a", "event_id % 10 IN (1, 2)"), ("main/subagents/workflows/a", "event_id % 10 = 0")):
         lines.where(rule).select("value").coalesce(4).write.text(f"{root}/{folder}")
-    return read_ledger(spark, root, "*.txt")
+    return read_transcripts(spark, root, "*.txt")
 
 
 _LINES = """

@@ -39,7 +39,20 @@ def find_transcripts(spark: SparkSession, root: str, pattern: str = "*.jsonl") -
     return lines.select("value", F.col("_metadata.file_path").alias("path"))
 
 
-def read_ledger(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
+FLAT = "id string, session string, model string, ts string, role string, usage struct<input:bigint, output:bigint, cache_read:bigint, cache_write:bigint>"
+
+
+def read_ledger(spark: SparkSession, root: str) -> DataFrame:
+    """(id, session, model, ts, path, input, output, cache_read, cache_write) of the assistant lines with usage and an id, in flat records.
+
+    An absent or empty folder gives no rows; missing numbers are 0.
+    """
+    lines = find_transcripts(spark, root)
+    rows = lines.select(F.from_json("value", FLAT).alias("r"), "path").where("r.role = 'assistant' AND r.id IS NOT NULL AND r.usage IS NOT NULL")
+    return rows.select("r.id", "r.session", "r.model", "r.ts", "path", *(F.coalesce(F.col(f"r.usage.{c}"), F.lit(0)).alias(c) for c in ("input", "output", "cache_read", "cache_write")))
+
+
+def read_transcripts(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
     """One row for each line of an assistant message with usage and an id: id, bucket, path, ts, session, branch, model, speed, tier and ``TOKENS``.
 
     speed is fast or standard, tier batch or standard, model ``unknown`` where

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
 from .quantiles import finite
 
 
@@ -29,7 +30,9 @@ def reject_counts(df: DataFrame, rules: list[tuple[str, Column]], by: list[str],
 
 
 def _measured(metrics: DataFrame, gates: DataFrame) -> DataFrame:
-    j = metrics.join(gates.select("gate", "metric", "limit"), "metric").where("scenario IS NOT NULL")
+    # Stored, the rules have a size that the planner knows: few are broadcast, so the metrics aren't shuffled by name.
+    rules = cut(gates.select("gate", "metric", "limit"))
+    j = metrics.join(rules, "metric").where("scenario IS NOT NULL")
     real = finite(F.col("value")) & ~F.coalesce("censored", F.lit(False))
     return j.select("gate", "limit", "scenario", "value", real.alias("_real"), F.coalesce(passes(F.col("value"), F.col("limit"), F.col("censored")), F.lit(True)).alias("_ok"))
 

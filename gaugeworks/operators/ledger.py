@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
+
 
 def max_merge(df: DataFrame, key: Sequence[str], values: Sequence[str]) -> DataFrame:
     """One row per key with the greatest of each value: idempotent under re-delivery. A null is less than any value; null keys make a key."""
@@ -31,9 +33,10 @@ def priced(df: DataFrame, rates: DataFrame, model: str, day: str) -> DataFrame:
     """Left join with the rate that is valid on the day: from (inclusive) to until (exclusive, null for open).
 
     Rows of a model without a valid rate keep nulls; count them, as they cost
-    something nobody knows. The rates are broadcast if Spark finds them small.
+    something nobody knows. The rates are stored, so that Spark knows their
+    size and broadcasts them only if they are small.
     """
-    r = rates
+    r = cut(rates)
     on = (df[model] == r["rate_model"]) & (df[day] >= r["valid_from"]) & (r["valid_until"].isNull() | (df[day] < r["valid_until"]))
     return df.join(r, on, "left")
 

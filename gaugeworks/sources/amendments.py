@@ -28,7 +28,7 @@ def parse_amendments(documents: DataFrame, path: str = "path", text: str = "text
 
 def read_amendments(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(path, id, title, status, line) of markdown files."""
-    files = spark.read.option("wholetext", "true").text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     return parse_amendments(files)
 
 

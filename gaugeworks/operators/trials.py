@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
 from .pairing import paired_arms, sign_test
 from .quantiles import finite, linear_quantiles
 from .statistics import global_rank
@@ -46,18 +47,19 @@ def mechanism_rows(runs: DataFrame, key: Sequence[str], arm: str, values: Sequen
     All figures are over the keys for which all three arms have a finite value;
     ties don't enter the test. Without pairs medians are null and p is 1.
     """
-    out = None
+    triples = None
     for value in values:
         wide = paired_arms(runs, key, arm, value, [facet, smooth, control])
-        named = wide.select(F.col(f"`{facet}`").alias("f"), F.col(f"`{smooth}`").alias("s"), F.col(f"`{control}`").alias("c"))
-        wins = [F.count_if(F.col("s") < F.col("f")).alias("wins"), F.count_if(F.col("s") != F.col("f")).alias("decided")]
-        sums = named.agg(F.count("*").alias("pairs"), *wins)
-        row = sums
-        for side, name in (("f", "facet"), ("s", "smooth"), ("c", "control")):
-            row = row.crossJoin(F.broadcast(linear_quantiles(named, [], side, {f"{name}_median": 0.5}).drop("n")))  # one row
-        part = row.select(F.lit(value).alias("value"), "pairs", "facet_median", "smooth_median", "control_median", recovered(F.col("facet_median"), F.col("smooth_median"), F.col("control_median")).alias("recovered"), "wins", sign_test(F.col("wins"), F.col("decided")).alias("p"))
-        out = part if out is None else out.union(part)
-    return out
+        part = wide.select(F.lit(value).alias("value"), F.col(f"`{facet}`").alias("facet"), F.col(f"`{smooth}`").alias("smooth"), F.col(f"`{control}`").alias("control"))
+        triples = part if triples is None else triples.union(part)
+    triples = cut(triples)
+    sums = triples.groupBy("value").agg(F.count("*").alias("pairs"), F.count_if(F.col("smooth") < F.col("facet")).alias("wins"), F.count_if(F.col("smooth") != F.col("facet")).alias("decided"))
+    sides = triples.select("value", F.inline(F.array(*(F.struct(F.lit(n).alias("side"), F.col(n).alias("_v")) for n in ("facet", "smooth", "control")))))
+    medians = linear_quantiles(sides, ["value", "side"], "_v", {"_m": 0.5})
+    wide = medians.groupBy("value").agg(*(F.max(F.when(F.col("side") == n, F.col("_m"))).alias(f"{n}_median") for n in ("facet", "smooth", "control")))
+    every = runs.sparkSession.range(len(values)).select(F.get(F.array(*map(F.lit, values)), F.col("id").cast("int")).alias("value"))
+    found = every.join(sums, "value", "left").join(wide, "value", "left").fillna(0, ["pairs", "wins", "decided"])
+    return found.select("value", "pairs", "facet_median", "smooth_median", "control_median", recovered(F.col("facet_median"), F.col("smooth_median"), F.col("control_median")).alias("recovered"), "wins", sign_test(F.col("wins"), F.col("decided")).alias("p"))
 
 
 def yardstick(df: DataFrame, by: str, value: str, share: float = 0.1) -> DataFrame:

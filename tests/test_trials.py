@@ -56,6 +56,14 @@ def test_recovered_needs_an_excess(spark):
     assert [r[0] for r in rows.select(trials.recovered(F.col("f"), F.col("s"), F.col("c"))).collect()] == [50.0, None, None, None, 0.0]
 
 
+def test_mechanisms_with_and_without_pairs(spark):
+    rows = [(k, arm, float(10 * (i + 1) + k), None) for k in range(5) for i, arm in enumerate(("c", "s", "f"))] + [(9, "c", 1.0, 1.0), (9, "s", 1.0, 1.0)]
+    runs = spark.createDataFrame(rows, "k int, arm string, v double, w double")
+    got = {r["value"]: r for r in trials.mechanism_rows(runs, ["k"], "arm", ["v", "w"], "f", "s", "c").collect()}
+    assert tuple(got["v"])[1:] == (5, 32.0, 22.0, 12.0, 50.0, 5, pytest.approx(2 / 32))
+    assert tuple(got["w"])[1:] == (0, None, None, None, None, 0, 1.0)
+
+
 def test_failing_pairs(spark):
     rows = spark.createDataFrame([([0.1, 0.2, None],), ([0.1, None, 0.15],), ([0.1, 0.15],), ([],), ([None, 0.3],)], "w array<double>")
     assert [r[0] for r in rows.select(trials.failing_pair(F.col("w"))).collect()] == [1, 1, -1, -1, 1]

@@ -1,8 +1,12 @@
 """Plain definitions that the operators are compared with on small tables."""
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter
+
+import xxhash
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 PLAIN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -124,3 +128,82 @@ def top_share(text, n, least=3):
     best = max(places.values(), key=len, default=[])  # the first of equals
     inside = {j for i in best for j in range(i, i + n)} if len(best) >= least else set()
     return sum(len(w[i]) for i in inside) / max(1, sum(map(len, w)))
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def search(docs, items, top=50):
+    """(item, rank, doc, score); ids may be null or repeated."""
+    counts = [(d, Counter(TERM.findall(lowered(t)))) for d, t in docs]
+    counts = [(d, c) for d, c in counts if c]
+    n_docs, n_terms = len(counts), sum(sum(c.values()) for _, c in counts)
+    df = Counter(t for _, c in counts for t in c)
+    out = []
+    for item, text in items:
+        terms = set(TERM.findall(lowered(text)))
+        scores = []
+        for d, c in counts:
+            m = 100 - 50 + 50 * sum(c.values()) * n_docs // n_terms
+            score = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 20 * m)) for t in terms if t in c)
+            if score > 0:
+                scores.append((-score, d is None, d))
+        out += [(item, i + 1, d, -s) for i, (s, _, d) in enumerate(sorted(scores, key=lambda x: (x[0], x[1], x[2] or 0))[:top])]
+    return sorted(out, key=str)
+
+
+def fingerprint(text):
+    w = words(lowered(text))
+    shingles = [" ".join(w[i : i + 4]) for i in range(len(w) - 3)] if len(w) >= 4 else [" ".join(w)] if w else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def within(fingerprints, distance=4):
+    """The smallest id that each (id, fingerprint) reaches."""
+    up = {f: f for _, f in fingerprints}
+
+    def root(f):
+        while up[f] != f:
+            f = up[f]
+        return f
+
+    every = sorted(up)
+    for i, x in enumerate(every):
+        for y in every[:i]:
+            if (x ^ y).bit_count() <= distance:
+                up[root(x)] = root(y)
+    least = {}
+    for d, f in fingerprints:
+        if d is not None:
+            least[root(f)] = min(least.get(root(f), d), d)
+    return [(d, f, None if d is None else least[root(f)]) for d, f in fingerprints]
+
+
+def alignment(docs, encode_a, encode_b):
+    """Per row: id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256. Encoders give (id, bytes) for each token."""
+    rows, count = [], Counter()
+    for d, text in docs:
+        whole = (" " + (text or "")).encode()
+        a, b = (encode_a(" " + text), encode_b(text)) if text else ([], [])
+        if not text or b"".join(x for _, x in a) != whole or b"".join(x for _, x in b) != whole:
+            a, b = [], []
+        ends = []
+        for side in (a, b):
+            at, out = 0, []
+            for _, x in side:
+                at += len(x)
+                out.append(at)
+            ends.append(out)
+        links = [(a[i][0], b[j][0]) for i, e in enumerate(ends[0]) for j in ([ends[1].index(e)] if e in ends[1] else [])]
+        groups, i, j = [], 0, 0
+        for e in sorted({*ends[0]} & {*ends[1]}):
+            p, q = ends[0].index(e) + 1, ends[1].index(e) + 1
+            groups.append(",".join(str(x) for x, _ in a[i:p]) + "|" + ",".join(str(x) for x, _ in b[j:q]))
+            i, j = p, q
+        count.update(links)
+        rows.append((d, len(a), len(b), groups, links))
+    best = {}
+    for (_, y), n in count.items():
+        best[y] = max(best.get(y, 0), n)
+    return [(d, n_a, n_b, len(g), len(links), sum(count[x] == best[x[1]] for x in links), sum(count[x] for x in links), hashlib.sha256(";".join(g).encode()).hexdigest() if g else "") for d, n_a, n_b, g, links in rows]

@@ -156,8 +156,10 @@ WHITE_CUT, BLACK_CUT, LEAST_MARGIN = 0.75, 0.25, 0.15
 def classify_frames(frames: DataFrame, by: Sequence[str], lit: str = "lit") -> DataFrame:
     """The frames with ``kind`` (white, black or patterned) and the ``margin`` of their group.
 
-    The margin is the lesser gap between neighbouring kinds, at least 0; it is
-    0 if a kind is missing. A group without light is all black, with margin 0.
+    The margin is the lesser gap between neighbouring kinds that are there, at
+    least 0: without black frames that between white and patterned counts. It
+    is 0 without patterned frames, as then there is no gap. A group without
+    light is all black, with margin 0; a null ``lit`` is patterned.
     """
     group = Window.partitionBy(*by)
     peak = F.max(lit).over(group)
@@ -167,9 +169,8 @@ def classify_frames(frames: DataFrame, by: Sequence[str], lit: str = "lit") -> D
     kind = F.when(F.col(f"{p}part") > WHITE_CUT, "white").when(F.col(f"{p}part") < BLACK_CUT, "black").otherwise("patterned")
     kinds = parts.withColumn("kind", kind)
     of = lambda f, k: f(F.when(F.col("kind") == k, F.col(f"{p}part"))).over(group)
-    gaps = F.array_min(F.array(of(F.min, "white") - of(F.max, "patterned"), of(F.min, "patterned") - of(F.max, "black")))
-    whole = of(F.min, "white").isNotNull() & of(F.max, "patterned").isNotNull() & of(F.max, "black").isNotNull()
-    return kinds.withColumn("margin", F.when(whole, F.greatest(F.lit(0.0), gaps)).otherwise(0.0)).select(*frames.columns, "kind", "margin")
+    gap = F.least(of(F.min, "white") - of(F.max, "patterned"), of(F.min, "patterned") - of(F.max, "black"))  # of two, one may be null
+    return kinds.withColumn("margin", F.greatest(F.lit(0.0), F.coalesce(gap, F.lit(0.0)))).select(*frames.columns, "kind", "margin")
 
 
 def index_by_order(frames: DataFrame, by: Sequence[str], order: Sequence[str], run: int, runs: int) -> DataFrame:
@@ -198,12 +199,16 @@ def index_by_bookends(frames: DataFrame, by: Sequence[str], order: str, plan: Se
     hit = F.lit(True)
     for i in range(head):
         hit = hit & F.coalesce(F.lead(f"{p}kind", i).over(w) == plan[i], F.lit(False))
-    # Starts must not overlap: with a head of one kind only, each second of a row of them would be inside the one before.
-    marks = seen.withColumn(f"{p}hit", hit)
-    if head > 1 and len(set(plan[:head])) == 1:
-        row = F.sum(F.when(F.col(f"{p}hit"), 0).otherwise(1)).over(w)
-        place = F.row_number().over(Window.partitionBy(*by, f"{p}row", f"{p}hit").orderBy(order)) - 1
-        marks = marks.withColumn(f"{p}row", row).withColumn(f"{p}hit", F.col(f"{p}hit") & (place % head == 0))
+    marks = seen.withColumn(f"{p}hit", hit).withColumn(f"{p}i", F.row_number().over(w))
+    if head > 1:
+        # A head may begin inside the one before. Of each chain of such hits, every one is taken that doesn't overlap the last taken.
+        hits = marks.where(f"{p}hit").select(*by, f"{p}i")
+        near = F.coalesce(F.col(f"{p}i") - F.lag(f"{p}i").over(Window.partitionBy(*by).orderBy(f"{p}i")) < head, F.lit(False))
+        chains = hits.withColumn(f"{p}chain", F.sum((~near).cast("int")).over(Window.partitionBy(*by).orderBy(f"{p}i"))).groupBy(*by, f"{p}chain").agg(F.array_sort(F.collect_list(f"{p}i")).alias(f"{p}at"))
+        taken = F.aggregate(f"{p}at", F.array().cast("array<int>"), lambda got, i: F.when((F.size(got) == 0) | (i >= F.try_element_at(got, F.lit(-1)) + head), F.array_append(got, i)).otherwise(got))
+        starts = chains.select(*(F.col(c).alias(f"{p}b{k}") for k, c in enumerate(by)), F.explode(taken).alias(f"{p}start"))
+        same = [F.col(c).eqNullSafe(F.col(f"{p}b{k}")) for k, c in enumerate(by)]
+        marks = marks.join(starts, [*same, F.col(f"{p}i") == F.col(f"{p}start")], "left").withColumn(f"{p}hit", F.col(f"{p}start").isNotNull())
     numbered = marks.withColumn(f"{p}run", F.sum(F.col(f"{p}hit").cast("int")).over(w) - 1)
     within = Window.partitionBy(*by, f"{p}run")
     at = F.row_number().over(within.orderBy(order)) - 1

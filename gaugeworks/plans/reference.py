@@ -1,6 +1,6 @@
 """All reference queries: importing the modules registers them."""
 
-from . import captures, decoding, ledgers, queries, trials, vectors, verdicts  # noqa: F401
+from . import captures, decoding, ledgers, mechanisms, queries, trials, vectors, verdicts  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -8,8 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
 from .names import prefix
-from .quantiles import finite
+from .quantiles import finite, order_statistics
 from .statistics import global_rank
 
 # The least samples of a noise bin, and the share of the peak that makes a block evidence
@@ -55,22 +56,21 @@ def phase_noise(df: DataFrame, level: str, residual: str, ties: Sequence[str], s
     (steps of 3 or fewer), there are none. level is the upper middle level of
     the bin; sigma is its upper middle residual over the median that unit noise
     would leave, at least ``floor``. Rows where either is not finite don't count.
-    Ranks within bins come from the ranks of the whole, so no bin is gathered.
+    Ranks within bins come from the ranks of the whole; rows are stored once and put in order once.
     """
     x, r = F.col(level).cast("double"), F.col(residual).cast("double")
     rows = df.where(finite(x) & finite(r)).select(x.alias("_x"), r.alias("_r"), *(F.col(c).alias(f"_t{i}") for i, c in enumerate(ties))).where(F.lit(steps > 3))
     keys = [f"_t{i}" for i in range(len(ties))]
-    ranked = global_rank(rows, "_x", ["_r", *keys], "_at", "_n").where(F.col("_n") >= LEAST_SAMPLES)
+    ranked = global_rank(cut(rows), "_x", ["_r", *keys], "_at", "_n").where(F.col("_n") >= LEAST_SAMPLES)
     usable = F.greatest(F.lit(1), F.least(F.lit(bins), F.floor(F.col("_n") / LEAST_SAMPLES)))
     bin_of = (F.ceil((F.col("_at") + 1) * usable / F.col("_n")) - 1).cast("int")
-    binned = ranked.select("_x", "_r", *keys, "_at", bin_of.alias("bin"), F.floor(bin_of * F.col("_n") / usable).alias("_from"))
-    # Within a bin, residuals ranked by counting: a second global order by (bin, residual) gives ranks from the bin's start.
-    again = global_rank(binned.withColumn("_bin", F.col("bin").cast("double")), "_bin", ["_r", "_x", *keys], "_place", "_m")
-    sizes = binned.groupBy(F.col("bin").alias("_b")).agg(F.count("*").alias("n"))
-    middle = F.col("_from") + F.floor(F.col("n") / 2)
-    both = again.join(sizes, F.col("bin") == F.col("_b"))
-    found = both.groupBy("bin", "n").agg(F.max(F.when(F.col("_at") == middle, F.col("_x"))).alias("level"), F.max(F.when(F.col("_place") == middle, F.col("_r"))).alias("_sigma"))
-    return found.select("bin", "n", "level", F.greatest(F.col("_sigma") / (chi_median(steps - 3) if steps > 3 else 1.0), F.lit(floor)).alias("sigma"))
+    binned = ranked.select("_x", "_r", "_at", bin_of.alias("bin"), F.floor(bin_of * F.col("_n") / usable).alias("_from"), F.floor((bin_of + 1) * F.col("_n") / usable).alias("_to"))
+    # The upper middle of a bin: of its levels by their rank, of its residuals as an order statistic.
+    level = F.max(F.when(F.col("_at") == F.col("_from") + F.floor((F.col("_to") - F.col("_from")) / 2), F.col("_x"))).alias("level")
+    levels = binned.groupBy(F.col("bin").alias("_b")).agg(level)
+    middle = order_statistics(binned, ["bin"], "_r", {"_sigma": F.floor(F.col("n") / 2)})
+    found = middle.join(levels, F.col("bin") == F.col("_b"))
+    return found.select("bin", "n", "level", F.greatest(F.col("_sigma_lo") / (chi_median(steps - 3) if steps > 3 else 1.0), F.lit(floor)).alias("sigma"))
 
 
 def noise_at(df: DataFrame, model: DataFrame, at: str, alias: str = "noise") -> DataFrame:

@@ -14,9 +14,13 @@ from .statistics import global_rank, median
 
 
 def paired(before: DataFrame, after: DataFrame, key: Sequence[str], value: str) -> DataFrame:
-    """n, geometric mean of before / after, and wins (after below before), over keys in both with positive values."""
-    a, b = before.select(*key, F.col(value).alias("_a")), after.select(*key, F.col(value).alias("_b"))
-    both = a.join(b, list(key)).where("_a > 0 AND _b > 0")
+    """n, geometric mean of before / after, and wins (after below before), over keys in both with positive, finite values.
+
+    Of several rows of a key on a side the least such value counts. A null key is paired with nothing. Without pairs n is 0 and the ratio null.
+    """
+    v = F.col(value).cast("double")
+    side = lambda df, name: df.where(finite(v) & (v > 0)).groupBy(*key).agg(F.min(v).alias(name))
+    both = side(before, "_a").join(side(after, "_b"), list(key))
     return both.agg(F.count("*").alias("n"), F.exp(F.avg(F.ln(F.col("_a") / F.col("_b")))).alias("ratio"), F.count_if(F.col("_b") < F.col("_a")).alias("wins"))
 
 

@@ -1,4 +1,7 @@
-"""Exact order statistics by group, without gathering a group in one task.
+"""Exact order statistics by group, without gathering a large group in one task.
+
+Where no group has more than ``GATHER`` values (a count that is taken first),
+each is sorted within one row. Beyond that:
 
 One scan takes a sketch of each group, which brackets every wanted rank between
 two values; a second counts what lies below the brackets and keeps only the
@@ -18,6 +21,8 @@ from ..sources.shared import cut
 
 #: Points of a sketch, and its accuracy: the error in rank (n / ACCURACY) is far less than the step between points.
 POINTS, ACCURACY = 1024, 10_000
+#: Values of a group that are sorted within one row: 8 MB. Both ways are exact.
+GATHER = 1 << 20
 
 
 def finite(x: Column) -> Column:
@@ -33,12 +38,19 @@ def order_statistics(df: DataFrame, by: Sequence[str], value: str, wanted: dict[
     infinities have no rank; a group of nothing else has n 0 and null
     statistics. Null keys make a group like any other. An empty table gives no
     rows, or with an empty ``by`` one row with n 0. Ties need no rule, as equal
-    values are one value. Other columns are left out, so names can't clash.
+    values are one value. Other columns are left out, so names can't clash. Building it counts the groups, and
+    takes the sketches of large ones.
     """
     keys = [f"_k{i}" for i in range(len(by))]
     raw = F.col(value).cast("double")
     rows = df.select(*(F.col(c).alias(k) for c, k in zip(by, keys, strict=True)), F.when(finite(raw), raw).alias("_x"), raw.alias("_raw"))
     x = F.col("_x")
+    largest = rows.groupBy(*keys).agg(F.count(x).alias("n")).agg(F.max("n")).first()[0]
+    if (largest or 0) <= GATHER:
+        gathered = rows.groupBy(*keys).agg(F.count(x).alias("n"), *also, F.sort_array(F.collect_list("_x")).alias("_sorted"))
+        made = [c for c in gathered.columns if c not in (*keys, "_sorted")]
+        ends = [F.get("_sorted", end(rank).cast("int")).alias(f"{name}_{side}") for name, rank in wanted.items() for side, end in (("lo", F.floor), ("hi", F.ceil))]
+        return gathered.select(*(F.col(k).alias(c) for c, k in zip(by, keys, strict=True)), *made, *ends)
     grid = F.split(F.lit(" ".join(str(i / POINTS) for i in range(POINTS + 1))), " ").cast("array<double>")  # one literal, not a thousand
     points = F.percentile_approx(x, grid, ACCURACY)
     sketch = rows.groupBy(*keys).agg(F.count(x).alias("n"), F.min(x).alias("_least"), F.max(x).alias("_most"), points.alias("_points"), *also)

@@ -13,22 +13,23 @@ from .quantiles import finite
 
 def longest_burst(df: DataFrame, by: Sequence[str], order: Sequence[str], flag: Column) -> DataFrame:
     """The longest run of consecutive flagged rows, and the first index (from 0) that is flagged; null without one. A null flag is none."""
+    p = prefix(df)
     w = Window.partitionBy(*by).orderBy(*order)
-    at = df.select(*by, (F.row_number().over(w) - 1).alias("_i"), F.coalesce(flag, F.lit(False)).alias("_f"), *order)
-    runs = at.withColumn("_g", F.sum(F.when(F.col("_f"), 0).otherwise(1)).over(Window.partitionBy(*by).orderBy("_i")))
-    sizes = runs.groupBy(*by, "_g").agg(F.count_if("_f").alias("_c"), F.min(F.when(F.col("_f"), F.col("_i"))).alias("_first"))
-    return sizes.groupBy(*by).agg(F.max("_c").alias("longest"), F.sum("_c").alias("flagged"), F.min("_first").alias("first_index"))
+    at = df.withColumns({f"{p}i": F.row_number().over(w) - 1, f"{p}f": F.coalesce(flag, F.lit(False))})
+    runs = at.withColumn(f"{p}g", F.sum(F.when(F.col(f"{p}f"), 0).otherwise(1)).over(Window.partitionBy(*by).orderBy(f"{p}i")))
+    sizes = runs.groupBy(*by, f"{p}g").agg(F.count_if(f"{p}f").alias(f"{p}c"), F.min(F.when(F.col(f"{p}f"), F.col(f"{p}i"))).alias(f"{p}first"))
+    return sizes.groupBy(*by).agg(F.max(f"{p}c").alias("longest"), F.sum(f"{p}c").alias("flagged"), F.min(f"{p}first").alias("first_index"))
 
 
 def segments(df: DataFrame, by: Sequence[str], order: Sequence[str], opens: Column) -> DataFrame:
-    """Number the segments that a row with ``opens`` begins (0 before the first) and give their lengths."""
+    """Number the segments that a row with ``opens`` begins (0 before the first) and give their lengths. A null ``opens`` begins none; null keys are a group; an empty table gives no rows."""
     w = Window.partitionBy(*by).orderBy(*order)
     numbered = df.withColumn("segment", F.sum(F.when(opens, 1).otherwise(0)).over(w))
     return numbered.groupBy(*by, "segment").agg(F.count("*").alias("length"))
 
 
 def running_heading(df: DataFrame, by: Sequence[str], order: Sequence[str], heading: Column, alias: str) -> DataFrame:
-    """Add the latest heading at or before each row."""
+    """Add the latest heading at or before each row; null before the first. A null heading is none; null keys are a group."""
     return df.withColumn(alias, F.last(heading, ignorenulls=True).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
@@ -51,11 +52,14 @@ def threshold_crossing(df: DataFrame, by: Sequence[str], x: str, y: str, thresho
 
     0 if the first point is there already, infinity if none is.
     """
+    p = prefix(df)
     w = Window.partitionBy(*by).orderBy(x)
-    steps = df.withColumn("_px", F.lag(x).over(w)).withColumn("_py", F.lag(y).over(w)).withColumn("_hit", F.col(y) >= threshold)
-    first = steps.groupBy(*by).agg(F.min_by(F.struct(x, y, "_px", "_py"), F.when(F.col("_hit"), F.col(x))).alias("p"))
-    t = (F.ln(F.lit(threshold)) - F.ln("p._py")) / (F.ln(f"p.{y}") - F.ln("p._py"))
-    value = F.when(F.col("p").isNull(), float("inf")).when(F.col("p._px").isNull(), 0.0).otherwise(F.exp(F.ln("p._px") + t * (F.ln(f"p.{x}") - F.ln("p._px"))))
+    px, py, hit = (f"{p}{n}" for n in ("px", "py", "hit"))
+    steps = df.withColumn(px, F.lag(x).over(w)).withColumn(py, F.lag(y).over(w)).withColumn(hit, F.col(y) >= threshold)
+    first = steps.groupBy(*by).agg(F.min_by(F.struct(F.col(x).alias("x"), F.col(y).alias("y"), F.col(px).alias("px"), F.col(py).alias("py")), F.when(F.col(hit), F.col(x))).alias(f"{p}p"))
+    at = F.col(f"{p}p")
+    t = (F.ln(F.lit(threshold)) - F.ln(at["py"])) / (F.ln(at["y"]) - F.ln(at["py"]))
+    value = F.when(at.isNull(), float("inf")).when(at["px"].isNull(), 0.0).otherwise(F.exp(F.ln(at["px"]) + t * (F.ln(at["x"]) - F.ln(at["px"]))))
     return first.select(*by, value.alias("crossing"))
 
 

@@ -88,16 +88,17 @@ def reject_outliers(df: DataFrame, by: Sequence[str], value: str, k: float = 3.0
     return judged.groupBy(*by, "threshold").agg(F.count_if(keep).alias("kept"), F.count_if(~keep).alias("rejected"))
 
 
-def global_rank(df: DataFrame, value: str, ties: Sequence[str], rank: str = "_rank", n: str = "_n", parts: int = 64) -> DataFrame:
+def global_rank(df: DataFrame, value: str, ties: Sequence[str], rank: str = "_rank", n: str = "_n", parts: int | None = None) -> DataFrame:
     """The rows with a finite value, with their ``rank`` (from 0) by value, then ``ties``, and their number ``n``.
 
-    Rows are dealt to ``parts`` ranges of (value, ties), so even one value that
+    Rows are dealt to ``parts`` ranges of (value, ties), without it as many as the session shuffles to, so even one value that
     all rows have is spread by its ties; ranks count within a range, after
     those of the ranges before. Rows equal in value and ties have ranks in any
     order. Nulls, NaN and infinities are left out: they have no rank.
     """
     p = prefix(df)
     x = F.col(value).cast("double")
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = cut(df.where(finite(x)).repartitionByRange(parts, value, *ties).withColumn(f"{p}part", F.spark_partition_id()))
     sizes = spread.groupBy(f"{p}part").agg(F.count("*").alias(f"{p}c"))
     upto = Window.orderBy(f"{p}part").rowsBetween(Window.unboundedPreceding, -1)  # ``parts`` rows
@@ -161,31 +162,37 @@ def quadrature(df: DataFrame, by: Sequence[str], part: str, whole: str) -> DataF
 
 
 def covariance_axes(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
-    """Population covariance of two columns and its principal axes in closed form."""
-    m = df.groupBy(*by).agg(F.var_pop(x).alias("sxx"), F.var_pop(y).alias("syy"), F.covar_pop(x, y).alias("sxy"))
+    """Population covariance of two columns and its principal axes in closed form, over the rows in which both are finite; null without any."""
+    m = df.where(finite(F.col(x).cast("double")) & finite(F.col(y).cast("double"))).groupBy(*by).agg(F.var_pop(x).alias("sxx"), F.var_pop(y).alias("syy"), F.covar_pop(x, y).alias("sxy"))
     half, root = (F.col("sxx") + F.col("syy")) / 2, F.sqrt(F.pow((F.col("sxx") - F.col("syy")) / 2, 2) + F.col("sxy") * F.col("sxy"))
     return m.withColumn("major", half + root).withColumn("minor", F.greatest(half - root, F.lit(0.0))).withColumn("angle", F.atan2(2 * F.col("sxy"), F.col("sxx") - F.col("syy")) / 2)
 
 
 def between_bins(df: DataFrame, by: Sequence[str], bin_col: str, value: str) -> DataFrame:
-    """The share of a value's variance that lies between bins."""
-    bins = df.groupBy(*by, bin_col).agg(F.count("*").alias("n"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("ss"))
+    """The share of a finite value's variance that lies between bins; 0 where there is no variance."""
+    bins = df.where(finite(F.col(value).cast("double"))).groupBy(*by, bin_col).agg(F.count("*").alias("n"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("ss"))
     g = bins.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"))
     base = F.col("s") * F.col("s") / F.col("n")
     return g.select(*by, "n", F.when(F.col("ss") > base, (F.col("b") - base) / F.when(F.col("ss") > base, F.col("ss") - base)).otherwise(0.0).alias("share"))
 
 
 def log_slope(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
-    """Least-squares slope of ln y on ln x over the pairs that are both positive."""
-    both = (F.col(x) > 0) & (F.col(y) > 0)
+    """Least-squares slope of ln y on ln x over the pairs that are both positive and finite; null for fewer than two different x."""
+    both = finite(F.col(x).cast("double")) & finite(F.col(y).cast("double")) & (F.col(x) > 0) & (F.col(y) > 0)
     return df.where(both).groupBy(*by).agg(F.count("*").alias("n"), F.regr_slope(F.ln(y), F.ln(x)).alias("slope"))
 
 
 def normal_equations(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
-    """The upper triangle of X'X and X'y with an intercept, as (i, j, value) rows: one pass, partial sums."""
+    """The upper triangle of X'X and X'y with an intercept, as (i, j, value) rows: one pass, partial sums.
+
+    A row in which a column or the target isn't finite counts in no sum. Without rows the sums are null.
+    """
     terms = [F.lit(1.0), *(F.col(c).cast("double") for c in columns), F.col(target).cast("double")]
     pairs = [(i, j) for i in range(len(terms)) for j in range(i, len(terms))]
-    one = df.agg(*(F.sum(terms[i] * terms[j]).alias(f"v{i}_{j}") for i, j in pairs))
+    good = F.lit(True)
+    for x in terms[1:]:
+        good = good & finite(x)
+    one = df.where(good).agg(*(F.sum(terms[i] * terms[j]).alias(f"v{i}_{j}") for i, j in pairs))
     return one.select(F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"v{i}_{j}").alias("value")) for i, j in pairs))).alias("t")).select("t.*")
 
 
@@ -195,13 +202,16 @@ def step_estimate(df: DataFrame, by: Sequence[str], at: str, value: str, guard:
     step: the gap of two straight fits, one a side, outside the guard and
     inside the window; band: the largest residual inside the guard from one fit
     of both sides; fraction: the greater, over the mean of both levels. Null
-    where a side has no fit.
+    where a side has no fit. Null keys are a group; a group without a row inside the guard has band 0.
     """
     near = df.where(finite(F.col(value)) & (F.abs(at) <= window))
     s, v, out = F.col(at), F.col(value), F.abs(at) >= guard
     side = lambda rule: F.regr_intercept(F.when(rule, v), F.when(rule, s))
     fits = near.groupBy(*by).agg(side(out & (s < 0)).alias("left"), side(out & (s >= 0)).alias("right"), side(out).alias("_b"), F.regr_slope(F.when(out, v), F.when(out, s)).alias("_m"))
-    inner = near.where(~out).join(fits.select(*by, "_b", "_m"), list(by)).groupBy(*by).agg(F.max(F.abs(v - F.col("_b") - F.col("_m") * s)).alias("band"))
-    both = fits.join(inner, list(by), "left").withColumn("step", F.abs(F.col("left") - F.col("right"))).withColumn("band", F.coalesce("band", F.lit(0.0)))
+    keys = [f"_k{i}" for i in range(len(by))]
+    keyed = lambda d, *columns: d.select(*(F.col(c).alias(k) for c, k in zip(by, keys, strict=True)), *columns)
+    same = [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(by, keys, strict=True)] or F.lit(True)  # null keys are groups
+    inner = near.where(~out).join(keyed(fits, "_b", "_m"), same).groupBy(*by).agg(F.max(F.abs(v - F.col("_b") - F.col("_m") * s)).alias("band"))
+    both = fits.join(keyed(inner, "band"), same, "left").withColumn("step", F.abs(F.col("left") - F.col("right"))).withColumn("band", F.coalesce("band", F.lit(0.0)))
     level = F.abs(F.col("left") + F.col("right")) / 2
     return both.select(*by, "left", "right", "step", "band", F.when(level > 0, F.greatest("step", "band") / level).alias("fraction"))

@@ -16,7 +16,10 @@ number of its page templates matters.
 A page whose host has no other page can't be judged so. What HTML itself says
 therefore counts too: elements, roles and whole class names that stand for
 menus, adverts, forms, notices and comments are not content, and a page with an
-article or main element is read inside it.
+article or main element is read inside it. Inside those the tree removes
+nothing: a byline that all articles share, or a lead, list or table beside a
+long body, is part of its article. Of names, only those that can't be words of
+the content count there, and only on elements that hold blocks.
 
 The tree is counted as (host, path, kind, signature) rows, partially summed in
 each task, so a host with a third of all pages is spread over its signatures.
@@ -65,6 +68,10 @@ _NEVER_COMPOUNDS = frozenset(
     "comment-form comment-list comments-area comments-section reply-form search-form search-box search-bar login-form signup-form modal-dialog popup-overlay skip-link breadcrumb-nav".split()
 )
 _MAIN = frozenset(["article", "main"])
+#: Inside an article these names are words of the content as often as not, and names of a paragraph or of anything smaller say nothing.
+_NOT_IN_MAIN = frozenset("alert header masthead modal overlay pager pagination popup promotion rail reply respond search signup skip widget".split())
+#: Elements that names may drop inside an article
+_NAMED_IN_MAIN = frozenset("aside details div fieldset figure iframe ins li ol section table ul".split())
 #: Elements that hold blocks; only they can be minor, or be what others are minor to.
 CONTAINERS = ("article aside center div footer form header main nav ol section table td ul").split()
 #: What branches are counted by
@@ -90,10 +97,12 @@ class Node:
     hidden: bool = False
 
 
-def _style(tag: str, attrs: str) -> tuple[str, bool]:
-    """The style of an element, and whether its names say that it is not content."""
+def _style(tag: str, attrs: str, inside: bool = False) -> tuple[str, bool]:
+    """The style of an element, and whether its names say that it is not content; ``inside`` an article fewer names do."""
     found = [(m[1].lower(), n) for m in _NAMES.finditer(attrs) for n in (m[2] or m[3] or m[4] or "").lower().split()] if "=" in attrs else []
     names = sorted({n for _, n in found})
+    if inside:
+        found = [(kind, n) for kind, n in found if tag in _NAMED_IN_MAIN and n not in _NOT_IN_MAIN]
     bad = tag not in _NEVER_NAMED and any(n in _NEVER_NAMES or n.replace("_", "-") in _NEVER_COMPOUNDS for kind, n in found if kind != "id" or tag not in _ID_IS_TITLE)
     return ".".join([tag, *(re.sub(r"\d+", "0", n) for n in names)]), bad
 
@@ -167,12 +176,14 @@ def walk(page: str, low: frozenset[str] = frozenset(), rules: bool = True) -> It
             if not inline:
                 yield up, " "
             continue
-        style, bad = _style(tag, m["attrs"])
+        style, bad = _style(tag, m["attrs"], up.main)
         path = f"{up.path}/{style}" if len(stack) <= DEEPEST and not inline else up.path
         up.children.append(style)
         main = up.main or tag in _MAIN or "main" in style.split(".")[1:]
-        never = rules and (bad or (tag in _NEVER and not (tag == "header" and up.main)))
-        node = Node(tag, path, up.dropped or never or (path in low and path != up.path and tag not in _MAIN), main)
+        never = rules and (bad or (tag in _NEVER and not (tag in ("header", "menu") and up.main)))
+        # What stands inside an article or main element is content, however little of it is the page's own.
+        judged = path in low and path != up.path and tag not in _MAIN and not (rules and up.main)
+        node = Node(tag, path, up.dropped or never or judged, main)
         stack.append(node)  # a slash doesn't close an element that isn't void
         if not inline:
             yield node, " "

@@ -219,3 +219,23 @@ def test_segments_give_the_tokens_of_whole_texts(encoders):
 def test_planes_come_back():
     x, y = np.array([1, 2, 1 << 31]), np.array([0, 4, 1 << 20])
     assert [c.tolist() for c in alignment.unplaned(alignment.planes(x, y), 2)] == [x.tolist(), y.tolist()]
+
+
+# Articles
+
+
+def test_articles_stay_whole(spark):
+    from gaugeworks.llm import html_extraction
+
+    def page(i):
+        words = lambda name, n: " ".join(f"{name}{i}x{j}" for j in range(n))
+        parts = ["<h1>Title</h1>", "<p class='byline'>By Jane Smith</p>", f"<div class='lead'>{words('lead', 6)}</div>", f"<div class='body'>{words('body', 120)}</div>", f"<ul><li>{words('item', 3)}</li></ul>", f"<table><tr><td>{words('cell', 2)}</td></tr></table>"]
+        parts += [f"<p class='{name}'>{words(name, 3)}</p>" for name in ("search", "rail", "overlay", "skip")] + [f"<div class='rail'>{words('side', 2)}</div>", f"<menu><li>{words('menu', 2)}</li></menu>"]
+        extra = "<div class='ad'>Buy now</div><section class='comments'><p>First!</p></section><aside>More</aside><form><p>Sign up</p></form>"
+        return f"<html><body class='search'><nav>Home</nav><div class='promo'>Sale</div><article>{''.join(parts)}{extra}</article><footer>Foot</footer></body></html>", parts
+
+    pages = {i: page(i) for i in range(10)}
+    plain = lambda parts: " ".join(__import__("re").sub("<[^>]*>", " ", "".join(parts)).split())
+    df = spark.createDataFrame([(i, f"https://one.example/{i}", html, "x", 1) for i, (html, _) in pages.items()], "page_id long, url string, html string, text string, _low int")
+    got = {r["page_id"]: r["text"] for r in html_extraction.extract_text(df).collect()}
+    assert got == {i: plain(parts) for i, (_, parts) in pages.items()}

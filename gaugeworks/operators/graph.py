@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import cut, drop
+from .noise import mesh_edges, weld
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -26,14 +27,40 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """(id, distance): the least sum of lengths from any source (id) over directed edges (src, dst, length)."""
-    best = cut(sources.select("id", F.lit(0.0).alias("distance")).distinct())
-    while True:
-        step = best.join(edges, best["id"] == edges["src"]).select(F.col("dst").alias("id"), (F.col("distance") + F.col("length")).alias("distance"))
-        after = cut(best.union(step).groupBy("id").agg(F.min("distance").alias("distance")))
-        old = best.select("id", F.col("distance").alias("was"))
-        changed = after.join(old, "id", "left").where("was IS NULL OR distance < was").limit(1).count()
+    """(id, distance): the least sum of lengths from any source (id) over directed edges (src, dst, length), none of them negative.
+
+    A round follows only the edges of nodes whose distance fell in the round
+    before. Nodes that no source reaches aren't there; neither are edges with a null end or length. Ids may be structs.
+    """
+    known = cut(edges.where("src IS NOT NULL AND dst IS NOT NULL AND length IS NOT NULL").groupBy("src", "dst").agg(F.min("length").alias("length")))
+    best = cut(sources.where("id IS NOT NULL").select("id", F.lit(0.0).alias("distance"), F.lit(True).alias("fell")).distinct())
+    while best.where("fell").limit(1).count():
+        front = best.where("fell").select(F.col("id").alias("src"), F.col("distance").alias("so_far"))
+        step = front.join(known, "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.col("so_far") + F.col("length")).alias("found"))
+        both = best.select("id", "distance").join(step, "id", "full_outer")
+        fell = F.col("found").isNotNull() & (F.col("distance").isNull() | (F.col("found") < F.col("distance")))
+        after = cut(both.select("id", F.when(fell, F.col("found")).otherwise(F.col("distance")).alias("distance"), fell.alias("fell")))
         drop(best)
         best = after
-        if not changed:
-            return best
+    drop(known)
+    return best.select("id", "distance")
+
+
+def boundary_distances(vertices: DataFrame, triangles: DataFrame, mesh: str, index: str, grid: float) -> DataFrame:
+    """(mesh, node, distance): how far each welded node of a mesh is from its boundary, along edges.
+
+    vertices: (mesh, index, x, y, z); triangles: (mesh, a, b, c). The boundary is
+    the edges that one triangle alone has. Nodes of a closed mesh, and of parts without boundary, aren't there.
+    """
+    welded = weld(vertices, mesh, index, grid)
+    sides = F.explode(F.array(*(F.struct(F.col(p).alias("p"), F.col(q).alias("q")) for p, q in ("ab", "bc", "ca"))))
+    ends = triangles.select(F.col(mesh).alias("mesh"), sides.alias("s")).select("mesh", "s.p", "s.q")
+    one = welded.select("mesh", F.col("index").alias("p"), F.col("node").alias("src"))
+    two = welded.select("mesh", F.col("index").alias("q"), F.col("node").alias("dst"))
+    pairs = ends.join(one, ["mesh", "p"]).join(two, ["mesh", "q"]).where("src <> dst")
+    rim = pairs.groupBy("mesh", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).count().where("count = 1")
+    node = lambda c: F.struct("mesh", F.col(c).alias("node"))
+    sources = rim.select(F.explode(F.array(node("a"), node("b"))).alias("id")).distinct()
+    edges = mesh_edges(vertices, triangles, mesh, index, grid).select(node("src").alias("src"), node("dst").alias("dst"), "length")
+    found = shortest_paths(edges, sources)
+    return found.select(F.col("id.mesh").alias("mesh"), F.col("id.node").alias("node"), "distance")

@@ -11,8 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import documents, robust
+from ..operators import documents, graph, robust
 from ..sources import meshes, rounds
+from ..streaming import positions
 from .ledgers import uniform_sql
 from .registry import query, rounded, t
 
@@ -182,3 +183,34 @@ def refused_lines(spark, sf_dir):
     files = lines.groupBy("l_suppkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", text.alias("text")))), lambda s: s["text"]), "\n").alias("text"))
     _, refused = rounds.parse_rounds(files, "l_suppkey", "text", "same")
     return refused.groupBy("file", "problem").agg(F.count("*").alias("lines"))
+
+
+# A sheet of 40 columns, whose nodes are the customers, and how far each is from its rim
+
+
+@query("""
+WITH n AS (SELECT c_custkey AS i, c_custkey % 40 AS x, c_custkey // 40 AS y FROM customer), k AS (SELECT max(i) AS last FROM n),
+t AS (SELECT i AS a, i + 1 AS b, i + 40 AS c FROM n, k WHERE x < 39 AND i + 41 <= last UNION ALL SELECT i + 1, i + 41, i + 40 FROM n, k WHERE x < 39 AND i + 41 <= last),
+e AS (SELECT least(p, q) AS p, greatest(p, q) AS q FROM (SELECT a AS p, b AS q FROM t UNION ALL SELECT b, c FROM t UNION ALL SELECT c, a FROM t)),
+r AS (SELECT p, q FROM e GROUP BY ALL HAVING count(*) = 1), b AS (SELECT DISTINCT v % 40 AS x, v // 40 AS y FROM (SELECT p AS v FROM r UNION ALL SELECT q FROM r)),
+u AS (SELECT DISTINCT v AS i, v % 40 AS x, v // 40 AS y FROM (SELECT p AS v FROM e UNION ALL SELECT q FROM e))
+SELECT u.i AS node, round(min(CASE WHEN (u.x - b.x) * (u.y - b.y) < 0 THEN sqrt(2.0) * least(abs(u.x - b.x), abs(u.y - b.y)) + abs(abs(u.x - b.x) - abs(u.y - b.y)) ELSE abs(u.x - b.x) + abs(u.y - b.y) END), 6) AS distance FROM u, b GROUP BY 1""")
+def rim_distances(spark, sf_dir):
+    i = F.col("c_custkey")
+    customer = t(spark, sf_dir, "customer")
+    vertices = customer.select(F.lit(0).alias("mesh"), i.alias("i"), (i % 40).alias("x"), F.floor(i / 40).alias("y"), F.lit(0.0).alias("z"))
+    last = customer.agg(F.max("c_custkey").alias("last"))
+    cells = vertices.crossJoin(F.broadcast(last)).where((F.col("x") < 39) & (F.col("i") + 41 <= F.col("last")))  # one row
+    corner = lambda *steps: F.struct(*((F.col("i") + s).alias(n) for s, n in zip(steps, "abc", strict=True)))
+    triangles = cells.select("mesh", F.explode(F.array(corner(0, 1, 40), corner(1, 41, 40))).alias("t")).select("mesh", "t.*")
+    return rounded(graph.boundary_distances(vertices, triangles, "mesh", "i", 1e-6).select("node", "distance"), 6, "distance")
+
+
+@query(None)
+def held_positions(spark, sf_dir):
+    """Sessions of twenty orders each: lines hold positions, the first line of every ninth order loads a plan."""
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    seq = F.row_number().over(Window.partitionBy(F.floor(k / 20)).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")).cast("long")
+    photographs = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.concat(F.lit("p"), (F.col("l_partkey") % 4 * 3 + i).cast("string")))
+    events = t(spark, sf_dir, "lineitem").select(F.floor(k / 20).alias("session"), seq.alias("seq"), F.concat(F.lit("plan"), (F.floor(k / 9) % 3).cast("string")).alias("plan"), F.when((k % 9 != 0) | (n != 1), n).cast("int").alias("camera"), photographs.alias("photographs"))
+    return positions.position_changes(events)

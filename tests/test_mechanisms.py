@@ -1,6 +1,7 @@
 """Mesh files, document digests, robust fits, keyed samples, lobes and round logs, case by case."""
 
 import json
+import random
 import struct
 
 import numpy as np
@@ -9,9 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.draws import hash_word
-from gaugeworks.operators import documents, robust
+from gaugeworks.operators import documents, graph, robust
 from gaugeworks.plans.mechanisms import glb_bytes
 from gaugeworks.sources import meshes, rounds
+from gaugeworks.streaming import positions
 
 POINTS = np.array([[0.0, 0, 0], [1, 0, 0], [0, 1, 0], [0, 0, 1]])
 FACES = np.array([[0, 1, 2], [0, 2, 3]])
@@ -274,3 +276,81 @@ def test_streaks_carry_over_rounds_that_say_nothing(spark):
 
 def test_arrow_rows_of_empty_meshes():
     assert meshes._batch(meshes.Mesh(), [("_id", pa.int32(), 1)]).num_rows == 0
+
+
+# Positions
+
+SCHEMA = "session string, seq long, plan string, camera int, photographs array<string>"
+EVENTS = [
+    ("s", 1, "A", None, None), ("s", 2, "A", 1, ["a", "b", "c"]), ("s", 3, "A", 2, ["d", "e", "f"]), ("s", 4, "A", 1, ["g", "h"]),  # camera 1 again
+    ("s", 5, "A", 3, ["d", "e", "x", "y"]),  # two of three of camera 2's
+    ("s", 6, "B", 4, ["q"]), ("s", 7, "A", 4, ["g", "z"]),  # half of camera 1's two is not more than half
+    ("t", 1, "A", 1, ["a"]), ("t", 2, "A", None, []), ("t", 3, "A", 1, ["a", "a"]), ("t", 4, "A", 2, ["a"]), ("t", 5, "C", None, None), ("t", 6, "C", 7, []), ("t", 7, "C", 8, None), (None, 1, None, 2, ["x"]),
+]
+CHANGES = {
+    "s": [(1, "plan", None), (2, "added", None), (3, "added", None), (4, "replaced", 1), (5, "moved", 2), (6, "other-plan", None), (7, "added", None)],
+    "t": [(1, "other-plan", None), (2, "plan", None), (3, "added", None), (4, "moved", 1), (5, "plan", None), (6, "added", None), (7, "added", None)],
+    None: [(1, "added", None)],
+}
+
+
+def test_position_changes(spark):
+    events = spark.createDataFrame([*EVENTS, *EVENTS[3:6], ("s", None, "A", 9, ["n"])], SCHEMA).repartition(4)
+    got = positions.position_changes(events).collect()
+    assert {k: [(r["seq"], r["change"], r["other"]) for r in sorted((r for r in got if r["session"] == k), key=lambda r: r["seq"])] for k in CHANGES} == CHANGES
+    assert {(r["session"], r["camera"], r["seq"]) for r in got if r["held"]} == {("s", 1, 4), ("s", 3, 5), ("s", 4, 7), ("t", 7, 6), ("t", 8, 7), (None, 2, 1)}
+    assert positions.position_changes(events.limit(0)).count() == 0
+
+
+def test_a_shuffled_repeated_and_restarted_stream_gives_the_batch_result(spark, tmp_path):
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    rng = random.Random(3)
+    shuffled = [*EVENTS, *EVENTS[::2]]
+    rng.shuffle(shuffled)
+    for i in range(3):  # three runs of the query, each from its checkpoint
+        with open(source / f"{i}.json", "w") as file:
+            for e in shuffled[i::3]:
+                file.write(json.dumps(dict(zip(("session", "seq", "plan", "camera", "photographs"), e, strict=True)) | {"ts": f"2024-01-01T00:00:{e[1]:02d}Z"}) + "\n")
+        stream = positions.stream_positions(spark.readStream.schema(SCHEMA + ", ts timestamp").json(str(source)))
+        write = stream.writeStream.outputMode("update").foreachBatch(lambda batch, n: batch.write.mode("append").parquet(out))
+        write.option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+    got = {r["session"]: (r["events"], json.loads(r["held"])) for r in positions.latest_positions(spark.read.parquet(out)).collect()}
+    assert {k: [(h["camera"], h["seq"]) for h in v] for k, (_, v) in got.items()} == {"s": [(1, 4), (3, 5), (4, 7)], "t": [(7, 6), (8, 7)], None: [(2, 1)]}
+    assert {k: n for k, (n, _) in got.items()} == {"s": 7, "t": 7, None: 1}
+
+
+def test_silent_sessions_are_forgotten(spark, tmp_path):
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    for i, (name, when) in enumerate([("old", "00:00"), ("new", "05:00"), ("new", "05:01"), ("old", "05:02")]):
+        (source / f"{i}.json").write_text(json.dumps({"session": name, "seq": i, "plan": None, "camera": i, "photographs": [str(i)], "ts": f"2024-01-01T{when}:00Z"}))
+        stream = positions.stream_positions(spark.readStream.schema(SCHEMA + ", ts timestamp").json(str(source)), age_s=600)
+        write = stream.writeStream.outputMode("update").foreachBatch(lambda batch, n: batch.write.mode("append").parquet(out))
+        write.option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r["session"], r["events"]) for r in spark.read.parquet(out).collect())
+    assert got == [("new", 1), ("new", 2), ("old", 1), ("old", 1)]  # the old session starts anew
+
+
+# Graphs
+
+
+def test_shortest_paths_follow_what_fell(spark):
+    rng = random.Random(8)
+    edges = [(rng.randrange(60), rng.randrange(60), float(rng.randint(1, 9))) for _ in range(150)] + [(0, 1, None), (None, 2, 1.0), (3, 3, 0.0)]
+    best = {0: 0.0, 5: 0.0}
+    for _ in range(60):
+        for a, b, n in edges:
+            if a in best and n is not None and best[a] + n < best.get(b, 1e9):
+                best[b] = best[a] + n
+    got = graph.shortest_paths(spark.createDataFrame(edges, "src int, dst int, length double"), spark.createDataFrame([(0,), (5,), (5,), (None,)], "id int"))
+    assert {r["id"]: r["distance"] for r in got.collect()} == best
+
+
+def test_distances_from_the_rim(spark):
+    corners = [(0, x + 4 * y, float(x), float(y), 0.0) for x in range(4) for y in range(4)] + [(1, i, *p) for i, p in enumerate([(0.0, 0.0, 0.0), (1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0)])]
+    cells = [(0, a, b, c) for x in range(3) for y in range(3) for a, b, c in [(x + 4 * y, x + 1 + 4 * y, x + 4 * y + 4), (x + 1 + 4 * y, x + 5 + 4 * y, x + 4 * y + 4)]]
+    closed = [(1, 0, 1, 2), (1, 0, 1, 3), (1, 0, 2, 3), (1, 1, 2, 3)]
+    vertices, triangles = spark.createDataFrame(corners, "m int, i int, x double, y double, z double"), spark.createDataFrame(cells + closed, "m int, a int, b int, c int")
+    got = {(r["mesh"], r["node"]): r["distance"] for r in graph.boundary_distances(vertices, triangles, "m", "i", 1e-6).collect()}
+    assert got == {(0, x + 4 * y): float(x in (1, 2) and y in (1, 2)) for x in range(4) for y in range(4)}

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_NUMBER = r"^[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$"
+#: A decimal number: somewhere a digit, at most one point, perhaps an exponent
+_NUMBER = r"^[+-]?(?=[.]?\d)\d*[.]?\d*(?:[eE][+-]?\d+)?$"
 _VERTEX = "array<struct<index:double,x:double,y:double>>"
 
 
@@ -84,7 +85,7 @@ def parse_settings(documents: DataFrame, path: str = "path", text: str = "text")
     """
     entry = "map<string, struct<value:string,description:string,envName:string>>"
     rows = documents.select(path, F.explode(F.from_json(F.col(text), entry)).alias("setting", "_e")).where("_e.value IS NOT NULL")
-    default = F.regexp_extract("_e.description", r"(?i)Default Value:\s*(?:<br>\s*)*([-+]?\d*\.?\d+)", 1)
+    default = F.regexp_extract("_e.description", r"(?i)default value:(?:\s|<br>)*([+-]?(?:\d+(?:[.]\d+)?|[.]\d+))", 1)
     value = F.when(F.rlike("_e.value", F.lit(_NUMBER)), F.col("_e.value").try_cast("double"))
     return rows.select(path, "setting", F.upper("_e.envName").alias("env_name"), value.alias("value"), F.nullif(default, F.lit("")).try_cast("double").alias("default"))
 

@@ -17,8 +17,16 @@ def parse_amendments(documents: DataFrame, path: str = "path", text: str = "text
     so its lines are numbered without a shuffle of the text.
     """
     lines = documents.select(path, F.posexplode(F.split(text, "\n")).alias("_i", "_line"))
-    heading = r"^##\s+(A-\d+)\s*[—–-]\s*(.+?)\s*$"
-    seen = lines.select(path, (F.col("_i") + 1).alias("_at"), F.nullif(F.regexp_extract("_line", heading, 1), F.lit("")).alias("_id"), F.regexp_extract("_line", heading, 2).alias("_title"), F.nullif(F.regexp_extract("_line", r"^\*\*Status:\*\*\s*\*{0,2}([A-Za-z]+)", 1), F.lit("")).alias("_status"))
+    # What follows the marks of a heading: a number, a dash of any length and the title; and of a status line: a word, in bold or not.
+    below = F.when(F.rlike("_line", F.lit(r"^##\s")), F.trim(F.translate(F.substring("_line", 3, 1 << 20), "\t\r", "  ")))
+    number = F.regexp_extract(below, r"^A-[0-9]+", 0)
+    rest = F.ltrim(F.substr(below, F.length(number) + 1))
+    title = F.trim(F.substring(rest, 2, 1 << 20))
+    is_heading = F.coalesce((number != "") & F.substring(rest, 1, 1).isin("\u2014", "\u2013", "-") & (title != ""), F.lit(False))
+    mark = "**Status:**"
+    word = F.regexp_extract(F.regexp_replace(F.ltrim(F.translate(F.substring("_line", len(mark) + 1, 1 << 20), "\t", " ")), r"^\*\*?", ""), r"^[A-Za-z]+", 0)
+    status = F.when(F.startswith(F.col("_line"), F.lit(mark)) & (word != ""), word)
+    seen = lines.select(path, (F.col("_i") + 1).alias("_at"), F.when(is_heading, number).alias("_id"), F.when(is_heading, title).alias("_title"), status.alias("_status"))
     found = seen.where("_id IS NOT NULL OR _status IS NOT NULL")
     own = Window.partitionBy(path).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
     under = found.withColumn("_under", F.max(F.when(F.col("_id").isNotNull(), F.col("_at"))).over(own)).where("_under IS NOT NULL")

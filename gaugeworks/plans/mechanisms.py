@@ -206,7 +206,14 @@ def rim_distances(spark, sf_dir):
     return rounded(graph.boundary_distances(vertices, triangles, "mesh", "i", 1e-6).select("node", "distance"), 6, "distance")
 
 
-@query(None)
+@query("""
+WITH e AS (SELECT l_orderkey // 20 AS session, row_number() OVER (PARTITION BY l_orderkey // 20 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS seq, 'plan' || (l_orderkey // 9 % 3) AS plan, CASE WHEN l_orderkey % 9 <> 0 OR l_linenumber <> 1 THEN l_linenumber END AS camera, l_partkey % 4 AS k FROM lineitem),
+p AS (SELECT *, max(CASE WHEN camera IS NULL THEN seq END) OVER (PARTITION BY session ORDER BY seq) AS epoch FROM e), l AS (SELECT session, max(epoch) AS latest FROM p GROUP BY 1),
+a AS (SELECT p.*, p.camera IS NOT NULL AND coalesce(p.plan = s.plan, false) AS ok FROM p LEFT JOIN e s ON s.session = p.session AND s.seq = p.epoch), g AS (SELECT session, epoch, seq, camera, k FROM a WHERE ok),
+n AS (SELECT x.session, x.epoch, x.seq, x.camera, x.k, min(y.seq) AS gone FROM g x LEFT JOIN g y ON y.session = x.session AND y.epoch = x.epoch AND y.seq > x.seq AND (y.camera = x.camera OR y.k = x.k) GROUP BY ALL),
+c AS (SELECT session, gone AS seq, camera AS other, k AS was FROM n WHERE gone IS NOT NULL)
+SELECT a.session, a.seq, a.camera, CASE WHEN a.camera IS NULL THEN 'plan' WHEN NOT ok THEN 'other-plan' WHEN other IS NULL THEN 'added' WHEN other = a.camera THEN 'replaced' ELSE 'moved' END AS change, c.other, CASE WHEN other IS NULL THEN 0 ELSE CASE abs(was - a.k) WHEN 0 THEN 6 WHEN 1 THEN 3 ELSE 0 END END AS shared,
+  coalesce(ok AND n.gone IS NULL AND a.epoch = l.latest, false) AS held FROM a JOIN l ON l.session = a.session LEFT JOIN n ON n.session = a.session AND n.seq = a.seq LEFT JOIN c ON ok AND c.session = a.session AND c.seq = a.seq""")
 def held_positions(spark, sf_dir):
     """Sessions of twenty orders each: lines hold positions, the first line of every ninth order loads a plan."""
     k, n = F.col("l_orderkey"), F.col("l_linenumber")

@@ -59,9 +59,11 @@ def phase_noise(df: DataFrame, level: str, residual: str, ties: Sequence[str], s
     Ranks within bins come from the ranks of the whole; rows are stored once and put in order once.
     """
     x, r = F.col(level).cast("double"), F.col(residual).cast("double")
-    rows = df.where(finite(x) & finite(r)).select(x.alias("_x"), r.alias("_r"), *(F.col(c).alias(f"_t{i}") for i, c in enumerate(ties))).where(F.lit(steps > 3))
+    # Stored before they are judged: a condition on computed columns would be pushed below and compute them anew for each of its parts.
+    rows = cut(df.select(x.alias("_x"), r.alias("_r"), *(F.col(c).alias(f"_t{i}") for i, c in enumerate(ties))).where(F.lit(steps > 3)))
+    rows = rows.where(finite(F.col("_x")) & finite(F.col("_r")))
     keys = [f"_t{i}" for i in range(len(ties))]
-    ranked = global_rank(cut(rows), "_x", ["_r", *keys], "_at", "_n").where(F.col("_n") >= LEAST_SAMPLES)
+    ranked = global_rank(rows, "_x", ["_r", *keys], "_at", "_n").where(F.col("_n") >= LEAST_SAMPLES)
     usable = F.greatest(F.lit(1), F.least(F.lit(bins), F.floor(F.col("_n") / LEAST_SAMPLES)))
     bin_of = (F.ceil((F.col("_at") + 1) * usable / F.col("_n")) - 1).cast("int")
     binned = ranked.select("_x", "_r", "_at", bin_of.alias("bin"), F.floor(bin_of * F.col("_n") / usable).alias("_from"), F.floor((bin_of + 1) * F.col("_n") / usable).alias("_to"))

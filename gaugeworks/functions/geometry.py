@@ -58,7 +58,7 @@ def rotate(a: Vec, yaw_deg: Column, pitch_deg: Column, roll_deg: Column) -> Vec:
     return yaw((cp * x - sp * z, y, sp * x + cp * z), yaw_deg)
 
 
-def lattice_point(i: Column, n: int) -> tuple[Column, Column]:
+def lattice_point(i: Column, n: Column | int) -> tuple[Column, Column]:
     """(z, longitude in degrees) of point ``i`` of ``n`` that share the sphere equally: midpoints of bands of equal height, turned by the golden angle."""
     return 1 - (2 * i + 1) / n, F.degrees((i * (math.pi * (3 - math.sqrt(5)))) % (2 * math.pi)) - 180
 
@@ -240,7 +240,7 @@ def aim(origin: Vec, target: Vec) -> tuple[Column, Column]:
 # Lattices on the sphere
 
 
-def lattice_weight_sr(n: int) -> float:
+def lattice_weight_sr(n: Column | int) -> Column | float:
     """The solid angle of each of ``n`` points that share the sphere."""
     return 4 * math.pi / n
 
@@ -249,5 +249,5 @@ def sphere_area(radius: float) -> float:
     return 4 * math.pi * radius * radius
 
 
-def lattice_weight_m2(n: int, radius: float) -> float:
+def lattice_weight_m2(n: Column | int, radius: float) -> Column | float:
     return sphere_area(radius) / n

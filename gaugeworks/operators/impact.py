@@ -16,20 +16,26 @@ JOULES_PER_KWH = 3.6e6
 BAND = {"p5": 0.05, "p10": 0.1, "p50": 0.5, "p90": 0.9, "p95": 0.95}
 
 
-def draw_constants(spark: SparkSession, bounds: dict[str, tuple[float, float]], draws: int, seed: int) -> DataFrame:
-    """(draw, one column a constant): lognormal, with 90 % between its bounds.
+def constants_of(draws: DataFrame, number: str, bounds: dict[str, tuple[float, float]], seed: int) -> DataFrame:
+    """(draw, one column a constant) of each row: lognormal, with 90 % between its bounds, fixed by (seed, its ``number``).
 
-    Bounds must be positive and in order.
+    Bounds must be positive and in order. Rows of one number have the same
+    constants; a row without one has nulls.
     """
     for name, (low, high) in bounds.items():
         if not 0 < low <= high:
             raise ValueError(f"{name}: bounds must be positive and in order")
     i = F.col("draw")
-    drawn = spark.range(draws).withColumnRenamed("id", "draw").select(i, uniforms(2 * len(bounds), F.lit(seed), i).alias("_u"))
+    drawn = draws.select(F.col(number).cast("long").alias("draw")).select(i, F.when(i.isNotNull(), uniforms(2 * len(bounds), F.lit(seed), i)).alias("_u"))
     normal = lambda k: box_muller(F.get("_u", F.lit(2 * k)), F.get("_u", F.lit(2 * k + 1)))
     return drawn.select(i, *(log_normal(low, high, normal(k)).alias(name) for k, (name, (low, high)) in enumerate(bounds.items())))
 
 
+def draw_constants(spark: SparkSession, bounds: dict[str, tuple[float, float]], draws: int, seed: int) -> DataFrame:
+    """``constants_of`` of the draws 0 to ``draws`` - 1."""
+    return constants_of(spark.range(draws), "id", bounds, seed)
+
+
 def energy_terms(prefill_tokens: Column, output_tokens: Column, context_output: Column, read_tokens: Column) -> dict[str, Column]:
     """kWh of prefill, decode, attention and staging at the constants of a draw, before the fleet's utilisation."""
     per_joule = F.col("watts") * F.col("overhead") / JOULES_PER_KWH
@@ -41,9 +47,13 @@ def energy_terms(prefill_tokens: Column, output_tokens: Column, context_output:
     }
 
 
-def bottom_up(work: dict[str, float]) -> Column:
-    """kWh of the work (prefill, output, context_output, read) at a draw."""
-    terms = energy_terms(*(F.lit(float(work[k])) for k in ("prefill", "output", "context_output", "read")))
+def _amount(x: Column | float) -> Column:
+    return x if isinstance(x, Column) else F.lit(float(x))
+
+
+def bottom_up(work: dict[str, Column | float]) -> Column:
+    """kWh of the work (prefill, output, context_output, read; numbers or columns) at a draw."""
+    terms = energy_terms(*(_amount(work[k]) for k in ("prefill", "output", "context_output", "read")))
     return (terms["prefill"] + terms["decode"] + terms["attention"] + terms["staging"]) / F.col("utilisation")
 
 
@@ -54,10 +64,10 @@ def short_query_wh() -> Column:
     return (terms["prefill"] + terms["decode"] + terms["attention"]) / F.col("utilisation") * 1000
 
 
-def methods(draws: DataFrame, work: dict[str, float], dollars: float) -> DataFrame:
+def methods(draws: DataFrame, work: dict[str, Column | float], dollars: Column | float) -> DataFrame:
     """(draw, vendor, physical, cost, short_query, no_cache) kWh: the physical sum, that scaled to published figures, and one from money."""
     physical, predicted = bottom_up(work), short_query_wh()
-    cost = F.lit(float(dollars)) * (1 - F.col("margin")) * F.col("compute_share") / F.col("dollars_per_hour") * F.col("watts") * F.col("overhead") / 1000
+    cost = _amount(dollars) * (1 - F.col("margin")) * F.col("compute_share") / F.col("dollars_per_hour") * F.col("watts") * F.col("overhead") / 1000
     uncached = work | {"prefill": work["prefill"] + work["read"], "read": 0.0}
     return draws.select("draw", F.when(predicted > 0, physical * F.col("published_wh") / predicted).otherwise(0.0).alias("vendor"), physical.alias("physical"), cost.alias("cost"), predicted.alias("short_query"), bottom_up(uncached).alias("no_cache"))
 

@@ -17,22 +17,46 @@ from .statistics import global_rank
 LEAST_EXCESS, RESIDUAL_LIMIT, MARGINAL_FROM, FEW_MATCHES, SMALL_CHANGE = 0.1, 0.15, 0.1, 200, 0.05
 
 
+def design_columns(index: Column, factors: dict[str, Sequence], replicates: int) -> dict[str, Column]:
+    """point, one column a factor and replicate of row ``index`` (from 0) of a design, the last factor fastest; all null beyond it."""
+    total = replicates
+    for levels in factors.values():
+        total *= len(levels)
+    inside = F.when((index >= 0) & (index < total), index)
+    point = F.floor(inside / replicates)
+    stride, columns = total // replicates if total else 0, {"point": point}
+    for name, levels in factors.items():
+        stride = stride // len(levels) if levels else 1
+        columns[name] = F.get(F.array(*map(F.lit, levels)), (F.floor(point / max(stride, 1)) % max(len(levels), 1)).cast("int"))
+    return columns | {"replicate": (inside % replicates).cast("int")}
+
+
 def factor_design(spark: SparkSession, factors: dict[str, Sequence], replicates: int) -> DataFrame:
     """point, one column a factor, replicate: every combination of the levels, the last factor fastest.
 
     Rows are numbers read in mixed radix, so a design of any size is made in
     parallel without a join. A factor without levels gives an empty design.
     """
-    sizes = [len(levels) for levels in factors.values()]
     total = replicates
-    for size in sizes:
-        total *= size
-    rows = spark.range(total).withColumn("replicate", (F.col("id") % replicates).cast("int")).withColumn("point", F.floor(F.col("id") / replicates))
-    stride, columns = total // replicates if total else 0, []
-    for name, levels in factors.items():
-        stride = stride // len(levels) if levels else 1
-        columns.append(F.get(F.array(*map(F.lit, levels)), (F.floor(F.col("point") / max(stride, 1)) % max(len(levels), 1)).cast("int")).alias(name))
-    return rows.select("point", *columns, "replicate")
+    for levels in factors.values():
+        total *= len(levels)
+    return spark.range(total).select(*(c.alias(name) for name, c in design_columns(F.col("id"), factors, replicates).items()))
+
+
+def deal_design(units: DataFrame, number: str, factors: dict[str, Sequence], replicates: int) -> DataFrame:
+    """The units with ``block``, point, one column a factor and replicate: each block of the design's size gets the whole design once.
+
+    number: the unit's number, from 0. Without one, or below 0, all are null;
+    units that share a number share a point. No shuffle. Columns of those
+    names are replaced. A factor without levels gives nulls.
+    """
+    total = replicates
+    for levels in factors.values():
+        total *= len(levels)
+    at = F.when(F.col(number) >= 0, F.col(number).cast("long"))
+    place = at % total if total else F.lit(None).cast("long")
+    block = F.floor(at / total) if total else F.lit(None).cast("long")
+    return units.withColumns({"block": block} | design_columns(place, factors, replicates))
 
 
 def recovered(facet: Column, smooth: Column, control: Column) -> Column:

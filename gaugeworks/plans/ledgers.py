@@ -111,27 +111,29 @@ def normal_sql(*key: str, k: int = 0) -> str:
     return f"(sqrt(-2 * ln({uniform_sql(*key, str(2 * k))} + pow(2.0, -33))) * cos(2 * pi() * {uniform_sql(*key, str(2 * k + 1))}))"
 
 
-@query(f"SELECT CAST(i AS BIGINT) AS i, CAST({hash_sql('i')} AS BIGINT) AS word, round({uniform_sql('i', '7')}, 9) AS uniform, round({normal_sql('42', 'i')}, 6) AS normal FROM range(0, 5000) r(i)")
+@query(f"SELECT CAST(i AS BIGINT) AS i, CAST({hash_sql('i')} AS BIGINT) AS word, round({uniform_sql('i', '7')}, 9) AS uniform, round({normal_sql('42', 'i')}, 6) AS normal FROM (SELECT o_orderkey AS i FROM orders)")
 def keyed_draws(spark, sf_dir):
-    i = F.col("id")
-    return spark.range(5000).select(i.alias("i"), draws.hash_word(i).alias("word"), F.round(draws.uniform(i, F.lit(7)), 9).alias("uniform"), F.round(draws.standard_normal(F.lit(42), i), 6).alias("normal"))
+    """Draws keyed by the ids of the orders."""
+    i = F.col("o_orderkey")
+    return t(spark, sf_dir, "orders").select(i.alias("i"), draws.hash_word(i).alias("word"), F.round(draws.uniform(i, F.lit(7)), 9).alias("uniform"), F.round(draws.standard_normal(F.lit(42), i), 6).alias("normal"))
 
 
-@query("SELECT CAST(i AS BIGINT) AS i, round(list_sum(list_transform(range(0, 12), lambda k: (i // CAST(pow(2, k) AS BIGINT) % 2) / pow(2, k + 1))), 9) AS halves, round(list_sum(list_transform(range(0, 8), lambda k: (i // CAST(pow(3, k) AS BIGINT) % 3) / pow(3, k + 1))), 9) AS thirds FROM range(0, 4000) r(i)")
+@query("SELECT CAST(i AS BIGINT) AS i, round(list_sum(list_transform(range(0, 40), lambda k: (i // CAST(pow(2, k) AS BIGINT) % 2) / pow(2, k + 1))), 9) AS halves, round(list_sum(list_transform(range(0, 26), lambda k: (i // CAST(pow(3, k) AS BIGINT) % 3) / pow(3, k + 1))), 9) AS thirds FROM (SELECT o_orderkey AS i FROM orders)")
 def radical_inverse(spark, sf_dir):
-    i = F.col("id")
-    return spark.range(4000).select(i.alias("i"), F.round(draws.radical_inverse(i, 2), 9).alias("halves"), F.round(draws.radical_inverse(i, 3), 9).alias("thirds"))
+    """The place of each order in two low-discrepancy sequences."""
+    i = F.col("o_orderkey")
+    return t(spark, sf_dir, "orders").select(i.alias("i"), F.round(draws.radical_inverse(i, 2), 9).alias("halves"), F.round(draws.radical_inverse(i, 3), 9).alias("thirds"))
 
 
 _MU, _SIGMA = "(ln(80.0) + ln(600.0)) / 2", "(ln(600.0) - ln(80.0)) / (2 * 1.6448536269514722)"
 
 
 @query(f"""
-WITH d AS (SELECT exp({_MU} + {_SIGMA} * {normal_sql('42', 'i')}) AS v FROM range(0, 20000) r(i)), s AS (SELECT list_sort(list(v)) AS v FROM d)
-SELECT CAST(len(v) AS BIGINT) AS n, round(v[CAST(floor(0.05 * 19999) AS BIGINT) + 1], 4) AS p5, round(v[CAST(floor(0.5 * 19999) AS BIGINT) + 1], 4) AS p50, round(v[CAST(floor(0.95 * 19999) AS BIGINT) + 1], 4) AS p95 FROM s""")
+WITH d AS (SELECT exp({_MU} + {_SIGMA} * {normal_sql('42', 'i')}) AS v FROM (SELECT o_orderkey AS i FROM orders)), s AS (SELECT list_sort(list(v)) AS v FROM d)
+SELECT CAST(len(v) AS BIGINT) AS n, round(v[CAST(floor(0.05 * (len(v) - 1)) AS BIGINT) + 1], 4) AS p5, round(v[CAST(floor(0.5 * (len(v) - 1)) AS BIGINT) + 1], 4) AS p50, round(v[CAST(floor(0.95 * (len(v) - 1)) AS BIGINT) + 1], 4) AS p95 FROM s""")
 def monte_carlo_bands(spark, sf_dir):
-    """Lognormal draws with 90 % between two bounds."""
-    constants = impact.draw_constants(spark, {"carbon": (80.0, 600.0)}, 20000, 42)
+    """Lognormal draws with 90 % between two bounds, one an order."""
+    constants = impact.constants_of(t(spark, sf_dir, "orders"), "o_orderkey", {"carbon": (80.0, 600.0)}, 42)
     found = impact.nearest_rank(constants, [], "carbon", {"p5": 0.05, "p50": 0.5, "p95": 0.95})
     return rounded(found, 4, "p5", "p50", "p95")
 
@@ -141,21 +143,24 @@ _BOUNDS = {
     "watts": (700.0, 1200.0), "overhead": (1.05, 1.3), "parameters": (2e10, 4e11), "flops": (2e14, 8e14), "bytes_per_parameter": (0.5, 2.0), "batch": (8.0, 128.0), "bandwidth": (2e12, 8e12),
     "kv_bytes": (2e4, 2e5), "staging_bandwidth": (1e10, 1e11), "utilisation": (0.3, 0.8), "query_context": (200.0, 2000.0), "query_output": (200.0, 800.0), "published_wh": (0.2, 0.5), "margin": (0.4, 0.7), "compute_share": (0.5, 0.9), "dollars_per_hour": (1.5, 4.0),
 }
-_WORK = {"prefill": 2e8, "output": 1.5e7, "context_output": 1.2e12, "read": 3e9}
+#: Tokens of each kind of work a unit that is ordered
+_WORK = {"prefill": 100.0, "output": 10.0, "context_output": 8e5, "read": 2000.0}
 _CONSTANTS = ", ".join(f"exp((ln({low}) + ln({high})) / 2 + (ln({high}) - ln({low})) / (2 * 1.6448536269514722) * {normal_sql('7', 'i', k=k)}) AS {name}" for k, (name, (low, high)) in enumerate(_BOUNDS.items()))
 
 
 @query(f"""
-WITH d AS (SELECT i, {_CONSTANTS} FROM range(0, 2000) r(i)), j AS (SELECT *, watts * overhead / 3.6e6 AS perj FROM d),
-m AS (SELECT *, (2 * parameters * 2e8 / flops * perj + parameters * bytes_per_parameter / (batch * bandwidth) * perj * 1.5e7 + 1.2e12 * kv_bytes / bandwidth * perj + 3e9 * kv_bytes / staging_bandwidth * perj) / utilisation AS physical,
+WITH q AS (SELECT CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS q FROM lineitem), d AS (SELECT i, q, {_CONSTANTS} FROM (SELECT c_custkey AS i FROM customer), q), j AS (SELECT *, watts * overhead / 3.6e6 AS perj FROM d),
+m AS (SELECT *, (2 * parameters * (100 * q) / flops * perj + parameters * bytes_per_parameter / (batch * bandwidth) * perj * (10 * q) + (8e5 * q) * kv_bytes / bandwidth * perj + (2000 * q) * kv_bytes / staging_bandwidth * perj) / utilisation AS physical,
   (2 * parameters * query_context / flops * perj + parameters * bytes_per_parameter / (batch * bandwidth) * perj * query_output + query_context * query_output * kv_bytes / bandwidth * perj) / utilisation * 1000 AS short,
   500.0 * (1 - margin) * compute_share / dollars_per_hour * watts * overhead / 1000 AS cost FROM j),
 r AS (SELECT physical * published_wh / short AS vendor, physical, cost FROM m),
 u AS (SELECT unnest(['vendor', 'physical', 'cost', 'pooled', 'pooled', 'pooled']) AS method, unnest([vendor, physical, cost, vendor, physical, cost]) AS kwh FROM r), s AS (SELECT method, list_sort(list(kwh)) AS v FROM u GROUP BY method)
 SELECT method, CAST(len(v) AS BIGINT) AS n, round(v[CAST(floor(0.05 * (len(v) - 1)) AS BIGINT) + 1], 4) AS p5, round(v[CAST(floor(0.1 * (len(v) - 1)) AS BIGINT) + 1], 4) AS p10, round(v[CAST(floor(0.5 * (len(v) - 1)) AS BIGINT) + 1], 4) AS p50, round(v[CAST(floor(0.9 * (len(v) - 1)) AS BIGINT) + 1], 4) AS p90, round(v[CAST(floor(0.95 * (len(v) - 1)) AS BIGINT) + 1], 4) AS p95 FROM s""")
 def impact_bands(spark, sf_dir):
-    """Three estimates of the energy of some work, on shared constants, and their equal mixture."""
-    results = impact.methods(cut(impact.draw_constants(spark, _BOUNDS, 2000, 7)), _WORK, 500.0)
+    """Three estimates of the energy of the work ordered, on constants drawn for each customer, and their equal mixture."""
+    units = t(spark, sf_dir, "lineitem").agg(F.sum(F.col("l_quantity").cast("long")).cast("double").alias("_units"))
+    constants = cut(impact.constants_of(t(spark, sf_dir, "customer"), "c_custkey", _BOUNDS, 7).crossJoin(F.broadcast(units)))  # one row
+    results = impact.methods(constants, {k: F.col("_units") * n for k, n in _WORK.items()}, 500.0)
     return rounded(impact.bands(results), 4, *impact.BAND)
 
 

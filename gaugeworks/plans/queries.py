@@ -505,13 +505,28 @@ def rotate_vector(spark, sf_dir):
     return t(spark, sf_dir, "customer").select("c_custkey", *((F.round(x, 5) + 0.0).alias(n) for n, x in zip("xyz", v, strict=True)))
 
 
-@query("""
-WITH p AS (SELECT 1 - (2 * i + 1) / 20000.0::DOUBLE AS z, degrees((i * (pi() * (3 - sqrt(5.0)))) % (2 * pi())) - 180 AS lon FROM range(0, 20000) r(i))
-SELECT CAST(floor(z * 10) AS BIGINT) AS band, CAST(floor(lon / 45) AS BIGINT) AS octant, count(*) AS n, round(sum(z), 6) AS height FROM p GROUP BY ALL""")
+def _lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A point of a lattice for each customer, and the size of the lattice."""
+    customer = t(spark, sf_dir, "customer")
+    rows = customer.select(F.col("c_custkey").alias("i"), "c_acctbal").crossJoin(F.broadcast(customer.agg(F.count("*").alias("n"))))  # one row
+    z, lon = G.lattice_point(F.col("i"), F.col("n"))
+    return rows.select("n", "c_acctbal", z.alias("z"), lon.alias("lon"))
+
+
+_LATTICE = "WITH p AS (SELECT n, c_acctbal, 1 - (2 * i + 1) / CAST(n AS DOUBLE) AS z, degrees((i * (pi() * (3 - sqrt(5.0)))) % (2 * pi())) - 180 AS lon FROM (SELECT c_custkey AS i, c_acctbal, count(*) OVER () AS n FROM customer))"
+
+
+@query(_LATTICE + " SELECT CAST(floor(z * 10) AS BIGINT) AS band, CAST(floor(lon / 45) AS BIGINT) AS octant, count(*) AS n, round(sum(z), 6) AS height FROM p GROUP BY ALL")
 def lattice_coverage(spark, sf_dir):
-    z, lon = G.lattice_point(F.col("id"), 20000)
-    points = spark.range(20000).select(z.alias("z"), lon.alias("lon"))
-    return points.groupBy(F.floor(F.col("z") * 10).alias("band"), F.floor(F.col("lon") / 45).alias("octant")).agg(F.count("*").alias("n"), F.round(F.sum("z"), 6).alias("height"))
+    return _lattice(spark, sf_dir).groupBy(F.floor(F.col("z") * 10).alias("band"), F.floor(F.col("lon") / 45).alias("octant")).agg(F.count("*").alias("n"), F.round(F.sum("z"), 6).alias("height"))
+
+
+@query(_LATTICE + " SELECT CAST(floor(lon / 45) AS BIGINT) AS octant, round(sum(4 * pi() / n), 6) AS sr, round(sum(4 * pi() * 2.25 / n), 6) AS m2, round(sum(4 * pi() * 2.25 / n) / (4 * pi() * 2.25), 6) AS share, round(sum(4 * pi() / n * c_acctbal), 4) AS integral FROM p GROUP BY 1")
+def lattice_integral(spark, sf_dir):
+    """Solid angle, area and an integral over each octant of a sphere of radius 1.5, by the equal weights of its lattice."""
+    n = F.col("n")
+    sums = [F.round(F.sum(G.lattice_weight_sr(n)), 6).alias("sr"), F.round(F.sum(G.lattice_weight_m2(n, 1.5)), 6).alias("m2"), F.round(F.sum(G.lattice_weight_m2(n, 1.5)) / G.sphere_area(1.5), 6).alias("share"), F.round(F.sum(G.lattice_weight_sr(n) * F.col("c_acctbal")), 4).alias("integral")]
+    return _lattice(spark, sf_dir).groupBy(F.floor(F.col("lon") / 45).alias("octant")).agg(*sums)
 
 
 @query("""

@@ -72,10 +72,12 @@ def broken_captures(spark, sf_dir):
 
 
 @query("""
-WITH d AS (SELECT * FROM (VALUES (1), (2), (3)) a(cameras), (VALUES ('large'), ('small')) b(size), (VALUES (0.0::DOUBLE), (0.5)) c(noise)), n AS (SELECT *, row_number() OVER (ORDER BY cameras, size, noise) - 1 AS point FROM d)
-SELECT point, cameras, size, noise, CAST(r AS INTEGER) AS replicate FROM n, range(0, 2) x(r)""")
+WITH s AS (SELECT s_suppkey, s_suppkey AS i FROM supplier)
+SELECT s_suppkey, i // 24 AS block, i % 24 // 2 AS point, CAST(i % 24 // 8 + 1 AS INTEGER) AS cameras, ['large', 'small'][i % 8 // 4 + 1] AS size, CASE WHEN i % 4 // 2 = 0 THEN 0.0::DOUBLE ELSE 0.5 END AS noise, CAST(i % 2 AS INTEGER) AS replicate FROM s""")
 def factor_design(spark, sf_dir):
-    return trials.factor_design(spark, {"cameras": [1, 2, 3], "size": ["large", "small"], "noise": [0.0, 0.5]}, 2)
+    """The suppliers dealt to the points of a design of three factors, block after block."""
+    units = t(spark, sf_dir, "supplier").select("s_suppkey")
+    return trials.deal_design(units, "s_suppkey", {"cameras": [1, 2, 3], "size": ["large", "small"], "noise": [0.0, 0.5]}, 2)
 
 
 def _mechanism_sql(value: str) -> str:

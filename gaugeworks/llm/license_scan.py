@@ -5,7 +5,7 @@ them) with its sentence ends and line ends kept as marks. One pattern made of
 the known licence sentences, cut by the same rule, finds them wherever they
 stand between marks, on one line or wrapped over several. The identifiers found
 in a text, in order, are matched against ordered rules, each a sequence of
-identifiers.
+identifiers between which other known sentences may stand.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ SENTENCES: tuple[tuple[str, str], ...] = (
     ("all-rights", "All rights reserved"),
 )
 
-#: Rules in order: name, licence, and the identifiers that follow each other among those found.
+#: Rules in order: name, licence, and the identifiers that are found in this order, with or without others between.
 RULES: tuple[tuple[str, str, str], ...] = (
     ("apache-2.0-header", "Apache-2.0", "apache-you-may-not apache-copy apache-as-is apache-see"),
     ("mit-text", "MIT", "mit-grant mit-condition"),
@@ -54,7 +54,7 @@ RULES: tuple[tuple[str, str, str], ...] = (
     ("all-rights-reserved", "Proprietary", "all-rights"),
 )
 
-#: Sentences and rules that OP7_SQL doesn't have. Its last rule, which many texts of these licences fit as well, stays last.
+#: Sentences and rules of further licences. The last of RULES, which many texts of these licences fit as well, stays last.
 MORE_SENTENCES: tuple[tuple[str, str], ...] = (
     ("bsd-grant", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
     ("bsd-source", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
@@ -119,6 +119,15 @@ def _pattern(known: list[str]) -> str:
     return f"[{_END}{_LINE}]({'|'.join(ways)})(?=[{_END}{_LINE}])"
 
 
+def _in_order(padded: Column, sequence: str) -> Column:
+    """Whether the identifiers of a rule stand in this order, each looked for behind the one before: one pass over those found."""
+    def behind(at: Column, name: Column) -> Column:
+        found = F.call_function("locate", F.concat(F.lit(" "), name, F.lit(" ")), padded, at)
+        return F.when((at > 0) & (found > 0), found + F.length(name) + 1).otherwise(0)
+
+    return F.aggregate(F.array(*map(F.lit, sequence.split(" "))), F.lit(1), behind) > 0
+
+
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: tuple[tuple[str, str], ...] = ALL_SENTENCES, rules: tuple[tuple[str, str, str], ...] = ALL_RULES) -> DataFrame:
     """The licence sentences and rules found in each text.
 
@@ -127,8 +136,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     blanks. Of sentences that start at one place the longest counts, and none
     counts inside another. Returns one
     row per distinct (id, text): ``id_col``, n_sentences (known ones, with
-    repeats), sentence_ids (in text order, blank-separated), rules (matched, in
-    rule order), licenses (theirs, each once) and license (that of the first
+    repeats), sentence_ids (in text order, blank-separated), rules (those whose
+    sentences all occur in their order, whatever known sentences stand between; in rule order), licenses (theirs, each once) and license (that of the first
     rule, null without one).
 
     A null, empty or unlicensed text has 0, empty strings and null. A null id
@@ -141,7 +150,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ids = F.transform(hits, lambda h: F.element_at(names, F.translate(h, _END + _LINE, "  ")))
     per = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text"), F.coalesce(ids, F.array().cast("array<string>")).alias("_ids")).distinct()
     padded = F.concat(F.lit(" "), F.array_join("_ids", " "), F.lit(" "))
-    matched = F.filter(F.array(*(F.when(F.contains(padded, F.lit(f" {seq} ")), F.struct(F.lit(name).alias("rule"), F.lit(lic).alias("license"))) for name, lic, seq in rules)), lambda x: x.isNotNull())
+    matched = F.filter(F.array(*(F.when(_in_order(padded, seq), F.struct(F.lit(name).alias("rule"), F.lit(lic).alias("license"))) for name, lic, seq in rules)), lambda x: x.isNotNull())
     found = per.select("_id", "_ids", matched.alias("_m"))
     licenses = F.array_distinct(F.transform("_m", lambda x: x["license"]))
     return found.select(
@@ -162,13 +171,14 @@ def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+# Sentences that stand on one line and have no sentence end inside; the others are tested in tests/llm.
 OP7_SQL = rf"""
-WITH known AS (SELECT i AS sentence_id, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS sentence FROM (VALUES {", ".join(f"({_quoted(i)}, {_quoted(s)})" for i, s in SENTENCES)}) v(i, s)),
-rules AS (SELECT * FROM (VALUES {", ".join(f"({k}, {_quoted(n)}, {_quoted(c)}, {_quoted(q)})" for k, (n, c, q) in enumerate(RULES))}) v(k, rule, license, seq)),
+WITH known AS (SELECT DISTINCT i AS sentence_id, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS sentence FROM (VALUES {", ".join(f"({_quoted(i)}, {_quoted(s)})" for i, s in ALL_SENTENCES)}) v(i, s)),
+rules AS (SELECT * FROM (VALUES {", ".join(f"({k}, {_quoted(n)}, {_quoted(c)}, {_quoted(q)})" for k, (n, c, q) in enumerate(ALL_RULES))}) v(k, rule, license, seq)),
 parts AS (SELECT doc_id, regexp_split_to_array(text, '[.!?:]+[ \t]+|[.!?:]*[\r\n]+') AS p FROM documents),
 own AS (SELECT doc_id, i, trim(regexp_replace(lower(p[i]), '[^a-z0-9]+', ' ', 'g')) AS sentence FROM parts, UNNEST(range(1, len(p) + 1)) AS r(i)),
 ids AS (SELECT doc_id, count(*) AS n, string_agg(sentence_id, ' ' ORDER BY i) AS ids FROM own JOIN known USING (sentence) GROUP BY doc_id),
-matched AS (SELECT doc_id, k, rule, license FROM ids JOIN rules ON contains(' ' || ids || ' ', ' ' || seq || ' ')),
+matched AS (SELECT doc_id, k, rule, license FROM ids JOIN rules ON regexp_matches(' ' || ids || ' ', ' ' || replace(seq, ' ', ' (\S+ )*') || ' ')),
 names AS (SELECT doc_id, string_agg(rule, ' ' ORDER BY k) AS rules FROM matched GROUP BY doc_id),
 firsts AS (SELECT doc_id, license, min(k) AS k FROM matched GROUP BY doc_id, license),
 found AS (SELECT doc_id, string_agg(license, ' ' ORDER BY k) AS licenses, arg_min(license, k) AS license FROM firsts GROUP BY doc_id)

@@ -2,7 +2,9 @@ import importlib.util
 import sys
 from pathlib import Path
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from gaugeworks.llm import decontamination, html_extraction, language_id, license_scan, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup, toxicity
@@ -197,6 +199,40 @@ def test_license_scan_of_wrapped_headers(spark):
     assert result(apart, "doc_id", "sentence_ids") == {(1, ""), (2, ""), (3, "mit-notice")}
 
 
+def test_license_rules_with_other_sentences_between(spark):
+    known = dict(license_scan.ALL_SENTENCES)
+    text = lambda *names: "\n".join(known[n].rstrip(":") + "." for n in names)
+    rows = [
+        (1, text("bsd-grant", "all-rights", "bsd-source", "all-rights", "bsd-binary")), (2, text("bsd-source", "bsd-grant", "bsd-binary")), (3, text("bsd-binary", "bsd-grant", "bsd-source", "bsd-binary")),
+        (4, text("bsd-grant", "bsd-source", "bsd-source", "bsd-binary", "mit-notice", "bsd-endorse")), (5, text("mit-grant", "mit-grant")), (6, text("mit-condition", "mit-grant", "mit-condition")),
+    ]
+    got = {r["doc_id"]: r for r in license_scan.license_scan(table(spark, rows)).collect()}
+    assert {i: r["license"] for i, r in got.items()} == {1: "BSD-2-Clause", 2: None, 3: "BSD-2-Clause", 4: "MIT", 5: None, 6: "MIT"}
+    assert got[1]["licenses"] == "BSD-2-Clause Proprietary" and got[4]["licenses"] == "MIT BSD-3-Clause BSD-2-Clause"
+
+
+def test_license_sql_has_the_whole_catalogue(spark):
+    known, lone = {}, [(n, s) for n, s in license_scan.ALL_SENTENCES if len(license_scan._known(s).split(license_scan._END)) == 1]
+    for name, sentence in lone:
+        known.setdefault(name, sentence)
+    line = lambda s: s.rstrip(":") + ".\n"
+    texts = [f"Code here.\n{line(s)}more" for _, s in lone]
+    for _, _, names in license_scan.ALL_RULES:
+        parts = names.split()
+        if all(n in known for n in parts):
+            texts += ["".join(line(known[n]) for n in parts), "".join(line(known[n]) for n in reversed(parts)), line("All rights reserved").join(line(known[n]) for n in parts)]
+    texts += [None, "", "".join(line(s) for _, s in lone) * 40]
+    rows = list(enumerate(texts))
+    frame = pd.DataFrame({"doc_id": [i for i, _ in rows], "text": pd.Series([x for _, x in rows], dtype=object)})
+    duck = duckdb.connect()
+    duck.register("documents", frame)
+    want = duck.execute(license_scan.OP7_SQL)
+    columns = [d[0] for d in want.description]
+    got = license_scan.license_scan(table(spark, rows)).select(*columns)
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.fetchall()}
+    assert len({r["license"] for r in got.collect()}) > 20
+
+
 def test_license_scan_of_more_licences(spark):
     import textwrap
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import draws
 from ..operators import impact, ledger, pairing
-from ..sources.ledger import read_transcripts
+from ..sources.ledger import list_projects, read_transcripts
 from ..sources.shared import cut, shared_dir
 from .registry import query, rounded, t
 
@@ -92,6 +92,16 @@ def scoped_branches(spark, sf_dir):
     return ledger.counted(ledger.messages(ledger.in_scope(_transcripts(spark, sf_dir), session="s3")), "branch")
 
 
+@query("SELECT 'event_type=' || event_type AS project, 1::BIGINT AS files, true AS dated FROM events GROUP BY event_type")
+def project_list(spark, sf_dir):
+    """The projects below a folder, when each type of event is a project of one transcript."""
+    root = f"{shared_dir(spark)}/projects/{uuid.uuid4().hex}"
+    lines = t(spark, sf_dir, "events").select("event_type", F.to_json(F.struct("event_id", "user_id")).alias("value"))
+    lines.repartition("event_type").write.partitionBy("event_type").text(root)
+    found = list_projects(spark, root, "*.txt")
+    return found.select("project", "files", F.col("modified").isNotNull().alias("dated"))
+
+
 # Monte Carlo, on draws that are functions of their key
 
 

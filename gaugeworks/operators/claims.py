@@ -15,16 +15,23 @@ from pyspark.sql import functions as F
 from .quantiles import finite
 
 
+def _named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once, however often it is mentioned."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def failing_pair(residuals: Column, limit: float) -> Column:
     """The first place (from 0) of an array above ``limit``, else the first that is null or NaN; null if all are within it.
 
     An infinite residual is above every limit. An empty array fails nowhere, a
     null array is null.
     """
-    place = lambda test: F.nullif(F.array_position(F.transform(residuals, test), True), F.lit(0))
-    over = place(lambda r: F.coalesce((r > limit) & ~F.isnan(r), F.lit(False)))
-    unknown = place(lambda r: r.isNull() | F.isnan(r))
-    return (F.coalesce(over, unknown) - 1).cast("int")
+    def first(found: Column) -> Column:
+        place = lambda test: F.nullif(F.array_position(F.transform(found, test), True), F.lit(0))
+        over = place(lambda r: F.coalesce((r > limit) & ~F.isnan(r), F.lit(False)))
+        return (F.coalesce(over, place(lambda r: r.isNull() | F.isnan(r))) - 1).cast("int")
+
+    return _named(residuals, first)
 
 
 def crossing(residuals: Callable[[Column], Column], limit: float, step: float = 0.005, top: float = 0.5, resolution: float = 0.0005) -> Column:
@@ -37,23 +44,29 @@ def crossing(residuals: Callable[[Column], Column], limit: float, step: float =
     row, so nothing is shuffled; the work is top / step evaluations.
     """
     count, halvings = round(top / step), max(0, math.ceil(round(math.log2(step / resolution), 9)))
-    refused_at = lambda s: failing_pair(residuals(s), limit).isNotNull()
-    at_zero = failing_pair(residuals(F.lit(0.0)), limit)
-    scan = F.transform(F.sequence(F.lit(1), F.lit(count)), lambda i: refused_at(i * F.lit(step)))
-    first = F.array_position(scan, True).cast("int")
+    # NaN is greater than any number here, so it refuses like a missing value
+    refused_at = lambda s: F.exists(residuals(s), lambda r: r.isNull() | (r > limit))
+    shape = "struct<s:double,pair:int,non_monotone:boolean>"
+    result = lambda s, pair, again: F.struct(s.alias("s"), pair.alias("pair"), again.alias("non_monotone")).cast(shape)
+    never = result(F.lit(None), F.lit(None), F.lit(False))
 
     def halve(bracket: Column, _: Column) -> Column:
         middle = (bracket["lo"] + bracket["hi"]) / 2
         return F.when(refused_at(middle), F.struct(bracket["lo"].alias("lo"), middle.alias("hi"))).otherwise(F.struct(middle.alias("lo"), bracket["hi"].alias("hi")))
 
-    start = F.struct(((first - 1) * F.lit(step)).alias("lo"), (first * F.lit(step)).alias("hi"))
-    # An array of one, so that a bracket is found once and named
-    bracket = F.aggregate(F.sequence(F.lit(1), F.lit(halvings)), start, halve) if halvings else start
-    again = F.array_contains(F.slice(scan, first + 1, count), False)
-    found = F.get(F.transform(F.array(bracket), lambda b: F.struct(((b["lo"] + b["hi"]) / 2).alias("s"), failing_pair(residuals(b["hi"]), limit).alias("pair"), again.alias("non_monotone"))), F.lit(0))
-    shape = "struct<s:double,pair:int,non_monotone:boolean>"
-    at = lambda s, pair: F.struct(s.alias("s"), pair.alias("pair"), F.lit(False).alias("non_monotone")).cast(shape)
-    return F.when(at_zero.isNotNull(), at(F.lit(0.0), at_zero)).when(first > 0, found.cast(shape)).when(residuals(F.lit(0.0)).isNotNull(), at(F.lit(None), F.lit(None)))
+    def narrowed(first: Column, again: Column) -> Column:
+        bracket = F.struct(((first - 1) * F.lit(step)).alias("lo"), (first * F.lit(step)).alias("hi"))
+        if halvings:
+            bracket = F.aggregate(F.sequence(F.lit(1), F.lit(halvings)), bracket, halve)
+        return _named(bracket, lambda b: result((b["lo"] + b["hi"]) / 2, failing_pair(residuals(b["hi"]), limit), again))
+
+    def scanned(scan: Column) -> Column:
+        place = F.array_position(scan, True).cast("int")
+        return _named(place, lambda first: F.when(first > 0, narrowed(first, F.array_contains(F.slice(scan, first + 1, count), False))).otherwise(never))
+
+    scan = F.transform(F.sequence(F.lit(1), F.lit(count)), lambda i: refused_at(i * F.lit(step)))
+    at_zero = failing_pair(residuals(F.lit(0.0)), limit)
+    return F.when(at_zero.isNotNull(), result(F.lit(0.0), at_zero, F.lit(False))).when(residuals(F.lit(0.0)).isNotNull(), _named(scan, scanned))
 
 
 def scanned_crossing(rows: DataFrame, by: Sequence[str], level: str, pair: str, residual: str, limit: float) -> DataFrame:

@@ -123,14 +123,13 @@ def smear_crossing(spark, sf_dir):
 
 
 @query("""
-WITH r AS (SELECT l_suppkey AS run, l_quantity::DOUBLE AS level, l_linenumber AS pair, CASE WHEN l_partkey % 29 > 0 THEN l_tax::DOUBLE END AS residual FROM lineitem WHERE l_shipdate < DATE '1993-06-01'),
+WITH r AS (SELECT l_suppkey AS run, l_quantity::DOUBLE AS level, l_linenumber AS pair, CASE WHEN l_partkey % 499 > 0 THEN l_quantity * l_tax / 50::DOUBLE END AS residual FROM lineitem),
 l AS (SELECT run, level, min(CASE WHEN residual > 0.065::DOUBLE THEN pair END) AS a, min(CASE WHEN residual IS NULL THEN pair END) AS u FROM r GROUP BY ALL),
 m AS (SELECT *, min(CASE WHEN a IS NOT NULL OR u IS NOT NULL THEN level END) OVER (PARTITION BY run) AS upper FROM l)
 SELECT run, max(level) FILTER (level < upper) AS lower, any_value(upper) AS upper, coalesce((max(level) FILTER (level < upper) + any_value(upper)) / 2, any_value(upper)) AS s,
   max(coalesce(a, u)) FILTER (level = upper) AS pair, coalesce(bool_or(level > upper AND a IS NULL AND u IS NULL), false) AS non_monotone FROM m GROUP BY run""")
 def scanned_crossing(spark, sf_dir):
-    rows = t(spark, sf_dir, "lineitem").where("l_shipdate < DATE '1993-06-01'")
-    rows = rows.select(F.col("l_suppkey").alias("run"), F.col("l_quantity").alias("level"), F.col("l_linenumber").alias("pair"), F.when(F.col("l_partkey") % 29 > 0, F.col("l_tax")).alias("residual"))
+    rows = t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("run"), F.col("l_quantity").alias("level"), F.col("l_linenumber").alias("pair"), F.when(F.col("l_partkey") % 499 > 0, F.col("l_quantity") * F.col("l_tax") / 50.0).alias("residual"))
     return claims.scanned_crossing(rows, ["run"], "level", "pair", "residual", 0.065)
 
 

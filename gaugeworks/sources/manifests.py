@@ -42,12 +42,13 @@ def parse_plans(documents: DataFrame, path: str = "path", text: str = "text") ->
     kind = lambda at: F.schema_of_variant(F.try_variant_get("_v", at, "variant"))
     number = lambda at: F.when(F.rlike(kind(at), F.lit(_NUMBERS)), F.try_variant_get("_v", at, "double"))
     whole = lambda at: F.when(number(at) == F.floor(number(at)), number(at))
-    rows = rows.select(
-        path, "_v", F.coalesce(kind("$"), F.lit("")).alias("_all"), F.coalesce(kind("$[0]"), F.lit("")).alias("_one"), kind("$[1]").isNotNull().alias("_more"), F.coalesce(kind("$[0].plan"), F.lit("")).alias("_plan"),
+    # A document's values are made once, as a row of their own, not once for each of their uses
+    rows = rows.select(path, F.inline(F.array(F.struct(
+        F.coalesce(kind("$"), F.lit("")).alias("_all"), F.coalesce(kind("$[0]"), F.lit("")).alias("_one"), kind("$[1]").isNotNull().alias("_more"), F.coalesce(kind("$[0].plan"), F.lit("")).alias("_plan"),
         number("$[0].version").alias("_version"), *(whole(at).alias(f) for f, at in FIELDS.items()), whole("$[0].framesPerRun").alias("_stated"), number("$[0].dwellS").alias("_dwell"),
         F.when(kind("$[0].plan.includeWhiteBlack") == "BOOLEAN", F.try_variant_get("_v", "$[0].plan.includeWhiteBlack", "boolean")).alias("white_black"),
         F.when(kind("$[0].written") == "STRING", F.try_variant_get("_v", "$[0].written", "string")).alias("_written"),
-    )
+    ))))
     ok = lambda c: F.coalesce(c, F.lit(False))
     wrong = [F.when(~ok(F.col(f).between(*ends)), f) for f, ends in LIMITS.items()]
     wrong += [F.when(F.col("phase_period_strides").between(*LIMITS["phase_period_strides"]) & (F.col("phase_period_strides") % 2 != 0), "odd"), F.when(F.col("white_black").isNull(), "white_black")]
@@ -59,7 +60,8 @@ def parse_plans(documents: DataFrame, path: str = "path", text: str = "text") ->
         .when(~ok(F.col("_version") == VERSION), "version").when(~F.rlike("_plan", F.lit("^(OBJECT|ARRAY)")), "no-plan")
         .when((F.size(fields) == 0) & (F.col("_stated") > 0) & (F.col("_stated") != frames), "frames_per_run")
     )
-    rows = rows.withColumn("problems", F.when(stopped.isNotNull(), F.array(stopped)).otherwise(fields))
+    others = [c for c in rows.columns if c != path]
+    rows = rows.select(path, *others, F.explode(F.array(F.when(stopped.isNotNull(), F.array(stopped)).otherwise(fields))).alias("problems"))
     sound = lambda c: F.when(F.size("problems") == 0, c)
     return rows.select(
         path, *(sound(F.col(f)).cast("long").alias(f) for f in FIELDS), sound(F.col("white_black")).alias("white_black"), sound(frames).alias("frames_per_run"),
@@ -79,7 +81,7 @@ def plan_frames(plans: DataFrame, path: str = "path") -> DataFrame:
     steps = lambda axis: F.transform(F.sequence(F.lit(0), F.col("phase_steps") - 1), lambda j: frame("phase", axis, j))
     both = F.array(frame("white", None, F.lit(0)), frame("black", None, F.lit(0)))
     head = F.when(F.col("white_black"), both).otherwise(F.slice(both, 1, 0))
-    rows = plans.where(F.size("problems") == 0).select(path, F.posexplode(F.concat(head, planes("u"), planes("v"), steps("u"), steps("v"))).alias("frame", "_f"))
+    rows = plans.where(F.size("problems") == 0).select(path, F.posexplode(F.concat(head, planes("u"), planes("v"), steps("u"), steps("v"))).alias("frame", "_f")).withColumn("frame", F.col("frame").cast("long"))
     seen = F.when(F.col("_f.kind").isin("white", "black"), F.col("_f.kind")).otherwise("patterned")
     other = F.when(F.col("_f.kind") == "gray", F.col("frame") + 1).when(F.col("_f.kind") == "grayInverse", F.col("frame") - 1)
-    return rows.select(path, "frame", "_f.kind", "_f.axis", "_f.index", seen.alias("seen"), other.alias("complement"))
+    return rows.select(path, "frame", "_f.kind", "_f.axis", F.col("_f.index").cast("long").alias("index"), seen.alias("seen"), other.cast("long").alias("complement"))

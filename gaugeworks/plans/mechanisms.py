@@ -20,15 +20,20 @@ from .registry import query, rounded, t
 # Mesh files: 64 customers are the vertices of one; its node is moved and doubled, every seventh file is cut short
 
 
-def glb_bytes(positions: np.ndarray, triangles: np.ndarray, node: dict) -> bytes:
+def glb_bytes(positions: np.ndarray, triangles: np.ndarray, node: dict, normals: np.ndarray | None = None, textures: np.ndarray | None = None) -> bytes:
     """A binary glTF file of one mesh under one node."""
-    points, corners = positions.astype("<f4").tobytes(), triangles.astype("<u4").tobytes()
-    views = [{"buffer": 0, "byteOffset": 0, "byteLength": len(points)}, {"buffer": 0, "byteOffset": len(points), "byteLength": len(corners)}]
-    accessors = [{"bufferView": 0, "componentType": 5126, "count": len(positions), "type": "VEC3"}, {"bufferView": 1, "componentType": 5125, "count": triangles.size, "type": "SCALAR"}]
-    doc = {"asset": {"version": "2.0"}, "scenes": [{"nodes": [0]}], "nodes": [{"mesh": 0} | node], "meshes": [{"primitives": [{"attributes": {"POSITION": 0}, "indices": 1}]}], "accessors": accessors, "bufferViews": views, "buffers": [{"byteLength": len(points) + len(corners)}]}
+    arrays = [("POSITION", positions.astype("<f4"), 5126, "VEC3"), ("indices", triangles.astype("<u4").ravel(), 5125, "SCALAR")]
+    arrays += [(name, x.astype("<f4"), 5126, kind) for name, x, kind in (("NORMAL", normals, "VEC3"), ("TEXCOORD_0", textures, "VEC2")) if x is not None]
+    data, views, accessors = b"", [], []
+    for _, x, component, kind in arrays:
+        views.append({"buffer": 0, "byteOffset": len(data), "byteLength": x.nbytes})
+        accessors.append({"bufferView": len(accessors), "componentType": component, "count": len(x), "type": kind})
+        data += x.tobytes()
+    attributes = {name: i for i, (name, *_) in enumerate(arrays) if name != "indices"}
+    doc = {"asset": {"version": "2.0"}, "scenes": [{"nodes": [0]}], "nodes": [{"mesh": 0} | node], "meshes": [{"primitives": [{"attributes": attributes, "indices": 1}]}], "accessors": accessors, "bufferViews": views, "buffers": [{"byteLength": len(data)}]}
     text = json.dumps(doc).encode()
     text += b" " * (-len(text) % 4)
-    body = struct.pack("<I4s", len(text), b"JSON") + text + struct.pack("<I4s", len(points) + len(corners), b"BIN\0") + points + corners
+    body = struct.pack("<I4s", len(text), b"JSON") + text + struct.pack("<I4s", len(data), b"BIN\0") + data
     return struct.pack("<4sII", b"glTF", 2, 12 + len(body)) + body
 
 
@@ -53,7 +58,34 @@ def mesh_files(spark, sf_dir):
     point = F.struct((F.col("c_custkey") % 64).alias("i"), F.col("c_acctbal").alias("x"), F.col("c_nationkey").cast("double").alias("y"), (F.col("c_custkey") % 10 / 4).alias("z"))
     groups = t(spark, sf_dir, "customer").groupBy(F.floor(F.col("c_custkey") / 64).alias("mesh")).agg(F.array_sort(F.collect_list(point)).alias("points")).where(F.size("points") >= 3)
     files = groups.mapInArrow(_files, "mesh long, content binary").where(meshes.container_of(F.col("content")) == "glb")
-    return rounded(meshes.parse_meshes(files, "mesh", "content"), 4, "x", "y", "z")
+    return rounded(meshes.parse_meshes(files, "mesh", "content").drop("nx", "ny", "nz", "u", "v"), 4, "x", "y", "z")
+
+
+def _lit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, found = batch.column(0).to_pylist(), []
+        for mesh, points in zip(ids, batch.column(1).to_pylist(), strict=True):
+            p = np.array([[p["x"], p["y"], p["z"]] for p in points])
+            n = len(p) // 3
+            textures = np.stack([p[:, 2] / 2, p[:, 1] / 8 - 1], axis=1)
+            found.append(glb_bytes(p, np.arange(3 * n).reshape(-1, 3), {"scale": [-2, 4, 1]}, p[:, [1, 2, 1]] if mesh % 4 else None, textures[:-1] if mesh % 5 == 1 else textures))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], names=["mesh", "content"])
+
+
+@query("""
+WITH v AS (SELECT c_custkey // 64 AS mesh, CAST(c_custkey % 64 AS INTEGER) AS "at", c_nationkey::DOUBLE AS y, (c_custkey % 10 / 4)::DOUBLE AS z FROM customer),
+n AS (SELECT mesh, count(*) AS n, bool_or(y < 8 OR y > 16 OR z > 2) AS wrapped FROM v GROUP BY 1 HAVING count(*) >= 3),
+w AS (SELECT mesh, "at", n, -y / 2 AS nx, z / 4 AS ny, y AS nz, z / 2 AS u, y / 8 - 1 AS v FROM v JOIN n USING (mesh)), s AS (SELECT *, sqrt(nx * nx + ny * ny + nz * nz) AS size FROM w)
+SELECT mesh, 'vertex' AS kind, "at", NULL::INT AS a, NULL::INT AS b, NULL::INT AS c, NULL AS note, CASE WHEN mesh % 4 > 0 THEN CASE WHEN size > 0 THEN round(nx / size, 4) + 0.0 ELSE 0.0 END END AS nx, CASE WHEN mesh % 4 > 0 THEN CASE WHEN size > 0 THEN round(ny / size, 4) + 0.0 ELSE 0.0 END END AS ny,
+  CASE WHEN mesh % 4 > 0 THEN CASE WHEN size > 0 THEN round(nz / size, 4) + 0.0 ELSE 0.0 END END AS nz, CASE WHEN mesh % 5 <> 1 THEN round(CASE WHEN u BETWEEN 0 AND 1 THEN u ELSE u - floor(u) END, 4) END AS u, CASE WHEN mesh % 5 <> 1 THEN round(CASE WHEN v BETWEEN 0 AND 1 THEN v ELSE v - floor(v) END, 4) END AS v FROM s
+UNION ALL SELECT mesh, 'triangle', CAST(i AS INT), CAST(3 * i AS INT), CAST(3 * i + 2 AS INT), CAST(3 * i + 1 AS INT), NULL, NULL, NULL, NULL, NULL, NULL FROM n, range(21) r(i) WHERE i < n // 3
+UNION ALL SELECT mesh, 'skipped', 0, NULL, NULL, NULL, CASE WHEN mesh % 5 = 1 THEN 'TEXCOORD_0 has another number of values than vertices' ELSE 'texture coordinates outside 0 to 1 are wrapped' END, NULL, NULL, NULL, NULL, NULL FROM n WHERE wrapped OR mesh % 5 = 1""")
+def mesh_shading(spark, sf_dir):
+    """Normals and texture coordinates of mirrored, stretched meshes; a quarter has no normals, a fifth too few coordinates."""
+    point = F.struct((F.col("c_custkey") % 64).alias("i"), F.col("c_acctbal").alias("x"), F.col("c_nationkey").cast("double").alias("y"), (F.col("c_custkey") % 10 / 4).alias("z"))
+    groups = t(spark, sf_dir, "customer").groupBy(F.floor(F.col("c_custkey") / 64).alias("mesh")).agg(F.array_sort(F.collect_list(point)).alias("points")).where(F.size("points") >= 3)
+    found = meshes.parse_meshes(groups.mapInArrow(_lit, "mesh long, content binary"), "mesh", "content").drop("x", "y", "z")
+    return rounded(found, 4, "nx", "ny", "nz", "u", "v")
 
 
 # Documents: the properties of an event, wrapped with its type and value

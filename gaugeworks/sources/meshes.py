@@ -27,7 +27,7 @@ _TRIANGLES = 4
 #: Extensions that change no geometry, by the beginning of their names
 _HARMLESS = ("KHR_materials", "KHR_texture", "KHR_lights", "EXT_texture")
 
-ROWS = "kind string, at int, x double, y double, z double, a int, b int, c int, note string"
+ROWS = "kind string, at int, x double, y double, z double, a int, b int, c int, note string, nx double, ny double, nz double, u double, v double"
 
 
 @dataclass(frozen=True)
@@ -45,6 +45,9 @@ class Mesh:
     positions: np.ndarray = field(default_factory=lambda: np.zeros((0, 3)))
     triangles: np.ndarray = field(default_factory=lambda: np.zeros((0, 3), np.int64))
     skipped: list[str] = field(default_factory=list)
+    #: One a vertex, or None where a primitive of the file has none
+    normals: np.ndarray | None = None
+    textures: np.ndarray | None = None
 
 
 def container_of(content: Column) -> Column:
@@ -96,10 +99,22 @@ def _placement(node: dict) -> np.ndarray:
     return out
 
 
+def _turned(normals: np.ndarray, world: np.ndarray) -> np.ndarray:
+    """Unit normals of a placed mesh: carried by the inverse transpose, so they stay at right angles to it; zeros stay zero."""
+    turn = world[:3, :3]
+    if np.linalg.det(turn):
+        turn = np.linalg.inv(turn).T
+    found = normals @ turn.T
+    size = np.linalg.norm(found, axis=1, keepdims=True)
+    return np.divide(found, size, out=np.zeros_like(found), where=size > 0)
+
+
 class _Reader:
     def __init__(self, doc: dict, data: bytes, limits: Ceilings) -> None:
         self.doc, self.data, self.limits, self.out = doc, data, limits, Mesh()
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.normals: list[np.ndarray | None] = []
+        self.textures: list[np.ndarray | None] = []
         self.vertices = self.instances = 0
         self.full = False
 
@@ -137,6 +152,14 @@ class _Reader:
             found = np.maximum(found / np.iinfo(dtype).max, -1.0)
         return found
 
+    def attribute(self, prim: dict, name: str, kind: str, count: int) -> np.ndarray | None:
+        """An attribute of each vertex; one of another length is left out and named."""
+        given = _record(prim.get("attributes"))
+        found = self.accessor(given[name], kind) if name in given else None
+        if found is not None and len(found) != count:
+            return self.skip(f"{name} has another number of values than vertices")
+        return found
+
     def primitive(self, prim: dict, world: np.ndarray) -> None:
         if prim.get("mode", _TRIANGLES) != _TRIANGLES:
             return self.skip("a primitive isn't triangles")
@@ -160,7 +183,16 @@ class _Reader:
         if self.vertices + n > self.limits.vertices:
             self.full = True
             return self.skip("the scene holds too many vertices")
-        self.parts.append((positions @ world[:3, :3].T + world[:3, 3], corners.reshape(-1, 3).astype(np.int64) + self.vertices))
+        normals, textures = self.attribute(prim, "NORMAL", "VEC3", n), self.attribute(prim, "TEXCOORD_0", "VEC2", n)
+        self.normals.append(None if normals is None else _turned(normals, world))
+        if textures is not None and (outside := (textures < 0) | (textures > 1)).any():
+            self.skip("texture coordinates outside 0 to 1 are wrapped")
+            textures = np.where(outside, textures - np.floor(textures), textures)
+        self.textures.append(textures)
+        triangles = corners.reshape(-1, 3).astype(np.int64) + self.vertices
+        # A mirror turns every face inside out, unless its corners are read the other way round
+        mirrored = np.linalg.det(world[:3, :3]) < 0
+        self.parts.append((positions @ world[:3, :3].T + world[:3, 3], triangles[:, [0, 2, 1]] if mirrored else triangles))
         self.vertices += n
 
     def visit(self) -> None:
@@ -229,6 +261,9 @@ def read_glb(content: bytes | None, limits: Ceilings = Ceilings()) -> Mesh:
     out = reader.out
     if reader.parts:
         out.positions, out.triangles = (np.concatenate(x) for x in zip(*reader.parts, strict=True))
+        # All or none of a file: a mesh with half of its normals would be lit in two ways
+        whole = lambda parts: None if any(x is None for x in parts) else np.concatenate(parts)
+        out.normals, out.textures = whole(reader.normals), whole(reader.textures)
     else:
         reader.skip("no triangles")
     return out
@@ -238,12 +273,13 @@ def _batch(mesh: Mesh, names: list[tuple[str, pa.DataType, Any]]) -> pa.RecordBa
     n, m, k = len(mesh.positions), len(mesh.triangles), len(mesh.skipped)
     total = n + m + k
     corner = lambda i: pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(mesh.triangles[:, i].astype(np.int32)), pa.nulls(k, pa.int32())])
-    place = lambda i: pa.concat_arrays([pa.array(np.ascontiguousarray(mesh.positions[:, i])), pa.nulls(m + k, pa.float64())])
+    of_vertices = lambda x, i: pa.nulls(total, pa.float64()) if x is None else pa.concat_arrays([pa.array(np.ascontiguousarray(x[:, i])), pa.nulls(m + k, pa.float64())])
+    place = lambda i: of_vertices(mesh.positions, i)
     kinds = pa.array(["vertex"] * n + ["triangle"] * m + ["skipped"] * k, pa.string())
     at = pa.array(np.concatenate((np.arange(n), np.arange(m), np.arange(k))).astype(np.int32))
     columns = [pa.array([value] * total, kind) for _, kind, value in names]
     notes = pa.concat_arrays([pa.nulls(n + m, pa.string()), pa.array(mesh.skipped, pa.string())])
-    return pa.RecordBatch.from_arrays([*columns, kinds, at, *map(place, range(3)), *map(corner, range(3)), notes], names=[*(x[0] for x in names), "kind", "at", "x", "y", "z", "a", "b", "c", "note"])
+    return pa.RecordBatch.from_arrays([*columns, kinds, at, *map(place, range(3)), *map(corner, range(3)), notes, *(of_vertices(mesh.normals, i) for i in range(3)), *(of_vertices(mesh.textures, i) for i in range(2))], names=[*(x[0] for x in names), *ROWS.replace(",", "").split()[::2]])
 
 
 def _parse(batches: Iterator[pa.RecordBatch], limits: Ceilings) -> Iterator[pa.RecordBatch]:
@@ -253,7 +289,12 @@ def _parse(batches: Iterator[pa.RecordBatch], limits: Ceilings) -> Iterator[pa.R
 
 
 def parse_meshes(files: DataFrame, id_col: str, content_col: str, limits: Ceilings = Ceilings()) -> DataFrame:
-    """``id_col``, kind (vertex, triangle or skipped), at, x, y, z, a, b, c and note, one row for each of a file's parts.
+    """``id_col``, kind (vertex, triangle or skipped), at, x, y, z, a, b, c, note, nx, ny, nz, u, v, one row for each of a file's parts.
+
+    nx, ny, nz (unit normals, or zeros for those without a direction) and u, v
+    (texture coordinates, wrapped into 0 to 1) are of vertices, and null in the
+    whole file where one of its primitives has none. Triangles of mirrored
+    nodes are turned round, so that they still face outwards.
 
     A null or empty content is a file that is skipped; ids pass as they are, repeated or null. An empty table gives no rows.
     """

@@ -1,6 +1,7 @@
 """Mesh files, document digests, robust fits, keyed samples, lobes and round logs, case by case."""
 
 import json
+import math
 import random
 import struct
 
@@ -354,3 +355,18 @@ def test_distances_from_the_rim(spark):
     vertices, triangles = spark.createDataFrame(corners, "m int, i int, x double, y double, z double"), spark.createDataFrame(cells + closed, "m int, a int, b int, c int")
     got = {(r["mesh"], r["node"]): r["distance"] for r in graph.boundary_distances(vertices, triangles, "m", "i", 1e-6).collect()}
     assert got == {(0, x + 4 * y): float(x in (1, 2) and y in (1, 2)) for x in range(4) for y in range(4)}
+
+
+def test_normals_and_textures_of_placed_meshes():
+    up, uv = np.tile([0.0, 0.0, 2.0], (4, 1)), np.array([[0.0, 1.0], [2.5, -0.25], [1.0, 0.5], [0.25, 3.0]])
+    plain = meshes.read_glb(glb_bytes(POINTS, FACES, {}, up, uv))
+    assert np.allclose(plain.normals, up / 2) and np.allclose(plain.textures, [[0, 1], [0.5, 0.75], [1, 0.5], [0.25, 0]])
+    assert plain.skipped == ["texture coordinates outside 0 to 1 are wrapped"]
+    # Stretched along x, a slanted face leans the other way than its normal would if it were merely carried along
+    slant = meshes.read_glb(glb_bytes(POINTS, FACES, {"scale": [4, 1, 1]}, np.tile([1.0, 0.0, 1.0], (4, 1)), uv[:1].repeat(4, 0)))
+    assert np.allclose(slant.normals, np.array([1, 0, 4]) / math.sqrt(17)) and slant.skipped == []
+    mirrored = meshes.read_glb(glb_bytes(POINTS, FACES, {"scale": [-1, 1, 1]}, up * 0))
+    assert np.array_equal(mirrored.triangles, FACES[:, [0, 2, 1]]) and not mirrored.normals.any() and mirrored.textures is None
+    flat = meshes.read_glb(glb_bytes(POINTS, FACES, {"scale": [1, 1, 0]}, up, uv[:3]))
+    assert flat.textures is None and flat.skipped == ["TEXCOORD_0 has another number of values than vertices"] and np.isfinite(flat.normals).all()
+    assert np.array_equal(meshes.read_glb(glb_bytes(POINTS, FACES, {"scale": [-1, -1, 1]})).triangles, FACES)

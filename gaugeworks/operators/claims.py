@@ -183,3 +183,38 @@ def coverage_rms(shots: DataFrame, by: Sequence[str], du: str, dv: str, in_front
     rows = shots.groupBy(*by).agg(F.count(F.lit(1)).alias("points"), F.count_if(seen).alias("front"), F.avg(F.when(seen, u * u + v * v)).alias("_m"))
     rms = F.when(F.col("front") > 0, F.sqrt("_m") / F.greatest(F.col("front") / F.col("points"), F.lit(1e-6))).otherwise(float("inf"))
     return rows.select(*by, "points", "front", rms.alias("rms"))
+
+
+def arm_shares(runs: DataFrame, scope: str, arm: str, value: str, control: str) -> DataFrame:
+    """``scope``, ``arm``, n, usable, share and bar: runs no worse than the worst run of the scope's own control arm.
+
+    Each scope sets its bar itself, as values of different scopes aren't
+    comparable. A run without a finite value counts in n and is never usable;
+    bar and share are null in a scope whose control has no finite value. One
+    partial aggregate for the bars and one for the counts; bars are joined by
+    scope.
+    """
+    x = F.when(finite(F.col(value)), F.col(value).cast("double"))
+    rows = runs.select(F.col(scope).alias("_s"), F.col(arm).alias("_arm"), x.alias("_x"))
+    bars = rows.where(F.col("_arm") == control).groupBy(F.col("_s").alias("_b")).agg(F.max("_x").alias("bar"))
+    found = rows.join(bars, F.col("_s").eqNullSafe(F.col("_b")), "left").groupBy("_s", "_arm").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_x") <= F.col("bar")).alias("usable"), F.first("bar").alias("bar"))
+    return found.select(F.col("_s").alias(scope), F.col("_arm").alias(arm), "n", "usable", F.when(F.col("bar").isNotNull(), F.col("usable") / F.col("n")).alias("share"), "bar")
+
+
+def arm_recovery(runs: DataFrame, scope: str, seed: str, arm: str, value: str, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """``scope``, before, after, n, ratio, improved, consistent of each pair of arms, over the seeds that both have.
+
+    ratio is the geometric mean of before over after, free of units; improved
+    counts the seeds where after is below before, and consistent says that
+    they are more than half. Values that aren't finite and above 0 are none; of
+    several values of an arm and seed the least counts. A scope without such a
+    seed has no row for that pair. One aggregate by (scope, seed), which puts
+    the arms side by side, and one by scope and pair: no self-join.
+    """
+    x = F.when(finite(F.col(value)) & (F.col(value) > 0), F.col(value).cast("double"))
+    arms = sorted({a for pair in pairs for a in pair})
+    rows = runs.where(F.col(arm).isin(*arms)).groupBy(F.col(scope).alias("_s"), F.col(seed).alias("_seed")).agg(*(F.min(F.when(F.col(arm) == a, x)).alias(f"_x{i}") for i, a in enumerate(arms)))
+    each = F.array(*(F.struct(F.lit(a).alias("before"), F.lit(b).alias("after"), F.col(f"_x{arms.index(a)}").alias("_a"), F.col(f"_x{arms.index(b)}").alias("_b")) for a, b in pairs))
+    both = rows.select("_s", F.inline(each)).where("_a IS NOT NULL AND _b IS NOT NULL")
+    found = both.groupBy("_s", "before", "after").agg(F.count(F.lit(1)).alias("n"), F.exp(F.avg(F.ln(F.col("_a") / F.col("_b")))).alias("ratio"), F.count_if(F.col("_b") < F.col("_a")).alias("improved"))
+    return found.select(F.col("_s").alias(scope), "before", "after", "n", "ratio", "improved", (2 * F.col("improved") > F.col("n")).alias("consistent"))

@@ -194,3 +194,30 @@ SELECT projector, count(*) AS points, count(*) FILTER (f) AS front, CASE WHEN co
 def coverage_rms(spark, sf_dir):
     shots = t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("projector"), "l_discount", "l_tax", ((F.col("l_returnflag") != "N") & (F.col("l_suppkey") % 5 > 0)).alias("f"))
     return rounded(claims.coverage_rms(shots, ["projector"], "l_discount", "l_tax", "f"), 6, "rms")
+
+
+# Arms: a return flag is an arm, a line status a scope, an order a seed
+
+_ARMS = """
+WITH r AS (SELECT l_linestatus AS scope, l_orderkey AS seed, CASE l_returnflag WHEN 'A' THEN 'clean' WHEN 'R' THEN 'room' ELSE 'image' END AS arm, CASE WHEN l_linenumber <> 4 THEN l_extendedprice::DOUBLE * CASE WHEN l_returnflag = 'A' THEN 0.5::DOUBLE ELSE 1 END END AS v FROM lineitem)
+"""
+
+
+def _arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flag = F.col("l_returnflag")
+    arm = F.when(flag == "A", "clean").when(flag == "R", "room").otherwise("image")
+    value = F.when(F.col("l_linenumber") != 4, F.col("l_extendedprice") * F.when(flag == "A", 0.5).otherwise(1.0))
+    return t(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("scope"), F.col("l_orderkey").alias("seed"), arm.alias("arm"), value.alias("v"))
+
+
+@query(_ARMS + """, b AS (SELECT scope, max(v) AS bar FROM r WHERE arm = 'clean' GROUP BY scope)
+SELECT scope, arm, count(*) AS n, count(*) FILTER (v <= bar) AS usable, round(CASE WHEN any_value(bar) IS NOT NULL THEN count(*) FILTER (v <= bar) / count(*) END, 6) AS share, any_value(bar) AS bar FROM r LEFT JOIN b USING (scope) GROUP BY scope, arm""")
+def arm_shares(spark, sf_dir):
+    return rounded(claims.arm_shares(_arms(spark, sf_dir), "scope", "arm", "v", "clean"), 6, "share")
+
+
+@query(_ARMS + """, w AS (SELECT scope, seed, min(v) FILTER (arm = 'clean') AS c, min(v) FILTER (arm = 'room') AS r, min(v) FILTER (arm = 'image') AS i FROM r GROUP BY ALL),
+p AS (SELECT scope, 'room' AS before, 'image' AS after, r AS a, i AS b FROM w UNION ALL SELECT scope, 'room', 'clean', r, c FROM w UNION ALL SELECT scope, 'image', 'clean', i, c FROM w)
+SELECT scope, before, after, count(*) AS n, round(exp(avg(ln(a / b))), 6) AS ratio, count(*) FILTER (b < a) AS improved, 2 * count(*) FILTER (b < a) > count(*) AS consistent FROM p WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY ALL""")
+def arm_recovery(spark, sf_dir):
+    return rounded(claims.arm_recovery(_arms(spark, sf_dir), "scope", "seed", "arm", "v", [("room", "image"), ("room", "clean"), ("image", "clean")]), 6, "ratio")

@@ -156,3 +156,17 @@ def test_quarters_and_coverage(spark):
     shots = [("a", 3.0, 4.0, True), ("a", 9.0, 9.0, False), ("b", 1.0, 1.0, None), ("b", None, 1.0, True), (None, 0.0, 0.0, True)]
     found = claims.coverage_rms(spark.createDataFrame(shots, "p string, u double, v double, f boolean"), ["p"], "u", "v", "f")
     assert {r["p"]: tuple(r)[1:] for r in found.collect()} == {"a": (2, 1, 10.0), "b": (2, 0, math.inf), None: (1, 1, 0.0)}
+
+
+def test_arms_are_judged_by_the_bar_of_their_own_scope(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [("near", 1, "clean", 5.0), ("near", 2, "clean", 8.0), ("near", 1, "room", 80.0), ("near", 2, "room", 8.0), ("near", 3, "room", None), ("far", 1, "clean", 600.0), ("far", 1, "room", 601.0), ("far", 2, "room", 1.0), ("bare", 1, "room", 1.0), ("lost", 1, "clean", nan), ("lost", 1, "room", 1.0), (None, 1, "clean", 2.0), (None, 1, "room", inf)]
+    df = spark.createDataFrame(rows, "place string, seed int, arm string, v double")
+    got = {(r["place"], r["arm"]): tuple(r)[2:] for r in claims.arm_shares(df, "place", "arm", "v", "clean").collect()}
+    assert got == {
+        ("near", "clean"): (2, 2, 1.0, 8.0), ("near", "room"): (3, 1, 1 / 3, 8.0), ("far", "clean"): (1, 1, 1.0, 600.0), ("far", "room"): (2, 1, 0.5, 600.0), ("bare", "room"): (1, 0, None, None),
+        ("lost", "clean"): (1, 0, None, None), ("lost", "room"): (1, 0, None, None), (None, "clean"): (1, 1, 1.0, 2.0), (None, "room"): (1, 0, 0.0, 2.0),
+    }
+    found = {(r["place"], r["before"]): tuple(r)[3:] for r in claims.arm_recovery(df, "place", "seed", "arm", "v", [("room", "clean"), ("clean", "room")]).collect()}
+    assert found == {("near", "room"): (2, pytest.approx(4.0), 1, False), ("near", "clean"): (2, pytest.approx(0.25), 0, False), ("far", "room"): (1, pytest.approx(601 / 600), 1, True), ("far", "clean"): (1, pytest.approx(600 / 601), 0, False)}
+    assert claims.arm_shares(df.limit(0), "place", "arm", "v", "clean").count() == claims.arm_recovery(df.limit(0), "place", "seed", "arm", "v", [("room", "clean")]).count() == 0

@@ -249,7 +249,9 @@ SELECT a.session, a.seq, a.camera, CASE WHEN a.camera IS NULL THEN 'plan' WHEN N
 def held_positions(spark, sf_dir):
     """Sessions of twenty orders each: lines hold positions, the first line of every ninth order loads a plan."""
     k, n = F.col("l_orderkey"), F.col("l_linenumber")
-    seq = F.row_number().over(Window.partitionBy(F.floor(k / 20)).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")).cast("long")
-    photographs = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.concat(F.lit("p"), (F.col("l_partkey") % 4 * 3 + i).cast("string")))
-    events = t(spark, sf_dir, "lineitem").select(F.floor(k / 20).alias("session"), seq.alias("seq"), F.concat(F.lit("plan"), (F.floor(k / 9) % 3).cast("string")).alias("plan"), F.when((k % 9 != 0) | (n != 1), n).cast("int").alias("camera"), photographs.alias("photographs"))
+    seq = F.row_number().over(Window.partitionBy("session").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")).cast("long")
+    photographs = F.array(*(F.concat(F.lit("p"), (F.col("l_partkey") % 4 * 3 + i).cast("string")) for i in range(6)))
+    # The session is a column before its window, whose partitioning the next window then reuses; texts are made after the shuffle.
+    lines = t(spark, sf_dir, "lineitem").withColumn("session", F.floor(k / 20)).withColumn("seq", seq)
+    events = lines.select("session", "seq", F.concat(F.lit("plan"), (F.floor(k / 9) % 3).cast("string")).alias("plan"), F.when((k % 9 != 0) | (n != 1), n).cast("int").alias("camera"), photographs.alias("photographs"))
     return positions.position_changes(events)

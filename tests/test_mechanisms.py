@@ -303,6 +303,29 @@ def test_position_changes(spark):
     assert positions.position_changes(events.limit(0)).count() == 0
 
 
+def test_a_task_waits_only_for_what_is_held_and_takes_sessions_one_by_one():
+    import pyarrow as pa
+
+    taken = 0
+
+    def batches():  # two sessions: one camera read 30,000 times, then one that moves two positions at once, its own among them
+        nonlocal taken
+        rows = [("s", i + 1, i, "A", i % 2 if i else None, ["a", "b", f"c{i % 2}"]) for i in range(30_000)]
+        rows += [("t", i + 1, i, "A", c, x) for i, (c, x) in enumerate([(None, []), (2, ["a"]), (7, ["b"]), (7, ["a", "b"])])]
+        names = ["_session", "_place", "seq", "plan", "camera", "photographs"]
+        kinds = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.string())]
+        for at in range(0, len(rows), 1000):
+            taken += 1
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at : at + 1000], strict=True), kinds, strict=True)], names=names)
+
+    fields = [("_session", pa.string()), ("seq", pa.int64()), ("camera", pa.int32()), ("change", pa.string()), ("other", pa.int32()), ("shared", pa.int32()), ("held", pa.bool_())]
+    made = positions._changes(batches(), pa.schema(fields))
+    first = next(made)
+    assert taken < 15 and first.num_rows >= positions.BATCH  # given back long before the session ends
+    rows = [r for b in (first, *made) for r in b.to_pylist()]
+    assert len(rows) == 30_000 + 5 and [(r["seq"], r["other"]) for r in rows if r["held"]] == [(29_999, 0), (3, 2), (3, 7)]
+
+
 def test_a_shuffled_repeated_and_restarted_stream_gives_the_batch_result(spark, tmp_path):
     source, out = tmp_path / "in", str(tmp_path / "out")
     source.mkdir()

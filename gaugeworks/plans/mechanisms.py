@@ -122,8 +122,7 @@ m AS (SELECT event_id, '$.props.k' AS path, 2 AS depth, k::VARCHAR AS want_text,
   UNION ALL SELECT event_id, '$.new', 1, NULL, '[true]' FROM c WHERE grown UNION ALL SELECT event_id, '$.new[#0]', 2, NULL, 'true' FROM c WHERE grown UNION ALL SELECT event_id, '$', 0, NULL, NULL FROM c WHERE moved OR grown)
 SELECT event_id, CAST(row_number() OVER (PARTITION BY event_id ORDER BY depth DESC, path) AS INT) AS rank, path, depth, CASE WHEN depth > 0 THEN want_text END AS want_text, CASE WHEN depth > 0 THEN got_text END AS got_text FROM m""")
 def moved_parts(spark, sf_dir):
-    want, got = (documents.digests(_documents(spark, sf_dir, shift), ["event_id"], "doc") for shift in (0, 1))
-    found = documents.moved_paths(want, got, ["event_id"])
+    found = documents.moved_documents(_documents(spark, sf_dir, 0), _documents(spark, sf_dir, 1), ["event_id"], "doc")
     deep = lambda c: F.when(F.col("depth") > 0, F.col(c)).alias(c)
     return found.select("event_id", "rank", "path", "depth", deep("want_text"), deep("got_text"))
 

@@ -147,6 +147,17 @@ def test_moved_paths_deepest_first(spark):
     assert first[1] == ("$.a.c", "2", "5") and 2 not in first
 
 
+def test_documents_compared_whole_move_as_their_parts_do(spark):
+    make = lambda *docs: spark.createDataFrame([*docs], "k int, j string")
+    want = make((1, '{"a": {"b": 1, "c": 2}, "d": 3}'), (2, "[1]"), (3, "bad"), (4, "bad"), (5, None), (None, "1"), (6, '{"a.b": 1, "a": {"b": 2}}'), (8, "[[[1.0]]]"), (9, "worse"))
+    got = make((1, '{"a": {"b": 1, "c": 5}, "e": 4}'), (2, "[1.0]"), (3, "{}"), (4, "worse"), (5, "{}"), (None, "2"), (6, '{"a.b": 1, "a": {"b": 3}}'), (7, '"\u00e9"'), (8, "[[[2]]]"))
+    rows = lambda df: sorted(map(tuple, df.drop("rank").collect()), key=str)
+    whole = documents.moved_documents(want, got, ["k"], "j")
+    assert rows(whole) == rows(documents.moved_paths(documents.digests(want, ["k"], "j"), documents.digests(got, ["k"], "j"), ["k"])) != []
+    assert [r["path"] for r in whole.where("k = 1").orderBy("rank").collect()] == ["$.a.c", "$.a", "$.d", "$.e", "$"] and whole.where("k IN (2, 4)").count() == 0
+    assert documents.moved_documents(want.limit(0), got.limit(0), ["k"], "j").count() == 0
+
+
 # Robust fits
 
 

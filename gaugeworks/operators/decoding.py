@@ -46,6 +46,15 @@ class Limits:
     sigma: float = 0.01
 
 
+def apart(df: DataFrame, column: str) -> DataFrame:
+    """df, its ``column`` passed through a lambda, which Spark evaluates outside the code that it makes of a whole stage.
+
+    Else all steps of a decoding are one method of that code, longer than the
+    JVM compiles (8,000 bytes), and each pixel is interpreted.
+    """
+    return df.withColumn(column, F.get(F.transform(F.array(column), lambda x: x), F.lit(0)))
+
+
 def pixel_stacks(pixels: DataFrame, by: Sequence[str], frame: str, value: str, frames: int) -> DataFrame:
     """``by`` and ``stack``: a pixel's values in frames 0 to ``frames`` - 1, null where there is none.
 
@@ -77,6 +86,7 @@ def fringe(df: DataFrame, stack: str, axis: Axis, alias: str) -> DataFrame:
     total = lambda w: sum((s * x for s, x in zip(samples, w, strict=True)), F.lit(0.0))
     turn = [2 * math.pi * i / n for i in range(n)]
     fitted = df.withColumns({f"{p}l": total([1 / n] * n), f"{p}c": total([2 / n * math.cos(e) for e in turn]), f"{p}s": total([2 / n * math.sin(e) for e in turn])})
+    fitted = apart(fitted, f"{p}l")
     level, c, s = (F.col(f"{p}{x}") for x in "lcs")
     left = [v - level - c * math.cos(e) - s * math.sin(e) for v, e in zip(samples, turn, strict=True)]
     fitted = fitted.withColumns({f"{p}a": F.atan2(s, c), f"{p}r": F.sqrt(sum((d * d for d in left), F.lit(0.0)))})
@@ -105,7 +115,7 @@ def decode_axis(df: DataFrame, stack: str, axis: Axis, modulation: str, alias: s
         a, b = F.get(stack, F.lit(i)), F.get(stack, F.lit(j))
         clear = clear & finite(a) & finite(b) & (F.abs(a - b) >= limits.separation * m)
         word = word * 2 + F.when(a > b, 1).otherwise(0)
-    seen = df.withColumns({f"{p}clear": F.coalesce(clear, F.lit(False)), f"{p}index": word})
+    seen = apart(df.withColumns({f"{p}clear": F.coalesce(clear, F.lit(False)), f"{p}index": word}), f"{p}index")
     for shift in (1, 2, 4, 8, 16, 32):  # Gray code back to a number; each step doubles the bits that are right
         if shift < bits:
             seen = seen.withColumn(f"{p}index", F.col(f"{p}index").bitwiseXOR(F.shiftright(f"{p}index", shift)))
@@ -116,7 +126,7 @@ def decode_axis(df: DataFrame, stack: str, axis: Axis, modulation: str, alias: s
         seen = fringe(seen, stack, axis, f"{p}f")
         amplitude = F.col(f"{p}f.amplitude")
         early = F.coalesce(early, F.when(~F.coalesce(finite(amplitude) & (amplitude >= limits.amplitude * m), F.lit(False)), "phase"))
-        seen = seen.withColumn(f"{p}place", F.col(f"{p}f.phase") / (2 * math.pi) * axis.period)
+        seen = apart(seen.withColumn(f"{p}place", F.col(f"{p}f.phase") / (2 * math.pi) * axis.period), f"{p}place")
         place = F.col(f"{p}place")
         nearest = F.floor((coarse - place) / axis.period + 0.5) * axis.period + place
         seen = seen.withColumn(f"{p}coord", nearest if bits else place)
@@ -129,7 +139,7 @@ def decode_axis(df: DataFrame, stack: str, axis: Axis, modulation: str, alias: s
         seen = seen.withColumn(f"{p}coord", coarse)
         late, sigma, share = F.lit(None).cast("string"), F.lit(max(axis.stride / math.sqrt(12), limits.sigma)), m
     coord = F.col(f"{p}coord")
-    seen = seen.withColumn(f"{p}reason", F.coalesce(early, late, F.when((coord < 0) | (coord > axis.res), "range")))
+    seen = apart(seen.withColumn(f"{p}reason", F.coalesce(early, late, F.when((coord < 0) | (coord > axis.res), "range"))), f"{p}reason")
     good = F.col(f"{p}reason").isNull()
     return seen.select(*df.columns, F.struct(F.when(good, coord).alias("coord"), F.when(good, sigma).alias("sigma"), F.when(good, share).alias("modulation"), F.col(f"{p}reason").alias("reason")).alias(alias))
 
@@ -146,7 +156,7 @@ def decode(pixels: DataFrame, u: Axis, v: Axis, stack: str = "stack", white: int
     """
     p = prefix(pixels)
     top, bottom = reference_planes(F.col(stack), [u, v], white, black)
-    seen = pixels.withColumn(f"{p}m", top - bottom)
+    seen = apart(pixels.withColumn(f"{p}m", top - bottom), f"{p}m")
     noise = {}
     for name, axis in (("u", u), ("v", v)):
         if model is not None and axis.steps:
@@ -159,7 +169,7 @@ def decode(pixels: DataFrame, u: Axis, v: Axis, stack: str = "stack", white: int
     first = F.when(~F.coalesce(finite(m) & (m >= limits.modulation), F.lit(False)), "modulation")
     if mask is not None:
         first = F.coalesce(first, F.when(~F.coalesce(mask, F.lit(False)), "mask"))
-    seen = seen.withColumn("reason", F.coalesce(first, F.col(f"{p}u.reason"), F.col(f"{p}v.reason")))
+    seen = apart(seen.withColumn("reason", F.coalesce(first, F.col(f"{p}u.reason"), F.col(f"{p}v.reason"))), "reason")
     good = F.col("reason").isNull()
     seen = seen.withColumns({
         "proj_u": F.when(good, F.col(f"{p}u.coord")), "proj_v": F.when(good, F.col(f"{p}v.coord")), "sigma_u": F.when(good, F.col(f"{p}u.sigma")), "sigma_v": F.when(good, F.col(f"{p}v.sigma")),

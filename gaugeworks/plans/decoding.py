@@ -71,10 +71,14 @@ h AS (SELECT *, CASE WHEN NOT mod >= 0.02 THEN 'modulation' WHEN l_linenumber =
 
 
 def _decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The frames as rows, a stack for each pixel, and what it decodes to."""
+    """The frames of pixels of one line each as rows, a stack for each pixel, and what it decodes to."""
     from ..functions.gray import pattern_bit
 
-    line = t(spark, sf_dir, "lineitem")
+    # Lines are counted before they are frames, by the key of the stacks: those then need no further shuffle.
+    keys = ["l_orderkey", "l_linenumber", "camera"]
+    values = ["l_partkey", "l_tax", "l_discount"]
+    lines = t(spark, sf_dir, "lineitem").withColumn("camera", F.col("l_suppkey") % 3)
+    line = lines.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(F.min(c).alias(c) for c in values)).where("n = 1")
     u, v = (F.col("l_partkey") % 320) / 10 + 0.03, (F.col("l_orderkey") % 160) / 10 + 0.03
     at = {"u": F.floor(u / 4), "v": F.floor(v / 4)}
     shine = lambda part: F.col("l_tax") + F.col("l_discount") * part
@@ -86,21 +90,17 @@ def _decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
         equal = (F.col("l_linenumber") == 5) if (name, j) == ("u", 1) else F.lit(False)
         shown += [shine(b), shine(F.when(equal, b).otherwise(1 - b))]
     shown += [shine(0.5 + depth * F.cos(phi - F.pi() / 2 * n)) for n in range(4)]
-    camera = (F.col("l_suppkey") % 3).alias("camera")
-    rows = line.select("l_orderkey", "l_linenumber", camera, F.posexplode(F.array(*shown)).alias("frame", "light"))
-    stacks = decoding.pixel_stacks(rows, ["l_orderkey", "l_linenumber", "camera"], "frame", "light", 16)
+    rows = line.select(*keys, F.posexplode(F.array(*shown)).alias("frame", "light"))
+    stacks = decoding.pixel_stacks(rows, keys, "frame", "light", 16)
     return decoding.decode(stacks, _U, _V, white=0, black=1, segment=F.col("proj_u") >= 2)
 
 
 @query(_PIXELS.replace("FROM lineitem)", "FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber, l_suppkey % 3) * FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_linenumber, l_suppkey % 3) AS n FROM lineitem) WHERE n = 1))") + """
 SELECT l_orderkey, l_linenumber, camera, CASE WHEN reason IS NULL THEN round(coord, 5) END AS proj_u, CASE WHEN reason IS NULL THEN round(vc, 5) END AS proj_v, CASE WHEN reason IS NULL THEN round(least(amp / mod, mod), 5) END AS modulation, reason FROM h""")
 def decoded_pixels(spark, sf_dir):
-    line = t(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 3).alias("camera")).count().where("count = 1").drop("count")
-    found = _decoded(spark, sf_dir).join(line, ["l_orderkey", "l_linenumber", "camera"])  # a pixel of one line each
-    return rounded(found.select("l_orderkey", "l_linenumber", "camera", "proj_u", "proj_v", "modulation", "reason"), 5, "proj_u", "proj_v", "modulation")
+    return rounded(_decoded(spark, sf_dir).select("l_orderkey", "l_linenumber", "camera", "proj_u", "proj_v", "modulation", "reason"), 5, "proj_u", "proj_v", "modulation")
 
 
 @query(_PIXELS.replace("FROM lineitem)", "FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_linenumber, l_suppkey % 3) AS n FROM lineitem) WHERE n = 1)") + "SELECT camera, count(*) AS considered, count(*) FILTER (reason IS NULL) AS accepted, " + ", ".join(f"count(*) FILTER (reason = '{r}') AS rejected_{r}" for r in REASONS) + " FROM h GROUP BY camera")
 def decode_counters(spark, sf_dir):
-    line = t(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 3).alias("camera")).count().where("count = 1").drop("count")
-    return decoding.decode_counts(_decoded(spark, sf_dir).join(line, ["l_orderkey", "l_linenumber", "camera"]), ["camera"])
+    return decoding.decode_counts(_decoded(spark, sf_dir), ["camera"])

@@ -172,3 +172,15 @@ def test_counts_and_stacks(spark):
     counts = decoding.decode_counts(decoding.decode(stacks, U, V, white=0, black=1, limits=Limits()), []).first()
     assert (counts["considered"], counts["accepted"], counts["rejected_modulation"]) == (3, 2, 1)
     assert decoding.decode(stacks.limit(0), U, V, white=0, black=1).count() == 0
+
+
+def test_pixels_of_one_line_are_shuffled_once_and_decoded_in_compiled_steps(spark, tmp_path):
+    from gaugeworks.plans.decoding import decode_counters, decoded_pixels
+
+    rows = [(k, 7 * k, k % 5, k % 8, 0.05, 0.02) for k in range(40)] + [(3, 8, 0, 3, 0.05, 0.02)]  # a pixel of two lines
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_discount double, l_tax double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    pixels = decoded_pixels(spark, str(tmp_path))
+    plan = pixels._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert plan.count("lambdafunction") >= 8  # steps outside the one method of a whole stage
+    assert pixels.count() == 39 and sum(r["considered"] for r in decode_counters(spark, str(tmp_path)).collect()) == 39

@@ -12,8 +12,12 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
 from .quantiles import finite
 
+#: Tasks that the runs of one scope are dealt to where the bars are too many to broadcast
+SPREAD = 32
+
 
 def _named(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use`` of a value that is evaluated once, however often it is mentioned."""
@@ -191,13 +195,17 @@ def arm_shares(runs: DataFrame, scope: str, arm: str, value: str, control: str)
     Each scope sets its bar itself, as values of different scopes aren't
     comparable. A run without a finite value counts in n and is never usable;
     bar and share are null in a scope whose control has no finite value. One
-    partial aggregate for the bars and one for the counts; bars are joined by
-    scope.
+    partial aggregate for the bars and one for the counts. Bars, a row a scope,
+    are written once, so that Spark knows their size: few are broadcast, and no
+    run is shuffled. Of many, each is there ``SPREAD`` times, so that the runs of
+    a scope meet it in as many tasks.
     """
     x = F.when(finite(F.col(value)), F.col(value).cast("double"))
     rows = runs.select(F.col(scope).alias("_s"), F.col(arm).alias("_arm"), x.alias("_x"))
-    bars = rows.where(F.col("_arm") == control).groupBy(F.col("_s").alias("_b")).agg(F.max("_x").alias("bar"))
-    found = rows.join(bars, F.col("_s").eqNullSafe(F.col("_b")), "left").groupBy("_s", "_arm").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_x") <= F.col("bar")).alias("usable"), F.first("bar").alias("bar"))
+    bars = cut(rows.where(F.col("_arm") == control).groupBy(F.col("_s").alias("_b")).agg(F.max("_x").alias("bar")))
+    bars = bars.withColumn("_at", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    at = F.pmod(F.xxhash64("_arm", "_x"), F.lit(SPREAD)).cast("int")
+    found = rows.withColumn("_part", at).join(bars, F.col("_s").eqNullSafe(F.col("_b")) & (F.col("_part") == F.col("_at")), "left").groupBy("_s", "_arm").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_x") <= F.col("bar")).alias("usable"), F.first("bar").alias("bar"))
     return found.select(F.col("_s").alias(scope), F.col("_arm").alias(arm), "n", "usable", F.when(F.col("bar").isNotNull(), F.col("usable") / F.col("n")).alias("share"), "bar")
 
 

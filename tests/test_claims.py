@@ -170,3 +170,11 @@ def test_arms_are_judged_by_the_bar_of_their_own_scope(spark):
     found = {(r["place"], r["before"]): tuple(r)[3:] for r in claims.arm_recovery(df, "place", "seed", "arm", "v", [("room", "clean"), ("clean", "room")]).collect()}
     assert found == {("near", "room"): (2, pytest.approx(4.0), 1, False), ("near", "clean"): (2, pytest.approx(0.25), 0, False), ("far", "room"): (1, pytest.approx(601 / 600), 1, True), ("far", "clean"): (1, pytest.approx(600 / 601), 0, False)}
     assert claims.arm_shares(df.limit(0), "place", "arm", "v", "clean").count() == claims.arm_recovery(df.limit(0), "place", "seed", "arm", "v", [("room", "clean")]).count() == 0
+
+
+def test_runs_of_one_scope_are_never_dealt_to_one_task(spark):
+    runs = spark.range(1000).select(F.lit("one").alias("place"), F.when(F.col("id") % 2 == 0, "clean").otherwise("room").alias("arm"), F.col("id").cast("double").alias("v"))
+    found = claims.arm_shares(runs, "place", "arm", "v", "clean")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and plan.count("Exchange hashpartitioning") == 1  # that of the counts
+    assert sorted(map(tuple, found.collect())) == [("one", "clean", 500, 500, 1.0, 998.0), ("one", "room", 500, 499, 0.998, 998.0)]

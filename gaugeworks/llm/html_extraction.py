@@ -33,6 +33,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from math import log
 
 import pyarrow as pa
@@ -107,6 +108,11 @@ def _style(tag: str, attrs: str, inside: bool = False) -> tuple[str, bool]:
     return ".".join([tag, *(re.sub(r"\d+", "0", n) for n in names)]), bad
 
 
+#: The same, remembered: the pages of a host repeat their tags. Only short ones are, so that the memory stays small.
+_SHORT = 256
+_known_style = lru_cache(1 << 14)(_style)
+
+
 def walk(page: str, low: frozenset[str] = frozenset(), rules: bool = True) -> Iterator[tuple[Node, str | None]]:
     """(node, text) in page order; text None marks the end of a block, and a node with its children the end of an element.
 
@@ -176,7 +182,7 @@ def walk(page: str, low: frozenset[str] = frozenset(), rules: bool = True) -> It
             if not inline:
                 yield up, " "
             continue
-        style, bad = _style(tag, m["attrs"], up.main)
+        style, bad = (_known_style if len(m["attrs"]) <= _SHORT else _style)(tag, m["attrs"], up.main)
         path = f"{up.path}/{style}" if len(stack) <= DEEPEST and not inline else up.path
         up.children.append(style)
         main = up.main or tag in _MAIN or "main" in style.split(".")[1:]

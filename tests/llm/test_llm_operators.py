@@ -661,3 +661,12 @@ def test_pipeline_with_nulls_repeats_and_nothing(spark):
     empty = docs.where("doc_id < 0")
     for _, stage in pipe.STAGES:
         assert stage(spark, empty, sf).count() == 0
+
+
+def test_styles_of_short_tags_are_read_once_and_long_ones_not_kept():
+    from gaugeworks.llm import html_extraction as h
+
+    h._known_style.cache_clear()
+    page = '<div class="a"><p class="b 12">x</p><p class="b 12">y</p></div>' * 50 + f'<div class="{"c" * 300}">z</div>'
+    assert h.extract(page).split() == ["x", "y"] * 50 + ["z"]
+    assert h._known_style.cache_info().misses == h._known_style.cache_info().currsize == 2

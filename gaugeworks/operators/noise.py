@@ -123,19 +123,31 @@ def weld(vertices: DataFrame, mesh: str, index: str, grid: float) -> DataFrame:
     return nodes.withColumn("node", F.min("index").over(Window.partitionBy("mesh", "_x", "_y", "_z"))).select("mesh", "index", "node")
 
 
+def welded_sides(welded: DataFrame, triangles: DataFrame, mesh: str) -> DataFrame:
+    """(mesh, src, dst, triangles): each pair of nodes of ``weld`` that sides of triangles (mesh, a, b, c) join, src < dst, with how many do."""
+    sides = F.explode(F.array(*(F.struct(F.col(p).alias("p"), F.col(q).alias("q")) for p, q in ("ab", "bc", "ca"))))
+    ends = triangles.select(F.col(mesh).alias("mesh"), sides.alias("_s")).select("mesh", "_s.p", "_s.q")
+    one = welded.select("mesh", F.col("index").alias("p"), F.col("node").alias("_one"))
+    two = welded.select("mesh", F.col("index").alias("q"), F.col("node").alias("_two"))
+    pairs = ends.join(one, ["mesh", "p"]).join(two, ["mesh", "q"]).where("_one <> _two")
+    return pairs.groupBy("mesh", F.least("_one", "_two").alias("src"), F.greatest("_one", "_two").alias("dst")).agg(F.count("*").alias("triangles"))
+
+
+def side_lengths(sides: DataFrame, places: DataFrame) -> DataFrame:
+    """(mesh, src, dst, length): both directions of each of ``welded_sides``, between the places (mesh, node, x, y, z) of its nodes."""
+    place = lambda end: places.select("mesh", F.col("node").alias(end), *(F.col(a).alias(f"_{end}{a}") for a in "xyz"))
+    long = sides.select("mesh", "src", "dst").join(place("src"), ["mesh", "src"]).join(place("dst"), ["mesh", "dst"])
+    gaps = [F.col(f"_src{a}") - F.col(f"_dst{a}") for a in "xyz"]
+    length = F.sqrt(sum((gap * gap for gap in gaps), F.lit(0.0)))
+    ways = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    return long.select("mesh", ways.alias("_w"), length.alias("length")).select("mesh", "_w.src", "_w.dst", "length")
+
+
 def mesh_edges(vertices: DataFrame, triangles: DataFrame, mesh: str, index: str, grid: float) -> DataFrame:
     """(mesh, src, dst, length): both directions of each edge between welded nodes, once, as ``graph.shortest_paths`` takes them.
 
     triangles: (mesh, a, b, c). An edge within one node is none. Lengths are
     between the nodes' own vertices, those of the least index.
     """
-    welded = weld(vertices, mesh, index, grid)
-    sides = F.explode(F.array(*(F.struct(F.col(p).alias("p"), F.col(q).alias("q")) for p, q in ("ab", "bc", "ca", "ba", "cb", "ac"))))
-    ends = triangles.select(F.col(mesh).alias("_m"), sides.alias("_s")).select("_m", "_s.p", "_s.q")
-    one = welded.select(F.col("mesh").alias("_m"), F.col("index").alias("p"), F.col("node").alias("src"))
-    two = welded.select(F.col("mesh").alias("_m"), F.col("index").alias("q"), F.col("node").alias("dst"))
-    edges = ends.join(one, ["_m", "p"]).join(two, ["_m", "q"]).where("src <> dst").select("_m", "src", "dst").distinct()
-    place = lambda end, s: vertices.select(F.col(mesh).alias("_m"), F.col(index).alias(end), *(F.col(a).alias(f"_{s}{a}") for a in "xyz"))
-    long = edges.join(place("src", "s"), ["_m", "src"]).join(place("dst", "d"), ["_m", "dst"])
-    length = F.sqrt(sum(((F.col(f"_s{a}") - F.col(f"_d{a}")) * (F.col(f"_s{a}") - F.col(f"_d{a}")) for a in "xyz"), F.lit(0.0)))
-    return long.select(F.col("_m").alias("mesh"), "src", "dst", length.alias("length"))
+    places = vertices.select(F.col(mesh).alias("mesh"), F.col(index).alias("node"), "x", "y", "z")
+    return side_lengths(welded_sides(weld(vertices, mesh, index, grid), triangles, mesh), places)

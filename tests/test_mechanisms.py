@@ -391,6 +391,32 @@ def test_distances_from_the_rim(spark):
     assert got == {(0, x + 4 * y): float(x in (1, 2) and y in (1, 2)) for x in range(4) for y in range(4)}
 
 
+@pytest.mark.parametrize("bits, piece", [(2, 3), (3, 1000), (15, 2)])
+def test_paths_through_blocks_and_pieces(spark, bits, piece):
+    rng = random.Random(bits)
+    edges = [(rng.randrange(60), rng.randrange(60), rng.choice([0.0, 0.1, 0.7, 1.3, 4.0])) for _ in range(200)] + [(70, 71, 1.0), (71, 72, float("inf")), (3, 73, float("nan")), (73, 74, 1.0)]
+    best = {0: 0.0, 41: 0.0, 71: 0.0, 90: 0.0}
+    for _ in range(80):
+        for a, b, n in edges:
+            if a in best and (b not in best or best[a] + n < best[b]):
+                best[b] = best[a] + n
+    got = graph.shortest_paths(spark.createDataFrame(edges, "src int, dst int, length double"), spark.createDataFrame([(i,) for i in (0, 41, 71, 90)], "id int"), bits, piece)
+    assert {r["id"]: str(r["distance"]) for r in got.collect()} == {i: str(d) for i, d in best.items()}
+
+
+def test_a_long_sheet_takes_few_rounds(spark, monkeypatch):
+    """As wide as 41 nodes, so 20 edges from its rim to its middle: a round an edge would be more than 20."""
+    written, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: written.append(df.columns) or cut(df))
+    i = F.col("id")
+    vertices = spark.range(41 * 60).select(F.lit(0).alias("m"), i.alias("i"), (i % 41).alias("x"), F.floor(i / 41).alias("y"), F.lit(0.0).alias("z"))
+    corner = lambda *steps: F.struct(*((F.col("i") + s).alias(n) for s, n in zip(steps, "abc", strict=True)))
+    triangles = vertices.where("x < 40 AND y < 59").select("m", F.explode(F.array(corner(0, 1, 41), corner(1, 42, 41))).alias("t")).select("m", "t.*")
+    got = {r["node"]: r["distance"] for r in graph.boundary_distances(vertices, triangles, "m", "i", 1e-6).collect()}
+    assert got == {x + 41 * y: float(min(x, 40 - x, y, 59 - y)) for x in range(41) for y in range(60)}
+    assert sum("fell" in columns for columns in written) <= 4
+
+
 def test_normals_and_textures_of_placed_meshes():
     up, uv = np.tile([0.0, 0.0, 2.0], (4, 1)), np.array([[0.0, 1.0], [2.5, -0.25], [1.0, 0.5], [0.25, 3.0]])
     plain = meshes.read_glb(glb_bytes(POINTS, FACES, {}, up, uv))
